@@ -61,9 +61,12 @@ def window_of(t: Column, start) -> Column:
 def window_coverage(facts: DataFrame, key: str, time_col: str, start, end) -> DataFrame:
     """GEN-01 + AGG-12: rows per (key, month window), with 0 for empty windows.
 
-    The range test is on the bare time column (pushed to the scan); the
-    per-window counts are a two-phase aggregate; the key list is taken from
-    those counts, so the facts are scanned once.
+    One scan and no join: the range test is on the bare time column (pushed
+    to the scan); counts per (key, window) are a two-phase aggregate; a
+    second aggregate gathers each key's counts into a window -> count map,
+    whose size is bounded by the number of windows in the requested range,
+    not by the data; each key then explodes its month sequence and looks
+    its windows up, 0 where absent.
     """
     _check_start(start)
     s, e = _date(start), _date(end)
@@ -71,7 +74,11 @@ def window_coverage(facts: DataFrame, key: str, time_col: str, start, end) -> Da
     counts = (facts.filter((t >= s.cast("timestamp_ntz")) & (t < F.date_add(e, 1).cast("timestamp_ntz")))
               .groupBy(key, window_of(t, start).alias("window_start"))
               .agg(F.count(F.lit(1)).alias("n_rows")))
-    spine = month_windows(counts, key, start, end).select(key, "window_start", "window_end")
-    return (spine.join(counts, [key, "window_start"], "left")
-            .select(key, "window_start", "window_end",
-                    F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows")))
+    per_key = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("window_start", "n_rows"))).alias("_seen"))
+    months = F.sequence(s, e, F.expr("INTERVAL 1 MONTH"))
+    return (per_key.select(key, "_seen", F.explode(months).alias("window_start"))
+            .select(key, "window_start",
+                    month_window_end(F.col("window_start"), e).alias("window_end"),
+                    F.coalesce(F.try_element_at("_seen", F.col("window_start")), F.lit(0))
+                     .cast("long").alias("n_rows")))

@@ -71,11 +71,12 @@ def scale_min_max(df: DataFrame, cols: Sequence[str], stats_from: DataFrame | No
     if mode not in ("keep_nulls", "zero_fill"):
         raise ValueError(f"unknown mode {mode}")
     src = df if stats_from is None else stats_from
-    s = stats_struct(src, cols)
+    st = "__stats"
+    x = df.withColumn(st, stats_struct(src, cols))
     out = {}
     for i, c in enumerate(cols):
-        v = as_missing(df, c)
-        mn, mx = s[f"min{i}"], s[f"max{i}"]
+        v = as_missing(x, c)
+        mn, mx = F.col(f"{st}.min{i}"), F.col(f"{st}.max{i}")
         const = v - mn if mode == "keep_nulls" else F.lit(0.0)
         out[c] = F.when(mx == mn, const).otherwise((v - mn) / (mx - mn))
-    return df.select(*[out[c].alias(c) if c in out else F.col(q(c)) for c in df.columns])
+    return x.select(*[out[c].alias(c) if c in out else F.col(q(c)) for c in df.columns])
