@@ -255,3 +255,17 @@ def test_nan_is_not_a_number_after_scaling(spark):
     df = spark.createDataFrame([(float("nan"),), (2.0,), (4.0,)], "a double")
     vals = [r["a"] for r in NZ.scale_min_max(df, ["a"]).collect()]
     assert vals[0] is None and not any(isinstance(v, float) and math.isnan(v) for v in vals)
+
+
+def test_area_selection_from_summary(spark):
+    df = facts(spark, [("NO1", "hydro", 2.0), ("NO2", "hydro", 3.0), ("NO2", "wind", 1.0)])
+    summary = A.area_group_with_total(df)
+    tot = {r["productiongroup"]: r["Total_Kwh"] for r in A.area_selection(summary, "Total").collect()}
+    assert tot == {"hydro": 5.0, "wind": 1.0}
+    assert A.area_selection(summary, "NO2").count() == 2
+
+
+def test_selector_options(spark):
+    df = spark.createDataFrame([(dt.datetime(2021, 1, 1), 1.0)], "time timestamp_ntz, `temperature_2m (°C)` double")
+    assert L.column_options(df) == ["All Columns", "temperature_2m (°C)"]
+    assert L.month_options()[:2] == ["All months", "January"] and len(L.month_options()) == 13

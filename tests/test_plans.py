@@ -62,3 +62,17 @@ def test_aggregates_are_two_phase(spark):
 def test_top_k_not_full_sort(spark):
     t = plan_text(QUERIES["first_five"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in t
+
+
+def test_guard_subquery_reuses_the_aggregate_shuffle(spark):
+    df = QUERIES["pie_all_areas"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final  # the total is computed from the same shuffle, no second scan
+
+
+def test_partitioned_write_uses_rebalance(spark):
+    from wattline.plans.views import weather
+    w = weather(spark, SF_SMALL).withColumn("year", F.year("time"))
+    t = plan_text(w.hint("rebalance", "year"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in t

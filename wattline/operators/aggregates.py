@@ -55,6 +55,17 @@ def area_group_with_total(df: DataFrame, value: str = "quantitykwh", raw: bool =
                     "productiongroup", "Total_Kwh"))
 
 
+def area_selection(summary: DataFrame, area: str | None) -> DataFrame:
+    """FLT-07 + CCH-01: serve an area choice from the ``area_group_with_total`` summary.
+
+    ``None``, ``Total`` or ``All Areas`` pick the all-area rows; any other
+    value picks that area's rows.  Persist the summary (``cached``) when
+    several selections are served from it.
+    """
+    key = TOTAL if area is None or area in AREA_SENTINELS else area
+    return summary.filter(F.col("pricearea") == key)
+
+
 def _sum_type(df: DataFrame, value: str, raw: bool) -> str:
     if not raw:
         return "double"

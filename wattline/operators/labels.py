@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.calendar import ALL_MONTHS, COLUMN_SENTINEL, MONTH_NAMES
 from wattline.functions.colours import DOMINANT_GROUP, axis_of, colour_of
 from wattline.functions.text import percent_label, thousands
 
@@ -37,6 +38,16 @@ def pick_list(df: DataFrame, col: str, sentinel: str | None) -> DataFrame:
     return vals.select("ord", "value").orderBy("ord", "value")
 
 
+def column_options(df: DataFrame, time_col: str = "time") -> list[str]:
+    """SET-02 for the metric selector: ``All Columns`` then every metric (plan time, no job)."""
+    return [COLUMN_SENTINEL] + [c for c in df.columns if c != time_col]
+
+
+def month_options() -> list[str]:
+    """SET-02 for the month selector: ``All months`` then the calendar names."""
+    return [ALL_MONTHS] + list(MONTH_NAMES)
+
+
 def first_rows(df: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:
     """SRT-03: first ``n`` rows; with an order this is a top-k (no full sort)."""
     return (df.orderBy(*order) if order else df).limit(n)

@@ -178,6 +178,19 @@ def area_group_with_total(spark: SparkSession, d: str) -> DataFrame:
     return A.area_group_with_total(V.production_text(spark, d))
 
 
+@register("pie_from_summary", _with("PT", extra="""S AS (SELECT
+  CASE WHEN GROUPING(pricearea) = 1 THEN 'Total' ELSE pricearea END AS pricearea, productiongroup,
+  CASE WHEN GROUPING(pricearea) = 1 THEN COALESCE(CAST(SUM(quantitykwh) AS DOUBLE), 0.0)
+       ELSE CAST(SUM(quantitykwh) AS DOUBLE) END AS "Total_Kwh"
+""" + _GSETS + """),
+X AS (SELECT * FROM S WHERE pricearea = 'Total')""") +
+    'SELECT * FROM X WHERE (SELECT SUM("Total_Kwh") FROM X) > 0')
+def pie_from_summary(spark: SparkSession, d: str) -> DataFrame:
+    """CCH-01 + FLT-07 + FLT-09: the notebook pie, served from the one-pass summary."""
+    summary = A.area_group_with_total(V.production_text(spark, d))
+    return FL.keep_if_positive_total(A.area_selection(summary, "Total"), "Total_Kwh")
+
+
 _SHARE_SQL = _with("PT", extra="""S AS (SELECT
   CASE WHEN GROUPING(pricearea) = 1 THEN 'Total' ELSE pricearea END AS pricearea, productiongroup,
   CASE WHEN GROUPING(pricearea) = 1 THEN COALESCE(SUM(quantitykwh), 0) ELSE SUM(quantitykwh) END AS tk

@@ -41,10 +41,13 @@ def append_table(df: DataFrame, qualified: str) -> None:
 def overwrite_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> str:
     """SNK-03: overwrite a Parquet table laid out by ``partition_by``.
 
-    Rows are clustered by the partition columns first, so each task writes
-    few files per partition value instead of one file per value per task.
+    A ``REBALANCE`` hint clusters rows by the partition columns, so a task
+    writes few files per partition value, while AQE splits a value that
+    holds a large share of the rows over several tasks (a plain
+    ``repartition(cols)`` would send a hot month to one task) and merges
+    small ones.
     """
-    (df.repartition(*partition_by)
+    (df.hint("rebalance", *partition_by)
        .write.mode("overwrite").partitionBy(*partition_by).parquet(path))
     return path
 
