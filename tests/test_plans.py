@@ -76,3 +76,30 @@ def test_partitioned_write_uses_rebalance(spark):
     w = weather(spark, SF_SMALL).withColumn("year", F.year("time"))
     t = plan_text(w.hint("rebalance", "year"))
     assert "REBALANCE_PARTITIONS_BY_COL" in t
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
+def test_single_partition_exchanges_carry_partials_only(spark, name):
+    from wattline.plans.checks import single_partition_inputs
+    feeds = single_partition_inputs(QUERIES[name](spark, SF_SMALL))
+    assert all(f == "partial" for f in feeds), feeds
+
+
+def test_hot_partition_value_is_split_across_writers(spark):
+    import os
+    from wattline.sinks.writers import overwrite_partitioned_counted
+    n = 300_000
+    df = spark.range(0, n, numPartitions=8).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 12 + 1).alias("month"))
+    path = scratch_path(spark, "hot")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256k")
+    try:
+        written = overwrite_partitioned_counted(df, path, ["month"])
+    finally:
+        spark.conf.set(key, before)
+    assert written == n
+    hot = [f for f in os.listdir(os.path.join(path.replace("file:", ""), "month=1")) if f.endswith(".parquet")]
+    assert len(hot) > 1  # the month holding a third of the rows went to several writers
+    assert spark.read.parquet(path).count() == n

@@ -102,3 +102,37 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     back = spark.read.parquet(out)
     assert back.count() == 9
     assert back.select("startTime").distinct().count() == 9
+
+
+def test_batch_folders_and_single_scan_read(spark):
+    from wattline.operators.ingest import stamp_key, union_batches
+    path = scratch_path(spark, "lb")
+    df = spark.createDataFrame([("NO1", 1.0), ("NO2", 2.0), ("NO 9/x", 3.0)], "area string, q double")
+    S.land_json(df, path, partition_by=["area"])
+    found = SRC.batch_folders(spark, path, "area")
+    assert [a for a, _ in found] == ["NO 9/x", "NO1", "NO2"]  # unforeseen keys are found too
+    u = union_batches([stamp_key(spark.read.schema("q double").json(f), "area", a) for a, f in found])
+    assert sorted((r["area"], r["q"]) for r in u.collect()) == [("NO 9/x", 3.0), ("NO1", 1.0), ("NO2", 2.0)]
+    one = SRC.read_partitioned_batches(spark, path)
+    assert sorted(r["area"] for r in one.collect()) == ["NO 9/x", "NO1", "NO2"]
+    assert SRC.batch_folders(spark, path + "-missing", "area") == []
+
+
+def test_observed_write_count(spark):
+    path = scratch_path(spark, "obs")
+    assert S.overwrite_partitioned_counted(spark.range(123).withColumn("p", F.col("id") % 2), path, ["p"]) == 123
+
+
+def test_utc_zone_restores_and_keeps_semantics(spark):
+    from wattline.functions.timeops import lenient_utc
+    from wattline.session import utc_zone
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "Europe/Oslo")
+    try:
+        with utc_zone(spark):
+            df = spark.createDataFrame([("2021-01-01T00:00:00+01:00",)], "s string").select(lenient_utc("s").alias("t"))
+        assert spark.conf.get(key) == "Europe/Oslo"
+        import datetime as dt
+        assert df.first()["t"] == dt.datetime(2020, 12, 31, 23, 0)
+    finally:
+        spark.conf.set(key, "UTC")

@@ -31,3 +31,43 @@ def summary(df: DataFrame) -> dict:
         "pushed_filters": re.findall(r"PushedFilters: \[(.*?)\]", t),
         "read_schema": re.findall(r"ReadSchema: (struct<.*?>)", t),
     }
+
+
+_NODE = re.compile(r"^(?P<pad>[\s:|+-]*)(?P<name>\w+) \((?P<id>\d+)\)\s*$")
+
+
+def _tree(text: str) -> list[tuple[int, str, int]]:
+    """(depth, node name, node id) for every node line of the formatted plan trees."""
+    out = []
+    for line in text.splitlines():
+        m = _NODE.match(line)
+        if m:
+            out.append((len(m.group("pad")), m.group("name"), int(m.group("id"))))
+    return out
+
+
+def _sections(text: str) -> dict[int, str]:
+    parts = re.split(r"\n\((\d+)\) ", text)
+    return {int(parts[i]): parts[i + 1] for i in range(1, len(parts) - 1, 2)}
+
+
+def single_partition_inputs(df: DataFrame) -> list[str]:
+    """What feeds each single-partition exchange: one entry per such exchange.
+
+    ``partial`` means per-task partial aggregates (a handful of rows per
+    task), which is the only acceptable feed; anything else would move
+    fact rows into one task.
+    """
+    text = plan_text(df)
+    nodes, secs = _tree(text), _sections(text)
+    out = []
+    for i, (depth, name, nid) in enumerate(nodes):
+        if name != "Exchange" or "SinglePartition" not in secs.get(nid, ""):
+            continue
+        child = nodes[i + 1] if i + 1 < len(nodes) and nodes[i + 1][0] > depth else None
+        if child and child[1] in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") \
+                and "partial_" in secs.get(child[2], ""):
+            out.append("partial")
+        else:
+            out.append(child[1] if child else "?")
+    return out

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.calendar import month_name
-from wattline.functions.colours import PRICE_AREAS
 from wattline.functions.timeops import (day_month_year_label, day_label, lenient_utc,
                                         month_year_label, strict_timestamp)
 from wattline.operators import aggregates as A
@@ -26,7 +25,7 @@ from wattline.operators import reshape as R
 from wattline.operators.coverage import month_windows, window_coverage
 from wattline.operators.profile import profile
 from wattline.plans import views as V
-from wattline.session import scratch_path, use_utc
+from wattline.session import scratch_path, utc_zone
 from wattline.sinks import writers as S
 from wattline.sources import files as SRC
 from wattline.sources.schemas import CURATED_COLUMNS, PAYLOAD_RECORD, PRODUCTION, STORED_TABLE_DDL
@@ -93,8 +92,8 @@ def _rows_double(df: DataFrame, col: str = "quantitykwh") -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    use_utc(spark)
-    return V.production_text(spark, d).withColumn("starttime", lenient_utc("starttime"))
+    with utc_zone(spark):
+        return V.production_text(spark, d).withColumn("starttime", lenient_utc("starttime"))
 
 
 _ROW_COLS = "event_id, pricearea, productiongroup, starttime, CAST(quantitykwh AS DOUBLE) AS quantitykwh"
@@ -400,23 +399,18 @@ def row_id_unique(spark: SparkSession, d: str) -> DataFrame:
 def batch_union(spark: SparkSession, d: str) -> DataFrame:
     """SNK-01 + SET-01 + PRJ-05: land per-area batches, read each back, stamp its key, union.
 
-    Every landed file is read once; the batches are combined by name.
+    Batches are found by listing the landing folder, so every landed batch
+    is read (once) whatever its key.
     """
     path = scratch_path(spark, "batches")
     recs = V.production_records(spark, d).drop("event_id")
     S.land_json(recs, path, partition_by=["priceArea"])
     schema = recs.drop("priceArea").schema
-    batches = [I.stamp_key(spark.read.schema(schema).json(f"{path}/priceArea={a}"), "priceArea", a)
-               for a in PRICE_AREAS if _exists(spark, f"{path}/priceArea={a}")]
+    batches = [I.stamp_key(spark.read.schema(schema).json(folder), "priceArea", area)
+               for area, folder in SRC.batch_folders(spark, path, "priceArea")]
     return I.union_batches(batches)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 @register("streamed_ingest", _FLAT_SQL)
 def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Streaming ingest: landed response files -> flatten -> Parquet, exactly once.
@@ -463,10 +457,10 @@ def table_append_read(spark: SparkSession, d: str) -> DataFrame:
 @register("csv_round_trip", _with("W") + "SELECT * FROM W")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """SRC-01 + SRC-02: the wide series as CSV with a header, read back with inferred types."""
-    use_utc(spark)
     path = scratch_path(spark, "series-csv")
     V.weather(spark, d).write.mode("overwrite").option("header", True).csv(path)
-    return SRC.read_series_csv(spark, path)
+    with utc_zone(spark):
+        return SRC.read_series_csv(spark, path)
 
 
 @register("partitioned_overwrite", _with("W") + """SELECT CAST(year("time") AS INTEGER) AS "year",
@@ -484,11 +478,10 @@ def partitioned_overwrite(spark: SparkSession, d: str) -> DataFrame:
 @register("read_back_check", """SELECT count(*) AS written, count(*) AS read_back, true AS "match"
 FROM lineitem""")
 def read_back_check(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-06: rows written against rows read back, as one row."""
+    """SNK-06: rows written (observed during the write) against rows read back, as one row."""
     path = scratch_path(spark, "checked")
     w = V.weather(spark, d)
-    S.overwrite_partitioned(w.withColumn("year", F.year("time")), path, ["year"])
-    written = w.count()
+    written = S.overwrite_partitioned_counted(w.withColumn("year", F.year("time")), path, ["year"])
     return S.read_back_check(written, spark.read.parquet(path))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +38,23 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@contextmanager
+def utc_zone(spark: SparkSession) -> Iterator[None]:
+    """Build DataFrames under the UTC session zone, then restore the caller's zone.
+
+    The zone is bound to each expression when the DataFrame is analysed
+    (at creation, in classic PySpark), so a DataFrame built inside the
+    block keeps UTC semantics after the block ends.
+    """
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,17 @@ def overwrite_partitioned(df: DataFrame, path: str, partition_by: list[str]) ->
     return path
 
 
+def overwrite_partitioned_counted(df: DataFrame, path: str, partition_by: list[str]) -> int:
+    """SNK-03 that also returns the number of rows written.
+
+    The count is an observed metric of the write job itself (no second pass
+    over the source); retried tasks are counted once.
+    """
+    obs = Observation("written")
+    overwrite_partitioned(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, partition_by)
+    return int(obs.get["rows"])
+
+
 def key_is_unique(df: DataFrame, key: str) -> DataFrame:
     """SNK-05 key check: one row ``(n_rows, n_keys, unique)``; runs as a two-phase aggregate."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

@@ -54,6 +54,40 @@ def read_landed_payloads(spark: SparkSession, path: str,
     return env.select(F.explode("data").alias("rec")).select("rec.*")
 
 
+def batch_folders(spark: SparkSession, path: str, key: str) -> list[tuple[str, str]]:
+    """Landed batch folders ``<path>/<key>=<value>`` as ``(value, folder)`` pairs.
+
+    A metadata listing of one directory level on the driver (one entry per
+    batch, not per row); every folder found is returned, so no batch is
+    left out because its key was not foreseen.
+    """
+    from urllib.parse import unquote
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(key + "="):
+            out.append((unquote(name[len(key) + 1:]), st.getPath().toString()))
+    return sorted(out)
+
+
+def read_partitioned_batches(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                             fmt: str = "json") -> DataFrame:
+    """All landed batches in one scan; folder keys (``key=value``) become columns.
+
+    The single-scan form of "read every batch and stamp its key", for any
+    number of batches.
+    """
+    r = spark.read.format(fmt).option("basePath", path)
+    if schema is not None:
+        r = r.schema(schema)
+    return r.load(path)
+
+
 def records_frame(spark: SparkSession, records: Iterable[Mapping | tuple],
                   schema: T.StructType) -> DataFrame:
     """SRC-04: small in-memory records under a declared schema.
