@@ -269,3 +269,32 @@ def test_selector_options(spark):
     df = spark.createDataFrame([(dt.datetime(2021, 1, 1), 1.0)], "time timestamp_ntz, `temperature_2m (°C)` double")
     assert L.column_options(df) == ["All Columns", "temperature_2m (°C)"]
     assert L.month_options()[:2] == ["All months", "January"] and len(L.month_options()) == 13
+
+
+def test_month_range_defaults_to_full_range(spark):
+    df = spark.createDataFrame([(dt.datetime(2020, m, 1),) for m in (1, 6, 12)], "time timestamp_ntz")
+    assert FL.in_month_range(df, "time").count() == 3
+    assert FL.in_month_range(df, "time", first=6).count() == 2
+    assert FL.in_month_range(df, "time", last=6).count() == 2
+
+
+def test_wider_timestamp_shapes_parse(spark):
+    # S6: one column may carry other ISO shapes; Spark parses them where pandas' inferred format would not.
+    from wattline.functions.timeops import lenient_utc
+    rows = spark.createDataFrame([("2021-01-01T00:00:00.500+01:00",), ("2021-01-02",)], "s string") \
+        .select(lenient_utc("s").alias("t")).collect()
+    assert rows[0]["t"] == dt.datetime(2020, 12, 31, 23, 0, 0, 500000)
+    assert rows[1]["t"] == dt.datetime(2021, 1, 2)
+
+
+def test_malformed_payload_fails_instead_of_vanishing(spark, tmp_path):
+    p = tmp_path / "broken.json"
+    p.write_text('{"data": [{"priceArea": "NO1", "attributes": ')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        SRC.read_landed_payloads(spark, str(p)).count()
+
+
+def test_batches_are_not_deduplicated(spark):
+    # S18: a record landed twice (overlapping request bounds) stays twice.
+    a = facts(spark, [("NO1", "hydro", 1.0)])
+    assert I.union_batches([a, a]).count() == 2

@@ -27,9 +27,19 @@ def in_month(df: DataFrame, time_col: str, month: int, year: int | None = None)
     return df.filter((t >= lo) & (t < F.add_months(lo, 1).cast("timestamp_ntz")))
 
 
-def in_month_range(df: DataFrame, time_col: str, first: int, last: int) -> DataFrame:
-    """FLT-02: rows whose month is in ``[first, last]``, any year."""
-    return df.filter(F.month(F.col(f"`{time_col}`")).between(first, last))
+def in_month_range(df: DataFrame, time_col: str, first: int | None = None,
+                   last: int | None = None) -> DataFrame:
+    """FLT-02: rows whose month is in ``[first, last]``, any year.
+
+    An open bound means no limit on that side; with neither bound every
+    row is kept (the slider's default is the full range, S10).
+    """
+    m = F.month(F.col(f"`{time_col}`"))
+    if first is not None:
+        df = df.filter(m >= first)
+    if last is not None:
+        df = df.filter(m <= last)
+    return df
 
 
 def in_area(df: DataFrame, area: str | None, col: str = "pricearea") -> DataFrame:

@@ -370,7 +370,7 @@ _FLAT_SQL = _with("R") + """SELECT "priceArea", "productionGroup", "startTime",
 def flatten_nested(spark: SparkSession, d: str) -> DataFrame:
     """SRC-03 + FN-16 + PRJ-04 + PRJ-05: parse API records from JSON text and flatten them."""
     n = V.nested(spark, d)
-    recs = n.select(F.from_json("payload", PAYLOAD_RECORD).alias("r")).select("r.*")
+    recs = n.select(F.from_json("payload", PAYLOAD_RECORD, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return I.flatten_hourly(recs)
 
 

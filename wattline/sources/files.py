@@ -13,13 +13,14 @@ from wattline.sources.schemas import PAYLOAD_ENVELOPE
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0) -> DataFrame:
+             sampling_ratio: float = 1.0, mode: str = "PERMISSIVE") -> DataFrame:
     """SRC-01: CSV with a header row.
 
     Without ``schema`` the types are inferred, which costs one extra pass
     over the files (or ``sampling_ratio`` of them); pass the schema at scale.
+    ``mode="FAILFAST"`` fails on a malformed line instead of nulling it.
     """
-    r = spark.read.option("header", True)
+    r = spark.read.option("header", True).option("mode", mode)
     if schema is not None:
         return r.schema(schema).csv(path)
     return r.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)
@@ -29,9 +30,10 @@ def read_series_csv(spark: SparkSession, path: str, schema: T.StructType | str |
                     time_col: str = "time") -> DataFrame:
     """SRC-02: CSV scan; a ``time`` column, if any, becomes a naive timestamp.
 
-    Text that is not a timestamp fails the job, like a strict parse.
+    Strict throughout: a malformed line or a time text that is not a
+    timestamp fails the job instead of turning into NULLs.
     """
-    df = read_csv(spark, path, schema)
+    df = read_csv(spark, path, schema, mode="FAILFAST")
     if time_col not in df.columns:
         return df
     kind = df.schema[time_col].dataType
@@ -46,11 +48,12 @@ def read_landed_payloads(spark: SparkSession, path: str,
 
     Each file holds a response envelope; a missing ``data`` list yields no
     rows.  The declared schema avoids an inference pass and turns integer
-    quantities into doubles.  ``multi_line`` reads one (indented) document
+    quantities into doubles.  A malformed document fails the job rather
+    than vanishing as a NULL record.  ``multi_line`` reads one (indented) document
     per file, as a response is saved; turn it off for JSON lines, which
     split into parallel tasks within a file.
     """
-    env = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    env = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     return env.select(F.explode("data").alias("rec")).select("rec.*")
 
 

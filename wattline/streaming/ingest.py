@@ -25,6 +25,7 @@ def landed_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     """
     env = (spark.readStream.schema(PAYLOAD_ENVELOPE)
            .option("multiLine", multi_line)
+           .option("mode", "FAILFAST")
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .json(landing_dir))
     return flatten_hourly(env.select(F.explode("data").alias("r")).select("r.*"))
