@@ -26,3 +26,15 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_queries_ignore_the_callers_time_zone(spark, con):
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "America/New_York")
+    try:
+        for name in ("daily_by_group", "utc_january", "hourly_all_areas", "series_arrays", "axis_dates"):
+            r = compare(spark, name, SF_SMALL, con)
+            assert r["exact"], r
+        assert spark.conf.get(key) == "America/New_York"
+    finally:
+        spark.conf.set(key, "UTC")

@@ -8,6 +8,7 @@ return the read-back DataFrame.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +80,20 @@ def _with(*names: str, extra: str = "") -> str:
 
 
 def register(name: str, sql: str | None):
+    """Register a query; it is built (analysed) under the UTC session zone.
+
+    Times are naive UTC throughout; building the whole plan under UTC keeps
+    parsing and truncation exact whatever zone the caller's session uses.
+    """
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def built_in_utc(spark: SparkSession, d: str) -> DataFrame:
+            with utc_zone(spark):
+                return fn(spark, d)
+        QUERIES[name] = built_in_utc
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return built_in_utc
     return deco
 
 
