@@ -47,8 +47,7 @@ def area_group_with_total(df: DataFrame, value: str = "quantitykwh", raw: bool =
     s = F.sum(value) if raw else F.sum(value).cast("double")
     g = (df.groupingSets([["pricearea", "productiongroup"], ["productiongroup"]],
                          "pricearea", "productiongroup")
-         .agg(F.when(is_total, F.coalesce(s, F.lit(0).cast(_sum_type(df, value, raw))))
-              .otherwise(s).alias("Total_Kwh"),
+         .agg(F.when(is_total, F.coalesce(s, F.lit(0))).otherwise(s).alias("Total_Kwh"),
               is_total.alias("_is_total")))
     return (g.filter(~(F.col("_is_total") & F.col("productiongroup").isNull()))
             .select(F.when(F.col("_is_total"), F.lit(TOTAL)).otherwise(F.col("pricearea")).alias("pricearea"),
@@ -66,12 +65,6 @@ def area_selection(summary: DataFrame, area: str | None) -> DataFrame:
     return summary.filter(F.col("pricearea") == key)
 
 
-def _sum_type(df: DataFrame, value: str, raw: bool) -> str:
-    if not raw:
-        return "double"
-    return df.schema[value].dataType.simpleString()
-
-
 def hourly_group_totals(df: DataFrame, time_col: str = "starttime",
                         value: str = "quantitykwh") -> DataFrame:
     """AGG-03: total over areas per (hour, group); Spark null rules."""
