@@ -1,0 +1,73 @@
+"""Random inputs: Spark operators against the pandas behaviour the app relies on.
+
+The app computes its totals and scaling in pandas; these properties check
+that the Spark operators give the same numbers on random small frames,
+NULL keys, NULL and NaN values included.
+"""
+
+import math
+
+import pandas as pd
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from wattline.operators import aggregates as A
+from wattline.operators import normalize as NZ
+
+SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+
+groups = st.sampled_from(["hydro", "wind", "solar", None])
+areas = st.sampled_from(["NO1", "NO2", None])
+values = st.one_of(st.none(), st.integers(-50, 50).map(float))
+rows = st.lists(st.tuples(areas, groups, values), min_size=0, max_size=25)
+
+
+def close(a, b):
+    if a is None or (isinstance(a, float) and math.isnan(a)):
+        return b is None or (isinstance(b, float) and math.isnan(b))
+    return b is not None and abs(a - b) <= 1e-9 * max(1.0, abs(a), abs(b))
+
+
+@SETTINGS
+@given(rows)
+def test_group_totals_match_pandas_groupby_sum(spark, data):
+    df = spark.createDataFrame(data, "pricearea string, productiongroup string, quantitykwh double")
+    got = {r["productiongroup"]: r["quantitykwh"] for r in A.group_totals(df).collect()}
+    pdf = pd.DataFrame(data, columns=["pricearea", "productiongroup", "quantitykwh"], dtype=object)
+    pdf["quantitykwh"] = pdf["quantitykwh"].astype(float)
+    want = pdf.groupby("productiongroup")["quantitykwh"].sum().to_dict()
+    assert set(got) == set(want)
+    assert all(close(got[k], want[k]) for k in want)
+
+
+@SETTINGS
+@given(rows)
+def test_all_area_rows_match_regrouped_summary(spark, data):
+    df = spark.createDataFrame(data, "pricearea string, productiongroup string, quantitykwh double")
+    out = A.area_group_with_total(df).collect()
+    total = {r["productiongroup"]: r["Total_Kwh"] for r in out if r["pricearea"] == "Total"}
+    per_area = [(r["pricearea"], r["productiongroup"], r["Total_Kwh"]) for r in out if r["pricearea"] != "Total"]
+    summary = pd.DataFrame(per_area, columns=["pricearea", "productiongroup", "Total_Kwh"], dtype=object)
+    summary["Total_Kwh"] = summary["Total_Kwh"].astype(float)
+    want = summary.groupby("productiongroup")["Total_Kwh"].sum().to_dict()
+    assert set(total) == set(want)
+    assert all(close(total[k], want[k]) for k in want)
+
+
+series = st.lists(st.one_of(st.none(), st.just(float("nan")), st.integers(-20, 20).map(float)),
+                  min_size=1, max_size=20)
+
+
+def pandas_scaled(vals):
+    s = pd.Series(vals, dtype=float)
+    lo, hi = s.min(), s.max()
+    return list(s - lo) if hi == lo else list((s - lo) / (hi - lo))
+
+
+@SETTINGS
+@given(series)
+def test_scaling_matches_pandas(spark, vals):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, x double")
+    got = [r["x"] for r in NZ.scale_min_max(df, ["x"], mode="keep_nulls").orderBy("i").collect()]
+    want = pandas_scaled(vals)
+    assert all(close(g, None if math.isnan(w) else w) for g, w in zip(got, want)), (vals, got, want)
