@@ -25,8 +25,12 @@ def lenient_utc(c: Column | str) -> Column:
 
 
 def day_floor(c: Column | str) -> Column:
-    """FN-04: midnight of the same day, kept zone-less."""
-    return F.date_trunc("day", _c(c)).cast("timestamp_ntz")
+    """FN-04: midnight of the same day, kept zone-less.
+
+    Through ``date`` rather than ``date_trunc``: for a naive timestamp both
+    casts are zone-free, so no session-zone arithmetic runs per row.
+    """
+    return _c(c).cast("date").cast("timestamp_ntz")
 
 
 def hour_floor(c: Column | str) -> Column:
