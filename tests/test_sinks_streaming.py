@@ -136,3 +136,13 @@ def test_utc_zone_restores_and_keeps_semantics(spark):
         assert df.first()["t"] == dt.datetime(2020, 12, 31, 23, 0)
     finally:
         spark.conf.set(key, "UTC")
+
+
+def test_read_back_schema_check(spark):
+    path = scratch_path(spark, "schema")
+    df = spark.range(10).select("id", (F.col("id") % 2).cast("int").alias("p"), F.lit("x").alias("s"))
+    S.overwrite_partitioned(df, path, ["p"])
+    back = spark.read.parquet(path)
+    assert S.read_back_check(10, back, df.schema).first()["schema_match"] is True
+    other = df.withColumn("s", F.lit(1.0))
+    assert S.read_back_check(10, back, other.schema).first()["schema_match"] is False

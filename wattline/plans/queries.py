@@ -485,14 +485,14 @@ def partitioned_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("read_back_check", """SELECT count(*) AS written, count(*) AS read_back, true AS "match"
-FROM lineitem""")
+@register("read_back_check", """SELECT count(*) AS written, count(*) AS read_back, true AS "match",
+  true AS schema_match FROM lineitem""")
 def read_back_check(spark: SparkSession, d: str) -> DataFrame:
     """SNK-06: rows written (observed during the write) against rows read back, as one row."""
     path = scratch_path(spark, "checked")
-    w = V.weather(spark, d)
-    written = S.overwrite_partitioned_counted(w.withColumn("year", F.year("time")), path, ["year"])
-    return S.read_back_check(written, spark.read.parquet(path))
+    w = V.weather(spark, d).withColumn("year", F.year("time"))
+    written = S.overwrite_partitioned_counted(w, path, ["year"])
+    return S.read_back_check(written, spark.read.parquet(path), w.schema)
 
 
 # ------------------------------------------------------------ weather path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def land_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -70,11 +71,26 @@ def key_is_unique(df: DataFrame, key: str) -> DataFrame:
         .withColumn("unique", F.col("n_rows") == F.col("n_keys"))
 
 
-def read_back_check(written_rows: int, read_back: DataFrame) -> DataFrame:
-    """SNK-06: one row ``(written, read_back, match)`` for a finished write."""
+def same_schema(expected: StructType, actual: StructType) -> bool:
+    """Same column names and types, in any order; nullability is ignored
+    (Parquet does not keep NOT NULL, and partition columns move to the end)."""
+    def norm(s: StructType) -> dict[str, str]:
+        return {f.name.lower(): f.dataType.simpleString() for f in s.fields}
+    return norm(expected) == norm(actual)
+
+
+def read_back_check(written_rows: int, read_back: DataFrame,
+                    expected_schema: StructType | None = None) -> DataFrame:
+    """SNK-06: one row ``(written, read_back, match, schema_match)`` for a finished write.
+
+    The schema test runs at plan time; the count is one aggregate over the
+    read-back table.
+    """
+    schema_ok = expected_schema is None or same_schema(expected_schema, read_back.schema)
     return read_back.agg(F.count(F.lit(1)).alias("read_back")) \
         .select(F.lit(written_rows).cast("long").alias("written"), "read_back",
-                (F.col("read_back") == F.lit(written_rows)).alias("match"))
+                (F.col("read_back") == F.lit(written_rows)).alias("match"),
+                F.lit(schema_ok).alias("schema_match"))
 
 
 def to_driver(df: DataFrame, max_rows: int = 100_000):
