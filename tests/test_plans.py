@@ -12,7 +12,8 @@ from wattline.plans.queries import QUERIES
 from wattline.session import scratch_path
 
 WRITERS = {"batch_union", "streamed_ingest", "json_round_trip", "table_append_read",
-           "csv_round_trip", "partitioned_overwrite", "read_back_check"}
+           "csv_round_trip", "partitioned_overwrite", "read_back_check",
+           "curate_from_landing", "curated_january"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))

@@ -146,3 +146,22 @@ def test_read_back_schema_check(spark):
     assert S.read_back_check(10, back, df.schema).first()["schema_match"] is True
     other = df.withColumn("s", F.lit(1.0))
     assert S.read_back_check(10, back, other.schema).first()["schema_match"] is False
+
+
+def test_load_and_curate_chain_and_pruned_month(spark, tmp_path):
+    from wattline.plans.checks import plan_text
+    from wattline.sinks.curate import curated_month, load_and_curate
+    land = tmp_path / "landing"
+    land.mkdir()
+    for name, area, start in (("a.json", "NO1", "2021-01-31T23:00:00+01:00"), ("b.json", "NO2", "2021-02-01T00:00:00+01:00")):
+        doc = {"data": [{"priceArea": area, "attributes": {"productionPerGroupMbaHour": [
+            {"priceArea": area, "productionGroup": "hydro", "startTime": start, "endTime": "e",
+             "lastUpdatedTime": "u", "quantityKwh": 2}]}}]}
+        (land / name).write_text(json.dumps(doc, indent=4))
+    base = scratch_path(spark, "cur")
+    check = load_and_curate(spark, str(land), "wl_cur.stored", f"{base}/t", f"{base}/c").first()
+    assert (check["written"], check["match"], check["schema_match"]) == (2, True, True)
+    jan = curated_month(spark, f"{base}/c", 2021, 1)
+    assert [r["pricearea"] for r in jan.collect()] == ["NO1"]   # local text month, not UTC
+    assert "PartitionFilters: [isnotnull(year" in plan_text(jan)
+    assert read_table(spark, "wl_cur.stored").count() == 2

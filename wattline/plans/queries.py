@@ -28,6 +28,7 @@ from wattline.operators.profile import profile
 from wattline.plans import views as V
 from wattline.session import scratch_path, utc_zone
 from wattline.sinks import writers as S
+from wattline.sinks.curate import curated_month, load_and_curate
 from wattline.sources import files as SRC
 from wattline.sources.schemas import CURATED_COLUMNS, PAYLOAD_RECORD, PRODUCTION, STORED_TABLE_DDL
 from wattline.sources.tables import read_table
@@ -425,8 +426,8 @@ def batch_union(spark: SparkSession, d: str) -> DataFrame:
 def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Streaming ingest: landed response files -> flatten -> Parquet, exactly once.
 
-    The API records are landed as response envelopes (a few files per
-    task), then a file stream with ``availableNow`` flattens and appends
+    The API records are landed as JSON lines, one response envelope per
+    line, then a file stream with ``availableNow`` flattens and appends
     them; its checkpoint makes a rerun skip files already loaded.
     """
     land = scratch_path(spark, "landing")
@@ -437,6 +438,37 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _curated(spark: SparkSession, d: str) -> str:
+    """Land N as response files, run the ingest chain, return the curated folder."""
+    land, base = scratch_path(spark, "landing"), scratch_path(spark, "curate")
+    recs = V.nested_records(spark, d).select(F.struct("priceArea", "attributes").alias("rec"))
+    S.land_json(recs.select(F.array("rec").alias("data")), land)
+    name = "wattline_store.stored_" + base.rsplit("-", 1)[-1]
+    check = load_and_curate(spark, land, name, f"{base}/table", f"{base}/curated", multi_line=False).first()
+    if not (check["match"] and check["schema_match"]):
+        raise RuntimeError(f"curated write check failed: {check}")
+    return f"{base}/curated"
+
+
+_CURATED_SQL = _with("R") + """SELECT "priceArea" AS pricearea, "productionGroup" AS productiongroup,
+  "startTime" AS starttime, "quantityKwh" AS quantitykwh,
+  CAST(substring("startTime", 1, 4) AS INTEGER) AS "year", CAST(substring("startTime", 6, 2) AS INTEGER) AS "month"
+FROM R"""
+
+
+@register("curate_from_landing", _CURATED_SQL)
+def curate_from_landing(spark: SparkSession, d: str) -> DataFrame:
+    """SURVEY 3.1: landed JSON -> flatten -> table append -> curated partitioned write, read back."""
+    return spark.read.parquet(_curated(spark, d))
+
+
+@register("curated_january", _CURATED_SQL + """ WHERE substring("startTime", 1, 4) = '2024'
+  AND substring("startTime", 6, 2) = '01'""")
+def curated_january(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-06 served by partition pruning on the curated collection."""
+    return curated_month(spark, _curated(spark, d), YEAR, MONTH)
+
+
 # ------------------------------------------------------------ sink path
 
 
