@@ -12,13 +12,33 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# Settings for a large cluster reading ~100 TB of Parquet.  Most shuffles
+# here carry per-task partial aggregates, so they are small; the settings
+# matter for the row-level sorts, the nested-view build and the writes.
+CLUSTER_CONF = {
+    # ~256 MB scan splits: fewer, fuller tasks for a 100 TB scan (~400k tasks).
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Start wide and let AQE merge shuffle partitions up to ~256 MB each.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # A key holding a large share of the rows is split at run time.
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Retry a lost executor's tasks rather than failing the job.
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
 def build_session(master: str = "local[*]", app: str = "wattline",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
+                  extra: dict[str, str] | None = None, cluster: bool = False) -> SparkSession:
     """Session with AQE on, UTC session time and no UI.
 
-    ``shuffle_partitions`` should be sized so one shuffle partition holds
-    roughly 128-256 MB at the target scale; AQE coalesces small ones.
+    ``cluster=True`` applies ``CLUSTER_CONF``.  ``shuffle_partitions``
+    should be sized so one shuffle partition holds roughly 128-256 MB at the
+    target scale; AQE coalesces small ones.
     """
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
@@ -26,6 +46,8 @@ def build_session(master: str = "local[*]", app: str = "wattline",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+    for k, v in (CLUSTER_CONF if cluster else {}).items():
+        b = b.config(k, v)
     if shuffle_partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
