@@ -104,3 +104,11 @@ def test_hot_partition_value_is_split_across_writers(spark):
     hot = [f for f in os.listdir(os.path.join(path.replace("file:", ""), "month=1")) if f.endswith(".parquet")]
     assert len(hot) > 1  # the month holding a third of the rows went to several writers
     assert spark.read.parquet(path).count() == n
+
+
+@pytest.mark.parametrize("name", ["daily_by_group", "normalized_long", "window_coverage", "share_of_area"])
+def test_final_plans_are_whole_stage_compiled(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "*(" in final and "Python" not in final
