@@ -298,3 +298,8 @@ def test_batches_are_not_deduplicated(spark):
     # S18: a record landed twice (overlapping request bounds) stays twice.
     a = facts(spark, [("NO1", "hydro", 1.0)])
     assert I.union_batches([a, a]).count() == 2
+
+
+def test_area_and_group_options():
+    assert L.area_options() == ["All Areas", "NO1", "NO2", "NO3", "NO4", "NO5"]
+    assert L.group_options() == ["hydro", "wind", "thermal", "solar", "other"]

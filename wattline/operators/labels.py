@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.calendar import ALL_MONTHS, COLUMN_SENTINEL, MONTH_NAMES
-from wattline.functions.colours import DOMINANT_GROUP, axis_of, colour_of
+from wattline.functions.calendar import ALL_MONTHS, AREA_SENTINELS, COLUMN_SENTINEL, MONTH_NAMES
+from wattline.functions.colours import (DOMINANT_GROUP, PRICE_AREAS, PRODUCTION_GROUPS, axis_of,
+                                        colour_of)
 from wattline.functions.text import percent_label, thousands
 
 
@@ -48,6 +49,16 @@ def month_options() -> list[str]:
     return [ALL_MONTHS] + list(MONTH_NAMES)
 
 
+def area_options() -> list[str]:
+    """SET-02 for the area selector: ``All Areas`` then the five price areas."""
+    return [AREA_SENTINELS[1]] + list(PRICE_AREAS)
+
+
+def group_options() -> list[str]:
+    """The group choices (no sentinel: an empty choice means every group, FLT-04)."""
+    return list(PRODUCTION_GROUPS)
+
+
 def first_rows(df: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:
     """SRT-03: first ``n`` rows; with an order this is a top-k (no full sort)."""
     return (df.orderBy(*order) if order else df).limit(n)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# One hourly entry of the API's nested list (field names as delivered).
+# The field names of the delivered payload and of the stored
+# and curated tables must stay as they are.
+
+# One hourly entry of the API's nested list.
 HOURLY_ENTRY = T.StructType([
     T.StructField("priceArea", T.StringType()),
     T.StructField("productionGroup", T.StringType()),
