@@ -71,3 +71,63 @@ def test_scaling_matches_pandas(spark, vals):
     got = [r["x"] for r in NZ.scale_min_max(df, ["x"], mode="keep_nulls").orderBy("i").collect()]
     want = pandas_scaled(vals)
     assert all(close(g, None if math.isnan(w) else w) for g, w in zip(got, want)), (vals, got, want)
+
+
+import datetime as dt
+
+from dateutil.relativedelta import relativedelta
+from pyspark.sql import functions as F
+
+from wattline.functions.timeops import lenient_utc
+from wattline.operators.coverage import month_windows
+
+stamps = st.tuples(st.datetimes(min_value=dt.datetime(2020, 1, 1), max_value=dt.datetime(2022, 12, 31)),
+                   st.sampled_from(["+01:00", "+02:00", "-05:00", "+00:00", "Z"]))
+
+
+@SETTINGS
+@given(st.lists(stamps, min_size=1, max_size=15))
+def test_offset_text_parse_matches_pandas(spark, data):
+    texts = [t.replace(microsecond=0).strftime("%Y-%m-%dT%H:%M:%S") + off for t, off in data]
+    got = [r["t"] for r in spark.createDataFrame([(x,) for x in texts], "s string")
+           .select(lenient_utc("s").alias("t")).collect()]
+    want = pd.to_datetime(pd.Series(texts), errors="coerce", utc=True, format="ISO8601").dt.tz_localize(None)
+    assert got == [w.to_pydatetime() for w in want]
+
+
+events = st.lists(st.tuples(st.datetimes(min_value=dt.datetime(2021, 1, 1), max_value=dt.datetime(2021, 1, 5)),
+                            groups, values), min_size=0, max_size=25)
+
+
+@SETTINGS
+@given(events)
+def test_daily_totals_match_pandas_floor_groupby(spark, data):
+    df = spark.createDataFrame(data, "starttime timestamp_ntz, productiongroup string, quantitykwh double")
+    got = {(r["date"], r["productiongroup"]): r["quantitykwh"] for r in A.daily_group_totals(df).collect()}
+    pdf = pd.DataFrame(data, columns=["starttime", "productiongroup", "quantitykwh"])
+    pdf["quantitykwh"] = pdf["quantitykwh"].astype(float)
+    pdf["date"] = pd.to_datetime(pdf["starttime"]).dt.floor("D")
+    want = pdf.groupby(["date", "productiongroup"], as_index=False)["quantitykwh"].sum()
+    want = {(r.date.to_pydatetime(), r.productiongroup): r.quantitykwh for r in want.itertuples()}
+    assert set(got) == set(want)
+    assert all(close(got[k], want[k]) for k in want)
+
+
+def loop_windows(start: dt.date, end: dt.date):
+    out, cur = [], start
+    while cur <= end:
+        nxt = cur + relativedelta(months=1)
+        out.append((cur, min(nxt - dt.timedelta(days=1), end)))
+        cur = nxt
+    return out
+
+
+@SETTINGS
+@given(st.dates(min_value=dt.date(2019, 1, 1), max_value=dt.date(2023, 12, 31)).filter(lambda d: d.day <= 28),
+       st.integers(0, 800))
+def test_month_windows_match_date_loop(spark, start, span):
+    end = start + dt.timedelta(days=span)
+    keys = spark.createDataFrame([("NO1",)], "pricearea string")
+    got = [(r["window_start"], r["window_end"]) for r in
+           month_windows(keys, "pricearea", start.isoformat(), end.isoformat()).orderBy("window_start").collect()]
+    assert got == loop_windows(start, end)
