@@ -303,3 +303,10 @@ def test_batches_are_not_deduplicated(spark):
 def test_area_and_group_options():
     assert L.area_options() == ["All Areas", "NO1", "NO2", "NO3", "NO4", "NO5"]
     assert L.group_options() == ["hydro", "wind", "thermal", "solar", "other"]
+
+
+def test_flatten_adds_batch_key_when_entries_lack_it(spark):
+    schema = "priceArea string, attributes struct<productionPerGroupMbaHour: array<struct<productionGroup: string, quantityKwh: double>>>"
+    df = spark.createDataFrame([("NO4", {"productionPerGroupMbaHour": [{"productionGroup": "wind", "quantityKwh": 2.0}]})], schema)
+    out = I.flatten_hourly(df).collect()
+    assert out[0].asDict() == {"priceArea": "NO4", "productionGroup": "wind", "quantityKwh": 2.0}

@@ -15,7 +15,8 @@ def flatten_hourly(records: DataFrame, list_path: str = "attributes.productionPe
 
     A record without the attribute, or with a missing or empty list, gives
     no rows (``explode``, not ``explode_outer``).  The entry's own area wins;
-    the batch key stamped on the outer record fills it when NULL.  Works
+    the batch key stamped on the outer record fills it when NULL, or is
+    added when the entries carry no such field.  Works
     record by record inside a task: no shuffle, lists are never merged.
     """
     has_outer = outer_key in records.columns
@@ -29,6 +30,8 @@ def flatten_hourly(records: DataFrame, list_path: str = "attributes.productionPe
         if f == outer_key:
             c = F.coalesce(c, F.col("_outer"))
         cols.append(c.alias(f))
+    if has_outer and outer_key not in fields:
+        cols.insert(0, F.col("_outer").alias(outer_key))
     return x.select(*cols)
 
 
