@@ -26,8 +26,12 @@ def test_table_recreate_append_read(spark):
     back = read_table(spark, "wl_test.prod")
     assert back.count() == 2
     assert S.key_is_unique(back, "ind").first()["unique"] is False
-    S.recreate_table(spark, "wl_test.prod", STORED_TABLE_DDL, f"{base}/prod2")
+    S.recreate_table(spark, "wl_test.prod", STORED_TABLE_DDL, f"{base}/prod")  # same folder
     assert read_table(spark, "wl_test.prod").count() == 0
+    S.recreate_table(spark, "wl_test.managed", STORED_TABLE_DDL)
+    S.append_table(df, "wl_test.managed")
+    S.recreate_table(spark, "wl_test.managed", STORED_TABLE_DDL)
+    assert read_table(spark, "wl_test.managed").count() == 0
     with pytest.raises(ValueError):
         S.append_table(df.drop("quantityKwh"), "wl_test.prod")
 

@@ -22,10 +22,20 @@ def create_namespace(spark: SparkSession, name: str, location: str | None = None
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{loc}")
 
 
-def recreate_table(spark: SparkSession, qualified: str, ddl: str, location: str) -> None:
-    """SNK-05: drop and create a typed Parquet table at a shared location."""
+def recreate_table(spark: SparkSession, qualified: str, ddl: str, location: str | None = None) -> None:
+    """SNK-05: drop and create an empty typed Parquet table.
+
+    Without ``location`` the table is managed (inside the namespace's
+    folder) and dropping it deletes its data.  With ``location`` the table
+    is external, so the folder is first emptied by an overwrite of zero
+    rows; otherwise the new table would show the old files.
+    """
     spark.sql(f"DROP TABLE IF EXISTS {qualified}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {qualified} ({ddl}) USING parquet LOCATION '{location}'")
+    if location is None:
+        spark.sql(f"CREATE TABLE {qualified} ({ddl}) USING parquet")
+        return
+    spark.createDataFrame([], ddl).write.mode("overwrite").parquet(location)
+    spark.sql(f"CREATE TABLE {qualified} ({ddl}) USING parquet LOCATION '{location}'")
 
 
 def append_table(df: DataFrame, qualified: str) -> None:
