@@ -112,3 +112,11 @@ def test_final_plans_are_whole_stage_compiled(spark, name):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "*(" in final and "Python" not in final
+
+
+@pytest.mark.parametrize("name", sorted(V.TABLE_SCHEMAS))
+def test_declared_table_schemas_match_the_files(spark, name):
+    from pyspark.sql.types import _parse_datatype_string
+    inferred = spark.read.parquet(f"{SF_SMALL}/{name}.parquet").schema
+    declared = _parse_datatype_string(V.TABLE_SCHEMAS[name])
+    assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in declared]
