@@ -36,22 +36,27 @@ def area_group_totals(df: DataFrame, value: str = "quantitykwh") -> DataFrame:
 
 
 def area_group_with_total(df: DataFrame, value: str = "quantitykwh", raw: bool = False) -> DataFrame:
-    """AGG-01 + AGG-02 in one pass: per (area, group) rows plus ``Total`` rows per group.
-
-    One grouping-sets aggregate (one scan, one shuffle).  Per-area rows keep
-    Spark's rules; ``Total`` rows follow the pandas re-aggregation: NULL
-    groups dropped, all-NULL sums become 0.  ``raw`` keeps the sum in the
-    input type (for exact shares).
+    """AGG-01 + AGG-02: per (area, group) rows plus ``Total`` rows per group.
+
+    The facts are aggregated once per (area, group); the ``Total`` rows
+    re-aggregate that small summary, as the reference does, instead of a
+    grouping-sets ``Expand`` that would double every fact row before the
+    partial aggregate.  Both branches read the same shuffle (reused), so
+    the facts are scanned once.  Per-area rows keep Spark's rules; ``Total``
+    rows follow the pandas re-aggregation: NULL groups dropped, all-NULL
+    sums become 0.  ``raw`` keeps the sums in the input type (exact shares).
     """
-    is_total = F.grouping("pricearea") == 1
-    s = F.sum(value) if raw else F.sum(value).cast("double")
-    g = (df.groupingSets([["pricearea", "productiongroup"], ["productiongroup"]],
-                         "pricearea", "productiongroup")
-         .agg(F.when(is_total, F.coalesce(s, F.lit(0))).otherwise(s).alias("Total_Kwh"),
-              is_total.alias("_is_total")))
-    return (g.filter(~(F.col("_is_total") & F.col("productiongroup").isNull()))
-            .select(F.when(F.col("_is_total"), F.lit(TOTAL)).otherwise(F.col("pricearea")).alias("pricearea"),
-                    "productiongroup", "Total_Kwh"))
+    per = df.groupBy("pricearea", "productiongroup").agg(F.sum(value).alias("Total_Kwh"))
+    # The NULL group is dropped by a test on an aggregate output: a filter on
+    # the grouping key itself would be pushed below both aggregates into the
+    # scan, and the two branches would no longer share one shuffle.
+    total = (per.groupBy("productiongroup")
+             .agg(F.coalesce(F.sum("Total_Kwh"), F.lit(0)).alias("Total_Kwh"),
+                  F.max(F.col("productiongroup").isNull()).alias("_null_group"))
+             .filter(~F.col("_null_group"))
+             .select(F.lit(TOTAL).alias("pricearea"), "productiongroup", "Total_Kwh"))
+    out = per.unionByName(total)
+    return out if raw else out.withColumn("Total_Kwh", F.col("Total_Kwh").cast("double"))
 
 
 def area_selection(summary: DataFrame, area: str | None) -> DataFrame:

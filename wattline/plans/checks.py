@@ -71,3 +71,27 @@ def single_partition_inputs(df: DataFrame) -> list[str]:
         else:
             out.append(child[1] if child else "?")
     return out
+
+
+_STAGES = ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec", "ResultQueryStageExec")
+
+
+def executed_scans(df: DataFrame) -> int:
+    """File scans that actually ran in the final plan of an executed DataFrame.
+
+    Walks the adaptive plan's final tree; a reused exchange counts no scan,
+    since its data comes from a shuffle another branch already wrote.
+    Subquery plans are not walked.
+    """
+    def walk(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "ReusedExchangeExec":
+            return 0
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name in _STAGES:
+            return walk(node.plan())
+        n = 1 if name in ("FileSourceScanExec", "BatchScanExec") else 0
+        ch = node.children()
+        return n + sum(walk(ch.apply(i)) for i in range(ch.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
