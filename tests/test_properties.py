@@ -76,7 +76,6 @@ def test_scaling_matches_pandas(spark, vals):
 import datetime as dt
 
 from dateutil.relativedelta import relativedelta
-from pyspark.sql import functions as F
 
 from wattline.functions.timeops import lenient_utc
 from wattline.operators.coverage import month_windows

@@ -6,6 +6,6 @@ prune columns and plan two-phase aggregates.  Only the functions in
 ``wattline.sinks`` run Spark jobs.
 """
 
-from wattline.session import build_session, scratch_path, use_utc
+from wattline.session import build_session, scratch_path, use_utc, utc_zone
 
-__all__ = ["build_session", "scratch_path", "use_utc"]
+__all__ = ["build_session", "scratch_path", "use_utc", "utc_zone"]
