@@ -102,6 +102,18 @@ def _rows_double(df: DataFrame, col: str = "quantitykwh") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double"))
 
 
+def _dates_as_midnight(df: DataFrame, *cols: str) -> DataFrame:
+    """Registered results carry window bounds as midnight timestamps.
+
+    The operators return dates; pandas receives a Spark date as a Python
+    date but a DuckDB DATE as a timestamp, so both sides of the check use
+    timestamps (the oracle casts its dates the same way).
+    """
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     with utc_zone(spark):
         return V.production_text(spark, d).withColumn("starttime", lenient_utc("starttime"))
@@ -361,7 +373,8 @@ M AS (SELECT CAST(range AS DATE) AS window_start
       FROM range(DATE '2021-01-01', DATE '2022-01-01', INTERVAL 1 MONTH)),
 X AS (SELECT pricearea, window_start,
       least(CAST(window_start + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), DATE '2021-12-31') AS window_end
-      FROM K, M)""") + """SELECT pricearea, window_start, window_end,
+      FROM K, M)""") + """SELECT pricearea, CAST(window_start AS TIMESTAMP) AS window_start,
+  CAST(window_end AS TIMESTAMP) AS window_end,
   strftime(window_start, '%Y-%m-%d') || 'T00:00:00+01:00' AS start_param,
   strftime(window_end + INTERVAL 1 DAY, '%Y-%m-%d') || 'T00:00:00+01:00' AS end_param,
   url_encode(strftime(window_start, '%Y-%m-%d') || 'T00:00:00+01:00') AS start_encoded,
@@ -369,7 +382,8 @@ X AS (SELECT pricearea, window_start,
 FROM X""")
 def month_windows_2021(spark: SparkSession, d: str) -> DataFrame:
     """GEN-01 + JN-01 + FN-12..FN-14: monthly request windows of 2021 for every area present."""
-    return month_windows(V.production(spark, d), "pricearea", "2021-01-01", "2021-12-31")
+    w = month_windows(V.production(spark, d), "pricearea", "2021-01-01", "2021-12-31")
+    return _dates_as_midnight(w, "window_start", "window_end")
 
 
 # ------------------------------------------------------------- ingest path
@@ -655,14 +669,16 @@ def axis_dates(spark: SparkSession, d: str) -> DataFrame:
 K AS (SELECT DISTINCT l_returnflag FROM C),
 M AS (SELECT CAST(range AS DATE) AS window_start
       FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH))
-SELECT K.l_returnflag, M.window_start,
-  least(CAST(M.window_start + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), DATE '2001-12-31') AS window_end,
+SELECT K.l_returnflag, CAST(M.window_start AS TIMESTAMP) AS window_start,
+  CAST(least(CAST(M.window_start + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), DATE '2001-12-31') AS TIMESTAMP)
+    AS window_end,
   COALESCE(C.n, 0) AS n_rows
 FROM K CROSS JOIN M LEFT JOIN C ON C.l_returnflag = K.l_returnflag AND C.window_start = M.window_start""")
 def window_coverage_q(spark: SparkSession, d: str) -> DataFrame:
     """GEN-01 + AGG-12: rows per (flag, month window), 0 where a window got nothing."""
     li = V.table(spark, d, "lineitem")
-    return window_coverage(li, "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
+    cov = window_coverage(li, "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
+    return _dates_as_midnight(cov, "window_start", "window_end")
 
 
 def _profile_sql() -> str:
