@@ -196,7 +196,7 @@ HAVING NOT (GROUPING(pricearea) = 1 AND productiongroup IS NULL)"""
        ELSE CAST(SUM(quantitykwh) AS DOUBLE) END AS "Total_Kwh"
 """ + _GSETS)
 def area_group_with_total(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-01 + AGG-02 + FLT-07 in one grouping-sets pass (``Total`` = all areas)."""
+    """AGG-01 + AGG-02 + FLT-07: per-area totals plus ``Total`` rows re-aggregated from them (one scan)."""
     return A.area_group_with_total(V.production_text(spark, d))
 
 
