@@ -135,3 +135,22 @@ def test_executed_scan_count_sees_real_rescans(spark):
     one = agg.union(agg.select("event_type", (F.col("s") * 2).alias("s")))
     one.collect()
     assert executed_scans(one) == 1
+
+
+def test_hot_group_shuffles_partials_not_rows(spark):
+    from wattline.operators import aggregates as A
+    from wattline.plans.checks import shuffle_records_written
+    n, tasks = 300_000, 8
+    facts = spark.range(0, n, numPartitions=tasks).select(
+        F.lit("NO1").alias("pricearea"),
+        F.when(F.col("id") % 3 == 0, F.lit("hydro")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+         .alias("productiongroup"),
+        F.lit(1.0).alias("quantitykwh"))
+    totals = A.group_totals(facts)
+    got = {r["productiongroup"]: r["quantitykwh"] for r in totals.collect()}
+    assert got["hydro"] == n / 3
+    groups = len(got)
+    assert shuffle_records_written(totals) <= tasks * groups  # one partial row per group per task
+    raw = facts.repartition("productiongroup")  # what a per-key repartition would move
+    raw.collect()
+    assert shuffle_records_written(raw) == n

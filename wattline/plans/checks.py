@@ -95,3 +95,21 @@ def executed_scans(df: DataFrame) -> int:
         ch = node.children()
         return n + sum(walk(ch.apply(i)) for i in range(ch.size()))
     return walk(df._jdf.queryExecution().executedPlan())
+
+
+def shuffle_records_written(df: DataFrame) -> int:
+    """Records written by all shuffles of an executed DataFrame (from the SQL metrics)."""
+    def walk(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name in _STAGES:
+            return walk(node.plan())
+        n = 0
+        if name == "ShuffleExchangeExec":
+            m = node.metrics()
+            if m.contains("shuffleRecordsWritten"):
+                n += int(m.apply("shuffleRecordsWritten").value())
+        ch = node.children()
+        return n + sum(walk(ch.apply(i)) for i in range(ch.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
