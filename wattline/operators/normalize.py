@@ -4,7 +4,9 @@ The stats of all metrics come from one aggregate (one scan, partial
 min/max per task) returned as a single struct by a scalar subquery.  Spark
 runs that subquery once and inlines the result as a literal in the scaling
 projection: no join, no broadcast of anything that grows, and no window
-that would pull rows into one partition.
+that would pull rows into one partition.  Scaling therefore reads the
+metric columns twice (stats, then the scaled rows); both reads are pruned
+and neither shuffles rows.
 """
 
 from __future__ import annotations
@@ -34,22 +36,23 @@ def as_missing(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
-def stats_struct(df: DataFrame, cols: Sequence[str]) -> Column:
-    """AGG-09 as one scalar: ``struct(min0, max0, min1, max1, ...)`` over ``df``."""
-    parts = []
+def _min_max_aggs(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """``min{i}``, ``max{i}`` of every metric, NaN read as missing."""
+    aggs = []
     for i, c in enumerate(cols):
         v = as_missing(df, c)
-        parts += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
-    return df.select(F.struct(*parts).alias("s")).scalar()
+        aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
+    return aggs
+
+
+def stats_struct(df: DataFrame, cols: Sequence[str]) -> Column:
+    """AGG-09 as one scalar: ``struct(min0, max0, min1, max1, ...)`` over ``df``."""
+    return df.select(F.struct(*_min_max_aggs(df, cols)).alias("s")).scalar()
 
 
 def column_min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG-09: ``(metric, min_value, max_value)`` per metric from a single scan."""
-    aggs = []
-    for i, c in enumerate(cols):
-        v = as_missing(df, c)
-        aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
-    one = df.agg(*aggs)
+    one = df.agg(*_min_max_aggs(df, cols))
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"min{i}").alias("min_value"),
                               F.col(f"max{i}").alias("max_value")) for i, c in enumerate(cols)])
     return one.select(F.inline(rows))
