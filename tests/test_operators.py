@@ -310,3 +310,11 @@ def test_flatten_adds_batch_key_when_entries_lack_it(spark):
     df = spark.createDataFrame([("NO4", {"productionPerGroupMbaHour": [{"productionGroup": "wind", "quantityKwh": 2.0}]})], schema)
     out = I.flatten_hourly(df).collect()
     assert out[0].asDict() == {"priceArea": "NO4", "productionGroup": "wind", "quantityKwh": 2.0}
+
+
+def test_month_with_year_is_half_open_across_year_end(spark):
+    df = spark.createDataFrame([(dt.datetime(2021, 11, 30, 23, 59, 59),), (dt.datetime(2021, 12, 1),),
+                                (dt.datetime(2021, 12, 31, 23, 59, 59, 999999),), (dt.datetime(2022, 1, 1),)],
+                               "time timestamp_ntz")
+    got = sorted(r["time"] for r in FL.in_month(df, "time", 12, year=2021).collect())
+    assert got == [dt.datetime(2021, 12, 1), dt.datetime(2021, 12, 31, 23, 59, 59, 999999)]
