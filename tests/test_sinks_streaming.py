@@ -169,3 +169,17 @@ def test_load_and_curate_chain_and_pruned_month(spark, tmp_path):
     assert [r["pricearea"] for r in jan.collect()] == ["NO1"]   # local text month, not UTC
     assert "PartitionFilters: [isnotnull(year" in plan_text(jan)
     assert read_table(spark, "wl_cur.stored").count() == 2
+
+
+def test_read_batches_same_rows_either_way(spark):
+    from pyspark.sql import types as T
+    path = scratch_path(spark, "rb")
+    df = spark.range(40).select((F.col("id") % 10).cast("string").alias("area"), F.col("id").cast("double").alias("q"))
+    S.land_json(df, path, partition_by=["area"])
+    schema = T.StructType([T.StructField("q", T.DoubleType())])
+    separate = SRC.read_batches(spark, path, "area", schema, max_separate=64)
+    one_scan = SRC.read_batches(spark, path, "area", schema, max_separate=3)
+    key = lambda r: (r["area"], r["q"])
+    assert sorted(map(key, separate.collect())) == sorted(map(key, one_scan.collect()))
+    assert separate.count() == 40
+    assert SRC.read_batches(spark, path + "-none", "area", schema).count() == 0

@@ -430,10 +430,7 @@ def batch_union(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "batches")
     recs = V.production_records(spark, d).drop("event_id")
     S.land_json(recs, path, partition_by=["priceArea"])
-    schema = recs.drop("priceArea").schema
-    batches = [I.stamp_key(spark.read.schema(schema).json(folder), "priceArea", area)
-               for area, folder in SRC.batch_folders(spark, path, "priceArea")]
-    return I.union_batches(batches)
+    return SRC.read_batches(spark, path, "priceArea", recs.drop("priceArea").schema)
 
 
 @register("streamed_ingest", _FLAT_SQL)

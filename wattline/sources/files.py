@@ -91,6 +91,27 @@ def read_partitioned_batches(spark: SparkSession, path: str, schema: T.StructTyp
     return r.load(path)
 
 
+def read_batches(spark: SparkSession, path: str, key: str, schema: T.StructType,
+                 fmt: str = "json", max_separate: int = 64) -> DataFrame:
+    """SRC-03 + PRJ-05 + SET-01: every landed batch with its key stamped, as one DataFrame.
+
+    Up to ``max_separate`` batches are read one by one and combined by name
+    (each read stays a plain scan of its own folder).  Beyond that the
+    plan would grow with the number of batches, so all of them are read in
+    one scan whose folder key becomes the column; the rows are the same.
+    """
+    from wattline.operators.ingest import stamp_key, union_batches
+    found = batch_folders(spark, path, key)
+    full = T.StructType(list(schema.fields) + [T.StructField(key, T.StringType())])
+    if not found:
+        return spark.createDataFrame([], full)
+    if len(found) > max_separate:
+        r = spark.read.format(fmt).schema(full).option("basePath", path)
+        return r.load([folder for _, folder in found])
+    return union_batches(stamp_key(spark.read.format(fmt).schema(schema).load(folder), key, value)
+                         for value, folder in found)
+
+
 def records_frame(spark: SparkSession, records: Iterable[Mapping | tuple],
                   schema: T.StructType) -> DataFrame:
     """SRC-04: small in-memory records under a declared schema.
