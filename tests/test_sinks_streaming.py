@@ -163,7 +163,8 @@ def test_load_and_curate_chain_and_pruned_month(spark, tmp_path):
              "lastUpdatedTime": "u", "quantityKwh": 2}]}}]}
         (land / name).write_text(json.dumps(doc, indent=4))
     base = scratch_path(spark, "cur")
-    check = load_and_curate(spark, str(land), "wl_cur.stored", f"{base}/t", f"{base}/c").first()
+    check = load_and_curate(spark, str(land), "wl_cur.stored", f"{base}/t", f"{base}/c",
+                            namespace_location=f"{base}/db").first()
     assert (check["written"], check["match"], check["schema_match"]) == (2, True, True)
     jan = curated_month(spark, f"{base}/c", 2021, 1)
     assert [r["pricearea"] for r in jan.collect()] == ["NO1"]   # local text month, not UTC

@@ -455,7 +455,8 @@ def _curated(spark: SparkSession, d: str) -> str:
     recs = V.nested_records(spark, d).select(F.struct("priceArea", "attributes").alias("rec"))
     S.land_json(recs.select(F.array("rec").alias("data")), land)
     name = "wattline_store.stored_" + base.rsplit("-", 1)[-1]
-    check = load_and_curate(spark, land, name, f"{base}/table", f"{base}/curated", multi_line=False).first()
+    check = load_and_curate(spark, land, name, f"{base}/table", f"{base}/curated", multi_line=False,
+                            namespace_location=f"{base}/db").first()
     if not (check["match"] and check["schema_match"]):
         raise RuntimeError(f"curated write check failed: {check}")
     return f"{base}/curated"

@@ -27,14 +27,16 @@ def with_text_month(df: DataFrame, text_col: str = "starttime") -> DataFrame:
 
 
 def load_and_curate(spark: SparkSession, landing_dir: str, table: str, table_location: str,
-                    curated_dir: str, multi_line: bool = True) -> DataFrame:
+                    curated_dir: str, multi_line: bool = True,
+                    namespace_location: str | None = None) -> DataFrame:
     """Run the ingest chain; returns the one-row read-back check of the curated write.
 
-    ``table`` is ``namespace.name``; the namespace is created if missing and
-    the table is recreated at ``table_location``.
+    ``table`` is ``namespace.name``; the namespace is created if missing (at
+    ``namespace_location`` when given, else in the warehouse) and the table
+    is recreated at ``table_location``.
     """
     ns = table.split(".")[0]
-    S.create_namespace(spark, ns)
+    S.create_namespace(spark, ns, namespace_location)
     S.recreate_table(spark, table, STORED_TABLE_DDL, table_location)
     flat = flatten_hourly(read_landed_payloads(spark, landing_dir, multi_line=multi_line))
     S.append_table(with_row_id(lower_case_columns(flat)), table)
