@@ -25,7 +25,8 @@ def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(E.oracle_sql()) <= set(E.queries())
+    assert df.dtypes == [("date", "timestamp_ntz"), ("productiongroup", "string"), ("quantitykwh", "double")]
+    assert set(E.oracle_sql()) == set(E.queries())  # every key has a SQL oracle
 
 
 def test_queries_ignore_the_callers_time_zone(spark, con):
