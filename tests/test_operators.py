@@ -318,3 +318,13 @@ def test_month_with_year_is_half_open_across_year_end(spark):
                                "time timestamp_ntz")
     got = sorted(r["time"] for r in FL.in_month(df, "time", 12, year=2021).collect())
     assert got == [dt.datetime(2021, 12, 1), dt.datetime(2021, 12, 31, 23, 59, 59, 999999)]
+
+
+def test_metric_series_one_row_per_metric_and_month(spark):
+    rows = [(dt.datetime(2021, 1, 1, h), float(h), None if h == 1 else 10.0 - h) for h in (2, 0, 1)] + \
+           [(dt.datetime(2021, 2, 1, 0), 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, `temperature_2m (°C)` double, `wind (m/s)` double")
+    got = {(r["Metric"], r["month"]): r["Trend over Time"] for r in R.metric_series(df, NZ.metric_columns(df)).collect()}
+    assert got[("temperature_2m (°C)", 1)] == [0.0, 1.0, 2.0]
+    assert got[("wind (m/s)", 1)] == [10.0, None, 8.0]
+    assert got[("wind (m/s)", 2)] == [7.0]

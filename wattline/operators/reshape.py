@@ -58,3 +58,15 @@ def ordered_series(df: DataFrame, group: str, time_col: str, *tie: str) -> DataF
     across many tasks, which a per-group repartition would not.
     """
     return df.orderBy(group, time_col, *tie)
+
+
+def metric_series(df: DataFrame, cols: Sequence[str], time_col: str = "time",
+                  var: str = "Metric", out: str = "Trend over Time") -> DataFrame:
+    """PRJ-09 for a wide series: one row per (metric, year, month), values in time order.
+
+    Keyed by month so an hourly series gives at most 744 values per array
+    however many years the table holds.
+    """
+    long = to_long(df, [time_col], cols, var, "_value")
+    return ordered_arrays(long, [var, F.year(time_col).alias("year"), F.month(time_col).alias("month")],
+                          [time_col], "_value", out)
