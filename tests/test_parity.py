@@ -39,3 +39,17 @@ def test_queries_ignore_the_callers_time_zone(spark, con):
         assert spark.conf.get(key) == "America/New_York"
     finally:
         spark.conf.set(key, "UTC")
+
+
+def test_queries_built_from_threads_keep_utc(spark, con):
+    from concurrent.futures import ThreadPoolExecutor
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        names = ["daily_by_group", "utc_january", "lenient_time", "axis_dates"] * 2
+        with ThreadPoolExecutor(4) as pool:
+            frames = list(pool.map(lambda n: (n, QUERIES[n](spark, SF_SMALL)), names))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    from wattline.plans.parity import _rows
+    for n, df in frames:
+        assert _rows(df.toPandas(), None) == _rows(con.sql(ORACLE[n]).df(), None), n

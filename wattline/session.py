@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -60,6 +61,9 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_ZONE_LOCK = threading.RLock()
+
+
 @contextmanager
 def utc_zone(spark: SparkSession) -> Iterator[None]:
     """Build DataFrames under the UTC session zone, then restore the caller's zone.
@@ -69,12 +73,13 @@ def utc_zone(spark: SparkSession) -> Iterator[None]:
     block keeps UTC semantics after the block ends.
     """
     key = "spark.sql.session.timeZone"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "UTC")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    with _ZONE_LOCK:  # threads building queries on one session take turns
+        before = spark.conf.get(key)
+        spark.conf.set(key, "UTC")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
 
 
 def _is_local(spark: SparkSession) -> bool:
