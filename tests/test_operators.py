@@ -328,3 +328,15 @@ def test_metric_series_one_row_per_metric_and_month(spark):
     assert got[("temperature_2m (°C)", 1)] == [0.0, 1.0, 2.0]
     assert got[("wind (m/s)", 1)] == [10.0, None, 8.0]
     assert got[("wind (m/s)", 2)] == [7.0]
+
+
+def test_records_under_declared_schema(spark):
+    ok = {"priceArea": "NO1", "productionGroup": "hydro", "startTime": "s", "endTime": "e",
+          "lastUpdatedTime": "u", "quantityKwh": 1.5}
+    df = SRC.records_frame(spark, [dict(ok, extra="dropped")], PRODUCTION)
+    assert df.columns == [f.name for f in PRODUCTION.fields] and df.first()["quantityKwh"] == 1.5
+    missing = {k: v for k, v in ok.items() if k != "endTime"}
+    with pytest.raises(Exception):
+        SRC.records_frame(spark, [missing], PRODUCTION).collect()
+    with pytest.raises(Exception):
+        SRC.records_frame(spark, [dict(ok, quantityKwh=1)], PRODUCTION).collect()
