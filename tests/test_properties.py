@@ -127,3 +127,33 @@ def test_month_windows_match_date_loop(spark, start, span):
     got = [(r["window_start"], r["window_end"]) for r in
            month_windows(keys, "pricearea", start.isoformat(), end.isoformat()).orderBy("window_start").collect()]
     assert got == loop_windows(start, end)
+
+
+@SETTINGS
+@given(rows)
+def test_notebook_totals_match_pandas_keep_null_keys(spark, data):
+    df = spark.createDataFrame(data, "pricearea string, productiongroup string, quantitykwh double")
+    got = {(r["pricearea"], r["productiongroup"]): r["Total_Kwh"] for r in A.area_group_totals(df).collect()}
+    pdf = pd.DataFrame(data, columns=["pricearea", "productiongroup", "quantitykwh"], dtype=object)
+    pdf["quantitykwh"] = pdf["quantitykwh"].astype(float)
+    want = pdf.groupby(["pricearea", "productiongroup"], dropna=False)["quantitykwh"].sum(min_count=1)
+    want = {tuple(None if isinstance(k, float) and math.isnan(k) else k for k in key): v
+            for key, v in want.items()}
+    assert set(got) == set(want)
+    assert all(close(got[k], None if math.isnan(want[k]) else want[k]) for k in want)
+
+
+texts = st.one_of(st.none(), st.text(alphabet="0123456789-T:+", max_size=12),
+                  st.datetimes(min_value=dt.datetime(2019, 1, 1), max_value=dt.datetime(2023, 12, 31))
+                  .map(lambda t: t.strftime("%Y-%m-%dT%H:%M:%S") + "+01:00"))
+
+
+@SETTINGS
+@given(st.lists(texts, min_size=1, max_size=20), st.integers(2019, 2023), st.integers(1, 12))
+def test_text_month_prefix_equals_substring_tests(spark, vals, year, month):
+    from wattline.operators.filters import text_year_month
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, starttime string")
+    got = sorted(r["i"] for r in text_year_month(df, "starttime", year, month).collect())
+    want = sorted(i for i, v in enumerate(vals)
+                  if v is not None and v[0:4] == f"{year:04d}" and v[5:7] == f"{month:02d}" and v[4:5] == "-")
+    assert got == want
