@@ -34,6 +34,7 @@ def day_floor(c: Column | str) -> Column:
 
 
 def hour_floor(c: Column | str) -> Column:
+    """Start of the hour, kept zone-less (hourly production grain)."""
     return F.date_trunc("hour", _c(c)).cast("timestamp_ntz")
 
 

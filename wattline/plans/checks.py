@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
+    """The ``explain`` text of ``df`` as a string (same modes as ``DataFrame.explain``)."""
     jvm = df.sparkSession.sparkContext._jvm
     return jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 

@@ -29,6 +29,7 @@ def _lines(path: str):
 
 
 def summarise(path: str) -> list[dict]:
+    """One dict per SQL execution: wall time, jobs, stages, tasks, slowest stage."""
     sql: dict[int, dict] = {}
     job_sql: dict[int, int] = {}
     stages: dict[int, dict] = {}
@@ -59,6 +60,7 @@ def summarise(path: str) -> list[dict]:
 
 
 def main(argv: list[str]) -> int:
+    """Print the summary as one JSON line per SQL execution."""
     for row in summarise(argv[1]):
         print(json.dumps(row))
     return 0

@@ -25,6 +25,7 @@ def _operators(text: str) -> str:
 
 
 def main(argv: list[str]) -> int:
+    """Print the Markdown plan table for every registered key."""
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")

@@ -30,6 +30,7 @@ TABLE_SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table, with its declared schema when it has one."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if name in TABLE_SCHEMAS:
         return spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
