@@ -340,3 +340,10 @@ def test_records_under_declared_schema(spark):
         SRC.records_frame(spark, [missing], PRODUCTION).collect()
     with pytest.raises(Exception):
         SRC.records_frame(spark, [dict(ok, quantityKwh=1)], PRODUCTION).collect()
+
+
+def test_month_windows_empty_when_start_after_end(spark):
+    keys = spark.createDataFrame([("NO1",)], "pricearea string")
+    assert month_windows(keys, "pricearea", "2021-03-01", "2021-02-01").count() == 0
+    one = month_windows(keys, "pricearea", "2021-03-01", "2021-03-01").collect()
+    assert [(r["window_start"], r["window_end"]) for r in one] == [(dt.date(2021, 3, 1), dt.date(2021, 3, 1))]
