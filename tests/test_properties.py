@@ -157,3 +157,25 @@ def test_text_month_prefix_equals_substring_tests(spark, vals, year, month):
     want = sorted(i for i, v in enumerate(vals)
                   if v is not None and v[0:4] == f"{year:04d}" and v[5:7] == f"{month:02d}" and v[4:5] == "-")
     assert got == want
+
+
+pos_rows = st.lists(st.tuples(st.sampled_from(["NO1", "NO2", "NO3"]), st.sampled_from(["hydro", "wind", "solar"]),
+                              st.integers(0, 40).map(float)), min_size=0, max_size=25)
+
+
+@SETTINGS
+@given(pos_rows)
+def test_shares_sum_to_one_per_kept_area(spark, data):
+    df = spark.createDataFrame(data, "pricearea string, productiongroup string, quantitykwh double")
+    out = A.shares(A.area_group_with_total(df), "pricearea", "Total_Kwh").collect()
+    per_area: dict = {}
+    for r in out:
+        per_area.setdefault(r["pricearea"], 0.0)
+        per_area[r["pricearea"]] += r["share"]
+    assert all(abs(v - 1.0) < 1e-9 for v in per_area.values())
+    totals: dict = {}
+    for a, _, q in data:
+        totals[a] = totals.get(a, 0.0) + q
+    kept = {a for a, t in totals.items() if t > 0}
+    assert set(per_area) - {"Total"} == kept
+    assert ("Total" in per_area) == (sum(totals.values()) > 0)
