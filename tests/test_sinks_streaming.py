@@ -184,3 +184,10 @@ def test_read_batches_same_rows_either_way(spark):
     assert sorted(map(key, separate.collect())) == sorted(map(key, one_scan.collect()))
     assert separate.count() == 40
     assert SRC.read_batches(spark, path + "-none", "area", schema).count() == 0
+
+
+def test_document_read_with_sampled_inference(spark):
+    path = scratch_path(spark, "docs2")
+    S.land_json(spark.range(200).select(F.col("id").cast("double").alias("q"), F.lit("a").alias("k")), path)
+    back = SRC.read_documents(spark, path, sampling_ratio=0.2)
+    assert dict(back.dtypes) == {"k": "string", "q": "double"} and back.count() == 200
