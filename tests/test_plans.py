@@ -13,7 +13,7 @@ from wattline.session import scratch_path
 
 WRITERS = {"batch_union", "streamed_ingest", "json_round_trip", "table_append_read",
            "csv_round_trip", "partitioned_overwrite", "read_back_check",
-           "curate_from_landing", "curated_january"}
+           "curate_from_landing", "curated_january", "month_range_pruned"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
@@ -154,3 +154,18 @@ def test_hot_group_shuffles_partials_not_rows(spark):
     raw = facts.repartition("productiongroup")  # what a per-key repartition would move
     raw.collect()
     assert shuffle_records_written(raw) == n
+
+
+def test_month_filters_prune_the_month_layout(spark):
+    path = scratch_path(spark, "wm")
+    w = V.weather(spark, SF_SMALL)
+    from wattline.sinks.writers import overwrite_partitioned
+    overwrite_partitioned(w.withColumn("year", F.year("time")).withColumn("month", F.month("time")),
+                          path, ["year", "month"])
+    back = spark.read.parquet(path)
+    one = FL.in_month(back, "time", 3, partition_month="month")
+    rng = FL.in_month_range(back, "time", 2, 4, partition_month="month")
+    assert "PartitionFilters: [isnotnull(month" in plan_text(one) and "(month#" in plan_text(one)
+    assert "PartitionFilters: [isnotnull(month" in plan_text(rng)
+    assert one.count() == FL.in_month(w, "time", 3).count()
+    assert rng.count() == FL.in_month_range(w, "time", 2, 4).count()

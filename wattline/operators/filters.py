@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from wattline.functions.calendar import ALL_MONTHS, AREA_SENTINELS, month_number
 
 
-def in_month(df: DataFrame, time_col: str, month: int, year: int | None = None) -> DataFrame:
+def in_month(df: DataFrame, time_col: str, month: int, year: int | None = None,
+             partition_month: str | None = None) -> DataFrame:
     """FLT-01: rows in one calendar month of any year (S4).
 
     With ``year`` the test becomes a half-open time range, which Parquet
-    can push down and row groups can skip.
+    can push down and row groups can skip.  ``partition_month`` names a
+    partition column holding ``month(time)`` (the SNK-03 layout); the same
+    test on it prunes whole folders.
     """
     t = F.col(f"`{time_col}`")
+    if partition_month is not None:
+        df = df.filter(F.col(partition_month) == month)
     if year is None:
         return df.filter(F.month(t) == month)
     lo = F.make_timestamp_ntz(F.lit(year), F.lit(month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
@@ -28,17 +33,18 @@ def in_month(df: DataFrame, time_col: str, month: int, year: int | None = None)
 
 
 def in_month_range(df: DataFrame, time_col: str, first: int | None = None,
-                   last: int | None = None) -> DataFrame:
+                   last: int | None = None, partition_month: str | None = None) -> DataFrame:
     """FLT-02: rows whose month is in ``[first, last]``, any year.
 
     An open bound means no limit on that side; with neither bound every
     row is kept (the slider's default is the full range, S10).
+    ``partition_month`` prunes folders as in ``in_month``.
     """
-    m = F.month(F.col(f"`{time_col}`"))
-    if first is not None:
-        df = df.filter(m >= first)
-    if last is not None:
-        df = df.filter(m <= last)
+    for m in [F.month(F.col(f"`{time_col}`"))] + ([F.col(partition_month)] if partition_month else []):
+        if first is not None:
+            df = df.filter(m >= first)
+        if last is not None:
+            df = df.filter(m <= last)
     return df
 
 

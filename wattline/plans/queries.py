@@ -529,6 +529,24 @@ def partitioned_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _weather_by_month(spark: SparkSession, d: str) -> str:
+    """W written with the SNK-03 layout (year/month partitions); returns its folder."""
+    path = scratch_path(spark, "weather-by-month")
+    w = V.weather(spark, d)
+    S.overwrite_partitioned(w.withColumn("year", F.year("time")).withColumn("month", F.month("time")),
+                            path, ["year", "month"])
+    return path
+
+
+@register("month_range_pruned", _with("W") + f"""SELECT *, CAST(year("time") AS INTEGER) AS "year",
+  CAST(month("time") AS INTEGER) AS "month" FROM W
+WHERE month("time") BETWEEN {MONTH_RANGE[0]} AND {MONTH_RANGE[1]}""")
+def month_range_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-02 on the month-partitioned series: only the chosen months' folders are read."""
+    back = spark.read.parquet(_weather_by_month(spark, d))
+    return FL.in_month_range(back, "time", *MONTH_RANGE, partition_month="month")
+
+
 @register("read_back_check", """SELECT count(*) AS written, count(*) AS read_back, true AS "match",
   true AS schema_match FROM lineitem""")
 def read_back_check(spark: SparkSession, d: str) -> DataFrame:
