@@ -53,3 +53,9 @@ def test_queries_built_from_threads_keep_utc(spark, con):
     from wattline.plans.parity import _rows
     for n, df in frames:
         assert _rows(df.toPandas(), None) == _rows(con.sql(ORACLE[n]).df(), None), n
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_result_column_names_are_unique(spark, name):
+    cols = QUERIES[name](spark, SF_SMALL).columns
+    assert len(cols) == len(set(cols)), cols
