@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import exact_dedup as D5
+from wattline.llm import mixing as M9
+from wattline.llm import pii as P8
 from wattline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +34,16 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY s)""")
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D5.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 8 personal data
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P8.pii_digest(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 9 mixing
+@register("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M9.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
