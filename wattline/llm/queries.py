@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from wattline.llm import exact_dedup as D5
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
+from wattline.llm import sharding as S3
+from wattline.llm import warc as W10
 from wattline.llm.common import table
+from wattline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +50,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M9.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+
+
+# ------------------------------------------------------------------ 3 sharding
+@register("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S3.shard(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 10 WARC
+@register("op10_warc", """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY b) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, sha256(b) AS payload_digest,
+       CASE WHEN n >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first_id <> page_id THEN first_id END AS refers_to, url FROM f""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W10.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
