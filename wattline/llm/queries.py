@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import exact_dedup as D5
+from wattline.llm import langid as L4
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
 from wattline.llm import sharding as S3
@@ -67,3 +68,9 @@ SELECT page_id, n AS payload_bytes, sha256(b) AS payload_digest,
        CASE WHEN n >= 100 AND first_id <> page_id THEN first_id END AS refers_to, url FROM f""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W10.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+# ------------------------------------------------------------------ 4 language id
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L4.identify(table(spark, sf_dir, "documents"))
