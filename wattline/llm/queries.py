@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import exact_dedup as D5
+from wattline.llm import html_text as H2
 from wattline.llm import langid as L4
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
@@ -74,3 +75,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L4.identify(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 2 html extraction
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H2.extract(table(spark, sf_dir, "pages"))
