@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattline.llm import decontaminate as D1
 from wattline.llm import exact_dedup as D5
 from wattline.llm import html_text as H2
 from wattline.llm import langid as L4
@@ -81,3 +82,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_html_text")
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H2.extract(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------------ 1 decontamination
+@register("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D1.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
