@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column | str) -> Column:
-    """Lower-case A-Z only; other letters stay as they are."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """Lower-case A-Z only; other letters stay as they are.  Pure ASCII texts take the faster function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)) \
+        .otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,8 +47,9 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     one it has seen (large star: larger neighbours, small star: the node and
     its smaller neighbours).  The edge count never grows and the number of
     rounds is logarithmic in practice.  Both steps are a two-phase minimum
-    and a join on the node, so no neighbourhood is ever collected; each round
-    is written to the shared folder.  A self-loop is allowed and keeps its node.
+    and a salted join on the node, so no neighbourhood is ever collected and a
+    hub's edges are many tasks; each round is written to the shared folder.
+    A self-loop is allowed and keeps its node.
     """
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
     cur = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -56,12 +58,12 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     while True:
         # Large star: for each node, larger neighbours point at the smallest of (node, neighbours).
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = join_groups(both, low, ["u"], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u <> v").distinct(), f"{name}-l{step}")
         # Small star: the node and its smaller neighbours point at the smallest neighbour.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+        small = join_groups(large, low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionAll(low.select("u", F.col("m").alias("v")))
         nxt = materialise(small.filter("u <> v").distinct(), f"{name}-s{step}")
         # Fixed point: same number of edges and same checksum of edges.
@@ -76,7 +78,7 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
 
 
 #: Copies of one small group row, so that a group holding a third of all rows meets as many join tasks.
-SALTS = 32
+SALTS = 16
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:

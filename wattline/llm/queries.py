@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattline.llm import decontaminate as D1
 from wattline.llm import exact_dedup as D5
 from wattline.llm import html_text as H2
+from wattline.llm import jaccard_join as J6
 from wattline.llm import langid as L4
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
@@ -88,3 +89,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_decontaminate")
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D1.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ------------------------------------------------------------------ 6 Jaccard join
+@register("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J6.jaccard_join(table(spark, sf_dir, "documents"))
