@@ -14,6 +14,7 @@ from wattline.llm import jaccard_join as J6
 from wattline.llm import langid as L4
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
+from wattline.llm import quality as Q7
 from wattline.llm import sharding as S3
 from wattline.llm import warc as W10
 from wattline.llm.common import table
@@ -95,3 +96,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J6.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 7 quality
+@register("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q7.classify(table(spark, sf_dir, "documents"))
