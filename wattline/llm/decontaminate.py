@@ -55,42 +55,34 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return parts.select("item_id", "length", F.array_join("words", " ").alias("content"), fp.alias("fp")).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
 
-    A document word is hit if it lies in an occurrence of a window of any
-    item.  ``items_sha256`` digests the ids of items with occurring windows,
-    sorted as strings, comma-joined (the empty string if none).  A NULL text
-    has no words; items without words have no windows; repeated documents get
-    equal rows and repeated items count once per id.  Other columns are
-    ignored.  The planner broadcasts the items' side of a join only if it is
-    under the session's threshold.
+
+def find_hits(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, key, n_hit, ids`` of the rows (doc_id, key, text) with hits; ``key`` tells texts of one id apart.
+
+    The planner broadcasts the items' side of a join only if it is under the
+    session's threshold.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     tests = materialise(item_windows(items, window), "decon-items")
     spans = materialise(tests.select("length", "content", "fp").distinct()
                         .withColumn("span", F.xxhash64("length", "content")), "decon-spans")
     lengths = sorted(r["length"] for r in tests.select("length").distinct().collect())  # at most `window` values
-    same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    hits = None
+    hits = rows.sparkSession.createDataFrame(
+        [], f"{rows.select('doc_id').schema[0].simpleString().replace(':', ' ')}, key long, start int, length int, span long")
     for m in lengths:
         own = spans.filter(F.col("length") == m)
         marks = rows.select("doc_id", "key", F.explode(let(
             words("text"), lambda w: F.array_distinct(fingerprints(w, m)))).alias("fp"))
         suspects = materialise(marks.join(own.select("fp").distinct(), "fp", "left_semi")
                                .select("doc_id", "key").distinct(), f"decon-suspects-{m}")
-        near = rows.join(suspects, same_doc(rows, suspects), "left_semi")
+        near = rows.join(suspects, _same(rows, suspects), "left_semi")
         windows = near.select("doc_id", "key", F.inline(let(words("text"), lambda w: F.transform(
             fingerprints(w, m), lambda fp, i: F.struct(
                 i.alias("start"), fp.alias("fp"), F.array_join(F.slice(w, i + 1, F.lit(m)), " ").alias("content"))))))
-        found = windows.join(own.select("fp", "content", "span"), ["fp", "content"]) \
-            .select("doc_id", "key", "start", F.lit(m).alias("length"), "span").distinct()
-        hits = found if hits is None else hits.unionAll(found)
-    n_words = rows.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words"))
-    if hits is None:
-        return n_words.select("doc_id", "n_words", *_result(F.lit(0), F.lit(0), F.array().cast("array<string>")))
+        hits = hits.unionByName(windows.join(own.select("fp", "content", "span"), ["fp", "content"]).select(
+            "doc_id", "key", "start", F.lit(m).alias("length"), "span").distinct())
     hits = materialise(hits, "decon-hits")
     # Words covered: each window adds what lies beyond the furthest end so far.
     before = Window.partitionBy("doc_id", "key").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,13 +93,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     owners = tests.select(F.xxhash64("length", "content").alias("span"), "item_id").distinct()
     met = hits.select("doc_id", "key", "span").distinct().join(owners, "span") \
         .groupBy("doc_id", "key").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    per_doc = materialise(covered.join(met, covered["doc_id"].eqNullSafe(met["doc_id"]) & (covered["key"] == met["key"]), "left")
-                          .select(covered["doc_id"], covered["key"], "n_hit", "ids"), "decon-docs")
-    out = n_words.join(per_doc, same_doc(n_words, per_doc), "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select(n_words["doc_id"], "n_words", *_result(F.coalesce("n_hit", F.lit(0)), F.size(ids), F.array_sort(ids)))
+    return materialise(covered.join(met, _same(covered, met), "left").select(
+        covered["doc_id"], covered["key"], "n_hit", "ids"), "decon-docs")
 
 
-def _result(n_hit: Column, n_items: Column, ids: Column) -> list[Column]:
-    return [n_hit.cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"),
-            F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")]
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    A document word is hit if it lies in an occurrence of a window of any
+    item.  ``items_sha256`` digests the ids of items with occurring windows,
+    sorted as strings, comma-joined (the empty string if none).  A NULL text
+    has no words; items without words have no windows; repeated documents get
+    equal rows and repeated items count once per id.  Other columns are ignored.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    found = find_hits(rows, items, window)
+    counted = rows.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words"))
+    ids = F.array_sort(F.coalesce("ids", F.array().cast("array<string>")))
+    return counted.join(found, _same(counted, found), "left").select(
+        counted["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that share no window with an item, all columns as they are."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    found = find_hits(rows, items, window).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")

@@ -393,3 +393,21 @@ def _classes(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     return join_groups(named, groups, ["class"], F.col("doc_id")).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row per group of linked documents: the one with the smallest id; all columns as they are.
+
+    Rows that share an id share its fate, and of repeated rows (same id and
+    text) one stays.  Rows with a NULL id can't be told apart and all stay.
+    """
+    found = materialise(jaccard_join(docs).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("component_id").alias("least"), F.count(F.lit(1)).alias("k")), "jaccard-found")
+    # Both lists are far smaller than the texts; the planner broadcasts them if they are under its threshold.
+    gone = materialise(found.filter("least <> doc_id").select("doc_id"), "jaccard-gone")
+    repeated = materialise(found.filter("k > 1 and least = doc_id").select("doc_id"), "jaccard-repeated")
+    left = docs.join(gone, "doc_id", "left_anti")
+    once = left.join(repeated, "doc_id", "left_anti")
+    again = left.join(repeated, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")) \
+        .dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return once.unionByName(again).select(docs.columns)

@@ -21,6 +21,8 @@ DOCUMENT = 300
 #: Training uses at most about this many documents per language, drawn by the hash of the id.
 TRAIN_DOCS = 20_000
 UNDETERMINED = "und"
+#: A text under this score resembles no learned language; running text of one scores about 0.5 and more.
+LEAST_SCORE = 0.2
 GRAM_BITS = 21
 
 
@@ -128,27 +130,40 @@ class Scorer:
         return self.langs[best], float(1.0 - total[best] / (self.miss * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text",
-            document: int = DOCUMENT) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added, from the whole text alone.
+def scores(profiles: dict[str, np.ndarray], document: int = DOCUMENT):
+    """A column function of a text: ``struct(lang_pred, score)``, from the whole text alone.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text
     is NULL or has no letter (or nothing was learned).  ``score`` is 1 minus
     the smallest distance over the largest possible one; of languages at the
-    same distance the first in alphabetical order wins.  Columns of those
-    names in ``docs`` are replaced; all else passes through.
+    same distance the first in alphabetical order wins.
     """
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = Scorer(profiles, document)
         for batch in batches:
             yield pd.DataFrame([of(t) for t in batch], columns=["lang_pred", "score"])
-    scored = docs.withColumn("_lid", score(F.col(text_col)))
-    return scored.withColumn("lang_pred", F.col("_lid.lang_pred")).withColumn("score", F.col("_lid.score")).drop("_lid")
+    return score
+
+
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Profiles from the folds that are not held out."""
+    return train(docs.filter(fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the folds that are not held out; predict every row: ``doc_id, held_out, lang_pred, score``."""
-    held = fold(F.col("doc_id")) == 2
-    profiles = train(docs.filter(~held).select("doc_id", "text", "lang"))
-    return predict(docs.select("doc_id", held.alias("held_out"), "text"), profiles).drop("text")
+    """Learn from the folds that are not held out; predict every row: ``doc_id, held_out, lang_pred, score``.
+
+    Rows with a NULL language or text are not learned from; all rows are
+    predicted, repeated rows alike.  Other columns are ignored.
+    """
+    score = scores(learn(docs))
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), score(F.col("text")).alias("s")) \
+        .select("doc_id", "held_out", "s.lang_pred", "s.score")
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with at least ``least`` score, all columns as they are."""
+    score = scores(learn(docs))
+    return docs.withColumn("__lid", score(F.col("text"))) \
+        .filter((F.col("__lid.lang_pred") != UNDETERMINED) & (F.col("__lid.score") >= least)).drop("__lid")

@@ -39,14 +39,12 @@ def topic(text: Column) -> Column:
         .when(F.length(t) < 400, "short").otherwise("prose")
 
 
-def with_margins(docs: DataFrame) -> DataFrame:
-    """Rows with ``source, lang, topic`` (NULL is a value of its own) and ``tokens``; other columns stay.
-
-    Columns ``topic`` and ``tokens`` of the input, if any, are replaced.
-    """
+def with_cell(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__cell`` (source, lang, topic; NULL is a value of its own) and ``__tokens`` added."""
     return docs.withColumns({
-        "source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)),
-        "topic": topic(F.col("text")), "tokens": tokens(F.col("text"))})
+        "__cell": F.struct(F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"),
+                           topic(F.col("text")).alias("topic")),
+        "__tokens": tokens(F.col("text"))})
 
 
 def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, DataFrame]:
@@ -85,26 +83,39 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return cur
 
 
-def mix(docs: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET,
-        seed: int = 9, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` with ``topic, tokens, probability, sampled`` added.
+def draw(docs: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET,
+         seed: int = 9, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``__cell``, ``__tokens``, ``__probability`` and ``__sampled`` added (see ``mix``)."""
+    marked = with_cell(docs)
+    cells = materialise(marked.groupBy(*[F.col(f"__cell.{m}").alias(m) for m in MARGINS])
+                        .agg(F.sum("__tokens").cast("double").alias("base")).filter("base > 0"), "mix-cells")
+    fitted = rake(cells, tempered_targets(cells, TEMPER | (temper or {})))
+    total = cells.agg(F.sum("base").alias("t")).first()["t"] or 1.0
+    rates = fitted.select(F.struct(*MARGINS).alias("__cell"), F.least(
+        F.lit(1.0), F.col("weight") * F.lit(budget * total) / F.col("base")).alias("__probability"))
+    # 53 bits of the hash as a number in [0, 1).
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
+    return marked.join(rates, "__cell", "left") \
+        .withColumn("__probability", F.when(F.col("__tokens") > 0, F.coalesce("__probability", F.lit(0.0))).otherwise(0.0)) \
+        .withColumn("__sampled", unit < F.col("__probability"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, source, lang, topic, tokens, probability, sampled``.
 
     ``probability`` is the expected token share the mix wants of the row's
     cell over the tokens it has, for a total of ``budget`` of all tokens, at
     most 1.  A row is sampled when the hash of its id and ``seed`` falls below
     it, so the draw is the same in every run and repeated rows share their
     fate.  A row without tokens is in no cell total and has probability 0.
-    NULL source, language or id are values of their own.
+    A NULL source or language is the value ``(none)``; a NULL id is drawn
+    like any other.
     """
-    marked = with_margins(docs)
-    base = materialise(marked.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("base"))
-                       .filter("base > 0"), "mix-cells")
-    fitted = rake(base, tempered_targets(base, TEMPER | (temper or {})))
-    total = base.agg(F.sum("base").alias("t")).first()["t"] or 1.0
-    rates = fitted.select(*MARGINS, F.least(F.lit(1.0), F.col("weight") * F.lit(budget * total) / F.col("base"))
-                          .alias("probability"))
-    # 53 bits of the hash as a number in [0, 1).
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    return marked.join(rates, list(MARGINS), "left") \
-        .withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)) \
-        .withColumn("sampled", draw < F.col("probability"))
+    return draw(docs, **options).select(
+        "doc_id", *[F.col(f"__cell.{m}").alias(m) for m in MARGINS], F.col("__tokens").alias("tokens"),
+        F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of ``docs``, all columns as they are."""
+    return draw(docs, **options).filter("__sampled").select(docs.columns)

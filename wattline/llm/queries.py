@@ -53,8 +53,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 9 mixing
 @register("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M9.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+    return M9.mix(table(spark, sf_dir, "documents"))
 
 
 # ------------------------------------------------------------------ 3 sharding
