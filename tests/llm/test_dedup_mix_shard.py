@@ -1,0 +1,143 @@
+"""Exact dedup, mixing and sharding against plain versions and on odd inputs."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tests.conftest import SF_SMALL
+from wattline.llm import exact_dedup as D
+from wattline.llm import mixing as M
+from wattline.llm import sharding as S
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+
+
+def squeeze(text):
+    return re.sub(r"[ \t-\r]+", " ", text or "")
+
+
+LONG = "word " * 5000
+ROWS = [(5, "a  b"), (3, "a\tb"), (9, "a b "), (1, None), (2, ""), (4, " "), (7, LONG), (6, LONG.replace(" ", "\n")),
+        (8, LONG + "x"), (10, "é" * 9000), (11, "é" * 9000), (12, "é" * 8999 + "e")]
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_dedup_matches_grouping_by_text(spark, block):
+    rows = [r for r in ROWS if block > 1 or len(r[1] or "") < 10]
+    got = {r["doc_id"]: r for r in D.exact_dedup(docs(spark, rows), block_bytes=block).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[squeeze(t)].append(i)
+    assert len(got) == len(rows)
+    for text, ids in groups.items():
+        for i in ids:
+            r = got[i]
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (min(ids), len(ids), i == min(ids))
+            assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_colliding_hashes_get_names_of_their_own(spark, monkeypatch):
+    """With a hash of one value every content is a rival; names still follow contents."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(D.F, "xxhash64", lambda *c: F.lit(1).cast("long"), raising=True)
+    blocks = docs(spark, ROWS[:6]).select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
+    named = D._named(blocks, ["block"], "t").collect()
+    assert {r["h"] for r in named} == {1}
+    names = {r["doc_id"]: r["k"] for r in named}
+    assert names[1] == names[2] and len({names[i] for i in (5, 3, 9, 1, 4)}) == 5
+
+
+def test_dedup_repeated_rows_null_ids_and_empty_input(spark):
+    rows = [(1, "x"), (1, "x"), (None, "x"), (None, "y"), (None, "y")]
+    got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"])
+                 for r in D.exact_dedup(docs(spark, rows)).collect())
+    assert got == [(0, 0, 2, False), (0, 0, 2, True), (0, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True)]
+    assert D.exact_dedup(docs(spark, [])).count() == 0
+
+
+def test_raking_matches_plain_iterative_fitting(spark):
+    base = {("a", "x", "p"): 70.0, ("a", "y", "p"): 10.0, ("b", "x", "p"): 15.0, ("b", "y", "q"): 5.0}
+    cells = spark.createDataFrame([(*k, v) for k, v in base.items()], "source string, lang string, topic string, base double")
+    targets = M.tempered_targets(cells, {"source": 0.5, "lang": 0.7, "topic": 0.8})
+    want = {m: {r[m]: r["target"] for r in targets[m].collect()} for m in M.MARGINS}
+    assert all(abs(sum(t.values()) - 1) < 1e-12 for t in want.values())
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in M.rake(cells, targets).collect()}
+    w = {k: v / 100 for k, v in base.items()}
+    for _ in range(M.SWEEPS):
+        for at, m in enumerate(M.MARGINS):
+            sums = defaultdict(float)
+            for k, v in w.items():
+                sums[k[at]] += v
+            w = {k: v * want[m][k[at]] / sums[k[at]] for k, v in w.items()}
+        off = 0.0
+        for at, m in enumerate(M.MARGINS):
+            for value, t in want[m].items():
+                off = max(off, abs(sum(v for k, v in w.items() if k[at] == value) - t))
+        if off <= M.TOLERANCE:
+            break
+    assert got == pytest.approx(w, rel=1e-9)
+
+
+def test_mix_draws_by_probability_and_keeps_columns(spark):
+    table = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = M.mix(table).collect()
+    assert len(rows) == table.count() and all(0 <= r["probability"] <= 1 for r in rows)
+    sampled = sum(r["tokens"] for r in rows if r["sampled"]) / sum(r["tokens"] for r in rows)
+    assert 0.3 < sampled < 0.7
+    clash = table.withColumnsRenamed({"n_chars": "topic"}).selectExpr("*", "1 AS tokens", "'z' AS probability")
+    kept = M.sample(clash)
+    assert kept.columns == clash.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["sampled"]}
+
+
+def test_mix_of_odd_rows(spark):
+    got = {r["doc_id"]: r for r in M.mix(docs(spark, [(1, None), (2, ""), (3, "a b c"), (None, "d")])).collect()}
+    assert got[1]["probability"] == got[2]["probability"] == 0 and not got[1]["sampled"]
+    assert got[3]["tokens"] == 3 and got[3]["source"] == "(none)"
+    assert M.mix(docs(spark, [])).count() == 0 and M.sample(docs(spark, [])).count() == 0
+
+
+def test_shards_hold_whole_groups_and_near_equal_sizes(spark):
+    table = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in table.collect()}
+    rows = S.shard(table).collect()
+    assert len(rows) == len(text)
+    where, slots, sizes = defaultdict(set), defaultdict(list), defaultdict(int)
+    for r in rows:
+        data = (text[r["doc_id"]] or "").encode()
+        assert r["size"] == len(data) + 1 and r["text_crc32"] == zlib.crc32(data)
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+        where[text[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert set(sizes) == set(range(16))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for s in where.values())
+    assert max(sizes.values()) / min(sizes.values()) < 1.15  # 200 documents
+
+
+def test_a_group_above_a_shard_is_cut(spark):
+    rows = [(i, "hot " * 50) for i in range(400)] + [(1000 + i, f"own {i} " * 40) for i in range(200)]
+    got = S.shard(docs(spark, rows)).groupBy("shard").sum("size").collect()
+    sizes = [r[1] for r in got]
+    assert len(sizes) == 16 and max(sizes) / min(sizes) < 1.2
+
+
+def test_shard_odd_rows(spark):
+    got = S.shard(docs(spark, [(1, None), (1, None), (None, ""), (2, "x")])).collect()
+    assert len(got) == 4 and len({(r["shard"], r["slot"]) for r in got}) == 4
+    assert len({r["shard"] for r in got if r["size"] == 1}) <= 3
+    assert S.shard(docs(spark, [])).count() == 0
+
+
+def test_pack_prefers_the_highest_dot_product():
+    out = S.pack(np.array([[1.0, 0.0, 0.0], [0.9, 0.0, 0.0], [0.05, 0.0, 0.0]]), 2)
+    assert out.tolist() == [0, 1, 1]
