@@ -16,9 +16,10 @@ def percent_label(label: Column, share: Column) -> Column:
 
     Ties round half-up here (Java formatting); Python rounds the binary
     value, so e.g. 12.25 shows as 12.3 here and 12.2 there (S12).  Keep the
-    numeric share for checks; the label is for display.
+    numeric share for checks; the label is for display.  A NULL group is
+    labelled ``unknown``.
     """
-    return F.format_string("%s, %.1f%%", label, share * F.lit(100.0))
+    return F.format_string("%s, %.1f%%", F.coalesce(label, F.lit("unknown")), share * F.lit(100.0))
 
 
 def url_quote(c: Column) -> Column:

@@ -18,10 +18,14 @@ def strict_timestamp(c: Column | str) -> Column:
 def lenient_utc(c: Column | str) -> Column:
     """FN-02: ISO text with offset to naive UTC; bad or NULL text gives NULL.
 
+    The text must begin with a full date: a bare time would take today's
+    date and a bare year its first day, neither of which the text says.
+
     Needs the session time zone to be UTC (``wattline.use_utc``): the text is
     parsed to an instant, and the instant is shown in the session zone.
     """
-    return F.try_to_timestamp(_c(c)).cast("timestamp_ntz")
+    text = _c(c)
+    return F.when(text.rlike(r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text)).cast("timestamp_ntz")
 
 
 def day_floor(c: Column | str) -> Column:

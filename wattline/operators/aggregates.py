@@ -117,11 +117,6 @@ def shares(summary: DataFrame, key: str = "pricearea", value: str = "Total_Kwh")
             .withColumn("area_total", F.col("area_total").cast("double")))
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """AGG-11: distinct values of one column (NULL kept as one value)."""
-    return df.select(col).distinct()
-
-
 def batch_counts(df: DataFrame, keys: list[str | Column]) -> DataFrame:
     """AGG-12: rows per batch key."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

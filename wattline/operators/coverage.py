@@ -23,10 +23,19 @@ def _date(d: str | dt.date | Column) -> Column:
     return F.lit(str(d)).cast("date")
 
 
-def _check_start(start: str | dt.date | Column) -> None:
-    # S20: a month step from the 29th..31st drifts; only days 1..28 are exact.
-    if not isinstance(start, Column) and dt.date.fromisoformat(str(start)).day > 28:
-        raise ValueError("month windows need a range starting on day 1..28")
+def _start(start: str | dt.date | Column) -> Column:
+    """The range's first day as a date.
+
+    S20: a month step from the 29th to 31st drifts; only days 1 to 28 are
+    exact.  A literal is checked here, a column row by row.
+    """
+    message = "month windows need a range starting on day 1..28"
+    if not isinstance(start, Column):
+        if dt.date.fromisoformat(str(start)).day > 28:
+            raise ValueError(message)
+        return _date(start)
+    d = _date(start)
+    return F.when(F.dayofmonth(d) > 28, F.raise_error(F.lit(message)).cast("date")).otherwise(d)
 
 
 def month_windows(keys: DataFrame, key: str, start, end) -> DataFrame:
@@ -36,8 +45,7 @@ def month_windows(keys: DataFrame, key: str, start, end) -> DataFrame:
     ``start_param`` / ``end_param`` (midnight, +01:00, end is the next
     midnight) and their percent-encoded forms.
     """
-    _check_start(start)
-    s, e = _date(start), _date(end)
+    s, e = _start(start), _date(end)
     months = F.when(s <= e, F.sequence(s, e, F.expr("INTERVAL 1 MONTH"))) \
         .otherwise(F.array().cast("array<date>"))
     w = (keys.select(key).distinct()
@@ -58,27 +66,22 @@ def window_of(t: Column, start) -> Column:
     return F.add_months(s, n)
 
 
-def window_coverage(facts: DataFrame, key: str, time_col: str, start, end) -> DataFrame:
-    """GEN-01 + AGG-12: rows per (key, month window), with 0 for empty windows.
+def window_coverage(facts: DataFrame, keys: DataFrame, key: str, time_col: str, start, end) -> DataFrame:
+    """GEN-01 + AGG-12: rows per (key, month window) for every key of ``keys``, with 0 for empty windows.
 
-    One scan and no join: the range test is on the bare time column (pushed
-    to the scan); counts per (key, window) are a two-phase aggregate; a
-    second aggregate gathers each key's counts into a window -> count map,
-    whose size is bounded by the number of windows in the requested range,
-    not by the data; each key then explodes its month sequence and looks
-    its windows up, 0 where absent.
+    ``keys`` is given (the areas a load was planned for), so a key of which
+    nothing arrived shows every window with 0; facts of other keys are left
+    out.  A NULL key is a key.  No join and no per-key collection: the
+    generated (key, window) rows carry 0, the facts in range 1, and one
+    two-phase aggregate sums both.  The range test is on the bare time
+    column, so it is pushed to the scan.
     """
-    _check_start(start)
-    s, e = _date(start), _date(end)
+    s, e = _start(start), _date(end)
     t = F.col(time_col)
-    counts = (facts.filter((t >= s.cast("timestamp_ntz")) & (t < F.date_add(e, 1).cast("timestamp_ntz")))
-              .groupBy(key, window_of(t, start).alias("window_start"))
-              .agg(F.count(F.lit(1)).alias("n_rows")))
-    per_key = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("window_start", "n_rows"))).alias("_seen"))
-    months = F.sequence(s, e, F.expr("INTERVAL 1 MONTH"))
-    return (per_key.select(key, "_seen", F.explode(months).alias("window_start"))
-            .select(key, "window_start",
-                    month_window_end(F.col("window_start"), e).alias("window_end"),
-                    F.coalesce(F.try_element_at("_seen", F.col("window_start")), F.lit(0))
-                     .cast("long").alias("n_rows")))
+    spine = month_windows(keys, key, start, end).select(
+        key, "window_start", F.lit(0).cast("long").alias("n"), F.lit(1).alias("planned"))
+    seen = facts.filter((t >= s.cast("timestamp_ntz")) & (t < F.date_add(e, 1).cast("timestamp_ntz"))) \
+        .select(key, window_of(t, start).alias("window_start"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("planned"))
+    return (spine.unionByName(seen).groupBy(key, "window_start")
+            .agg(F.sum("n").alias("n_rows"), F.max("planned").alias("planned")).filter("planned = 1")
+            .select(key, "window_start", month_window_end(F.col("window_start"), e).alias("window_end"), "n_rows"))

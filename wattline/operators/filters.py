@@ -62,11 +62,21 @@ def in_groups(df: DataFrame, groups: Sequence[str] | None, col: str = "productio
     return df.filter(F.col(col).isin(list(groups)))
 
 
-def in_named_month(df: DataFrame, time_col: str, name: str | None) -> DataFrame:
-    """FLT-05: month given by name (of the parsed, UTC time); ``All months`` keeps all."""
+def in_named_month(df: DataFrame, time_col: str, name: str | None,
+                   partition_month: str | None = None) -> DataFrame:
+    """FLT-05: month given by name (of the parsed, UTC time); ``All months`` keeps all.
+
+    ``partition_month`` names a partition column with the month of the local
+    text.  An offset moves a time by less than a day, so the UTC month lies
+    in the local month or a neighbour: that test prunes folders and the exact
+    one decides.
+    """
     if name is None or name == ALL_MONTHS:
         return df
-    return df.filter(F.month(F.col(time_col)) == month_number(name))
+    m = month_number(name)
+    if partition_month is not None:
+        df = df.filter(F.col(partition_month).isin((m - 2) % 12 + 1, m, m % 12 + 1))
+    return df.filter(F.month(F.col(time_col)) == m)
 
 
 def text_year_month(df: DataFrame, text_col: str, year: int, month: int) -> DataFrame:

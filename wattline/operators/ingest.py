@@ -48,13 +48,21 @@ def lower_case_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*low)
 
 
-def with_row_id(df: DataFrame, name: str = "ind") -> DataFrame:
+def with_row_id(df: DataFrame, name: str = "ind", above: int | None = None) -> DataFrame:
     """PRJ-03/FN-15: unique 64-bit id per row (not consecutive, not stable across runs).
 
     Partition id in the high bits, row number in the low bits: no shuffle and
-    no single-partition window.
+    no single-partition window.  ``above`` is the largest id in use already
+    (``largest_id`` of the stored table); new ids begin after it, so loads
+    that follow each other never collide.
     """
-    return df.withColumn(name, F.monotonically_increasing_id().cast("long"))
+    first = F.lit(0 if above is None else above + 1).cast("long")
+    return df.withColumn(name, F.monotonically_increasing_id().cast("long") + first)
+
+
+def largest_id(df: DataFrame, name: str = "ind") -> int | None:
+    """The largest id of a stored table, or None if it is empty (one number, a two-phase maximum)."""
+    return df.agg(F.max(name)).first()[0]
 
 
 def union_batches(frames: Iterable[DataFrame]) -> DataFrame:

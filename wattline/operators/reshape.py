@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.timeops import hour_floor
 from wattline.operators.normalize import q
 
 
@@ -62,11 +63,15 @@ def ordered_series(df: DataFrame, group: str, time_col: str, *tie: str) -> DataF
 
 def metric_series(df: DataFrame, cols: Sequence[str], time_col: str = "time",
                   var: str = "Metric", out: str = "Trend over Time") -> DataFrame:
-    """PRJ-09 for a wide series: one row per (metric, year, month), values in time order.
+    """PRJ-09 for a wide series: one row per (metric, year, month), hourly values in time order.
 
-    Keyed by month so an hourly series gives at most 744 values per array
-    however many years the table holds.
+    First one value per (metric, hour): the largest present (an hour holds
+    one row in an hourly series, so nothing changes there; NULL only if all
+    are).  So an array has at most 744 values however many rows or years the
+    table holds.
     """
-    long = to_long(df, [time_col], cols, var, "_value")
-    return ordered_arrays(long, [var, F.year(time_col).alias("year"), F.month(time_col).alias("month")],
-                          [time_col], "_value", out)
+    hour = hour_floor(F.col(q(time_col))).alias("_hour")
+    hourly = df.groupBy(hour).agg(*[F.max(F.col(q(c))).alias(c) for c in cols])
+    long = to_long(hourly, ["_hour"], cols, var, "_value")
+    return ordered_arrays(long, [var, F.year("_hour").alias("year"), F.month("_hour").alias("month")],
+                          ["_hour"], "_value", out)

@@ -106,4 +106,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared scratch folder."""
-    return f"{scratch_root(spark)}/wattline/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/wattline/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under the scratch folder; results read from there end with it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.timeops import text_part
-from wattline.operators.ingest import flatten_hourly, lower_case_columns, with_row_id
+from wattline.operators.ingest import flatten_hourly, largest_id, lower_case_columns, with_row_id
 from wattline.operators.reshape import keep_columns
 from wattline.sinks import writers as S
 from wattline.sources.files import read_landed_payloads
@@ -28,21 +28,26 @@ def with_text_month(df: DataFrame, text_col: str = "starttime") -> DataFrame:
 
 def load_and_curate(spark: SparkSession, landing_dir: str, table: str, table_location: str,
                     curated_dir: str, multi_line: bool = True,
-                    namespace_location: str | None = None) -> DataFrame:
+                    namespace_location: str | None = None, recreate: bool = True) -> DataFrame:
     """Run the ingest chain; returns the one-row read-back check of the curated write.
 
     ``table`` is ``namespace.name``; the namespace is created if missing (at
     ``namespace_location`` when given, else in the warehouse) and the table
-    is recreated at ``table_location``.
+    is recreated at ``table_location`` (``recreate=False`` appends to the one
+    that is there, with ids above its largest).  The table's key is checked
+    before anything is curated; a load without rows writes 0 rows.
     """
     ns = table.split(".")[0]
     S.create_namespace(spark, ns, namespace_location)
-    S.recreate_table(spark, table, STORED_TABLE_DDL, table_location)
+    if recreate:
+        S.recreate_table(spark, table, STORED_TABLE_DDL, table_location)
     flat = flatten_hourly(read_landed_payloads(spark, landing_dir, multi_line=multi_line))
-    S.append_table(with_row_id(lower_case_columns(flat)), table)
+    S.append_table(with_row_id(lower_case_columns(flat), above=largest_id(read_table(spark, table))), table)
+    if not S.key_is_unique(read_table(spark, table), "ind").first()["unique"]:
+        raise RuntimeError(f"the key of {table} is not unique")
     curated = with_text_month(keep_columns(read_table(spark, table), CURATED_COLUMNS))
     written = S.overwrite_partitioned_counted(curated, curated_dir, ["year", "month"])
-    return S.read_back_check(written, spark.read.parquet(curated_dir), curated.schema)
+    return S.read_back_check(written, spark.read.schema(curated.schema).parquet(curated_dir), curated.schema)
 
 
 def curated_month(spark: SparkSession, curated_dir: str, year: int, month: int) -> DataFrame:

@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.timeops import strict_timestamp
-from wattline.sources.schemas import PAYLOAD_ENVELOPE
+from wattline.sources.schemas import PAYLOAD_RECORD
+
+
+def missing_nan(df: DataFrame) -> DataFrame:
+    """S9 on ingest: NaN in a float or double column is a missing value."""
+    kinds = (T.FloatType, T.DoubleType)
+    return df.select(*[F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, kinds) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0, mode: str = "PERMISSIVE") -> DataFrame:
-    """SRC-01: CSV with a header row.
+             mode: str = "PERMISSIVE") -> DataFrame:
+    """SRC-01: CSV with a header row; empty fields, ``NA`` and NaN are missing (S9).
 
-    Without ``schema`` the types are inferred, which costs one extra pass
-    over the files (or ``sampling_ratio`` of them); pass the schema at scale.
+    Without ``schema`` the types are inferred from every row, which costs one
+    extra pass over the files; pass the schema at scale.
     ``mode="FAILFAST"`` fails on a malformed line instead of nulling it.
     """
-    r = spark.read.option("header", True).option("mode", mode)
-    if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)
+    r = spark.read.option("header", True).option("mode", mode).option("nullValue", "NA")
+    return missing_nan((r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path))
 
 
 def read_series_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -42,19 +47,37 @@ def read_series_csv(spark: SparkSession, path: str, schema: T.StructType | str |
     return df.withColumn(time_col, strict_timestamp(F.col(f"`{time_col}`")))
 
 
+def _landed_records(doc: Column, record: T.StructType) -> Column:
+    """Records of one landed document, by its shape; fails on a shape it does not know."""
+    listed = f"array<{record.simpleString()}>"
+    shape = F.schema_of_variant(doc)
+    data = F.try_variant_get(doc, "$.data", "variant")
+    kind = F.when(data.isNull(), "").otherwise(F.schema_of_variant(data))
+    lists = "^ARRAY<(OBJECT<.*>|VOID)>$"
+    none = F.array().cast(listed)
+    return (F.when(shape.rlike(lists), F.variant_get(doc, "$", listed))
+            .when(shape.startswith("OBJECT") & kind.rlike(lists), F.variant_get(doc, "$.data", listed))
+            .when(shape.startswith("OBJECT") & kind.isin("", "VOID")
+                  & F.try_variant_get(doc, "$.attributes", "variant").isNull(), none)
+            .otherwise(F.raise_error(F.concat(F.lit("not a landed response: "), F.substring(shape, 1, 200)))))
+
+
 def read_landed_payloads(spark: SparkSession, path: str,
-                         schema: T.StructType = PAYLOAD_ENVELOPE, multi_line: bool = True) -> DataFrame:
-    """SRC-03: landed API responses (JSON), one record per row of ``data``.
-
-    Each file holds a response envelope; a missing ``data`` list yields no
-    rows.  The declared schema avoids an inference pass and turns integer
-    quantities into doubles.  A malformed document fails the job rather
-    than vanishing as a NULL record.  ``multi_line`` reads one (indented) document
-    per file, as a response is saved; turn it off for JSON lines, which
-    split into parallel tasks within a file.
+                         record: T.StructType = PAYLOAD_RECORD, multi_line: bool = True) -> DataFrame:
+    """SRC-03: landed API responses (JSON), one row per record.
+
+    A document is a response envelope with a ``data`` list, or a bare list of
+    records (with ``multi_line``); its shape tells.  An envelope without
+    ``data`` yields no rows.  Anything else (a scalar, a ``data`` that is no
+    list, a bare record) and malformed text fail the job rather than vanish.
+    The declared record type turns integer quantities into doubles.
+    ``multi_line`` reads one (indented) document per file, as a response is
+    saved; turn it off for JSON lines, which split into parallel tasks within
+    a file.
     """
-    env = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
-    return env.select(F.explode("data").alias("rec")).select("rec.*")
+    docs = (spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line)
+            .option("mode", "FAILFAST").json(path))
+    return docs.select(F.explode(_landed_records(F.col("doc"), record)).alias("rec")).select("rec.*")
 
 
 def batch_folders(spark: SparkSession, path: str, key: str) -> list[tuple[str, str]]:
@@ -78,38 +101,19 @@ def batch_folders(spark: SparkSession, path: str, key: str) -> list[tuple[str, s
     return sorted(out)
 
 
-def read_partitioned_batches(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                             fmt: str = "json") -> DataFrame:
-    """All landed batches in one scan; folder keys (``key=value``) become columns.
-
-    The single-scan form of "read every batch and stamp its key", for any
-    number of batches.
-    """
-    r = spark.read.format(fmt).option("basePath", path)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.load(path)
-
-
 def read_batches(spark: SparkSession, path: str, key: str, schema: T.StructType,
-                 fmt: str = "json", max_separate: int = 64) -> DataFrame:
-    """SRC-03 + PRJ-05 + SET-01: every landed batch with its key stamped, as one DataFrame.
+                 fmt: str = "json") -> DataFrame:
+    """SRC-03 + PRJ-05 + SET-01: every landed batch with its key stamped, in one scan.
 
-    Up to ``max_separate`` batches are read one by one and combined by name
-    (each read stays a plain scan of its own folder).  Beyond that the
-    plan would grow with the number of batches, so all of them are read in
-    one scan whose folder key becomes the column; the rows are the same.
+    The folder key becomes the column, so any number of batches is one plan;
+    the folder that Spark writes for a NULL key reads back as NULL.
     """
-    from wattline.operators.ingest import stamp_key, union_batches
     found = batch_folders(spark, path, key)
     full = T.StructType(list(schema.fields) + [T.StructField(key, T.StringType())])
     if not found:
         return spark.createDataFrame([], full)
-    if len(found) > max_separate:
-        r = spark.read.format(fmt).schema(full).option("basePath", path)
-        return r.load([folder for _, folder in found])
-    return union_batches(stamp_key(spark.read.format(fmt).schema(schema).load(folder), key, value)
-                         for value, folder in found)
+    return missing_nan(spark.read.format(fmt).schema(full).option("basePath", path)
+                       .load([folder for _, folder in found]))
 
 
 def records_frame(spark: SparkSession, records: Iterable[Mapping | tuple],
@@ -138,14 +142,13 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "json",
-                   options: Mapping[str, str] | None = None,
-                   drop: tuple[str, ...] = ("_id",), sampling_ratio: float = 1.0) -> DataFrame:
-    """SRC-06: a whole document collection, schema inferred, store key dropped.
+                   options: Mapping[str, str] | None = None, drop: tuple[str, ...] = ("_id",),
+                   schema: T.StructType | str | None = None) -> DataFrame:
+    """SRC-06: a whole document collection, store key dropped; NaN is missing (S9).
 
-    Inference reads every document by default (exact, one extra pass);
-    ``sampling_ratio`` < 1 infers from a sample, as document-store readers
-    do, at the risk of missing a field seen only outside the sample.
+    Without ``schema`` it is inferred from every document (exact, one extra
+    pass); pass the schema at scale.
     """
-    df = (spark.read.format(fmt).option("samplingRatio", sampling_ratio)
-          .options(**(options or {})).load(path))
-    return df.drop(*[c for c in drop if c in df.columns])
+    r = spark.read.format(fmt).options(**(options or {}))
+    df = (r.schema(schema) if schema is not None else r).load(path)
+    return missing_nan(df.drop(*[c for c in drop if c in df.columns]))
