@@ -237,7 +237,7 @@ def test_month_windows_clipped_and_mid_month(spark):
 def test_window_coverage_shows_empty_windows(spark):
     from tests.conftest import SF_MID
     li = spark.read.parquet(f"{SF_MID}/lineitem.parquet")
-    cov = window_coverage(li, "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
+    cov = window_coverage(li, li, "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
     rows = cov.collect()
     assert len(rows) == 252
     dec = {r["l_returnflag"]: r["n_rows"] for r in rows if r["window_start"] == dt.date(2001, 12, 1)}
@@ -347,3 +347,71 @@ def test_month_windows_empty_when_start_after_end(spark):
     assert month_windows(keys, "pricearea", "2021-03-01", "2021-02-01").count() == 0
     one = month_windows(keys, "pricearea", "2021-03-01", "2021-03-01").collect()
     assert [(r["window_start"], r["window_end"]) for r in one] == [(dt.date(2021, 3, 1), dt.date(2021, 3, 1))]
+
+
+def test_window_coverage_shows_planned_keys_without_rows(spark):
+    facts = spark.createDataFrame([("A", dt.datetime(2021, 1, 31, 23)), ("A", dt.datetime(2021, 3, 1)), ("C", dt.datetime(2021, 1, 1)),
+                                   (None, dt.datetime(2021, 2, 2))], "area string, t timestamp_ntz")
+    keys = spark.createDataFrame([("A",), ("B",), ("B",), (None,)], "area string")
+    got = {(r["area"], r["window_start"].month): r["n_rows"]
+           for r in window_coverage(facts, keys, "area", "t", "2021-01-01", "2021-02-28").collect()}
+    assert got == {("A", 1): 1, ("A", 2): 0, ("B", 1): 0, ("B", 2): 0, (None, 1): 0, (None, 2): 1}
+
+
+def test_month_windows_refuse_drifting_starts_of_a_column(spark):
+    keys = spark.createDataFrame([("A", dt.date(2021, 1, 31))], "area string, d date")
+    with pytest.raises(Exception, match="day 1..28"):
+        month_windows(keys, "area", F.lit("2021-01-31"), "2021-12-31").collect()
+
+
+def test_metric_series_takes_one_value_per_hour(spark):
+    rows = [(dt.datetime(2021, 1, 1, 0, m), float(m)) for m in range(0, 60, 5)] + [(dt.datetime(2021, 1, 1, 1), None)]
+    got = R.metric_series(spark.createDataFrame(rows, "time timestamp_ntz, x double"), ["x"]).collect()
+    assert [r["Trend over Time"] for r in got] == [[55.0, None]]
+
+
+@pytest.mark.parametrize("doc, n", [([], 0), ({}, 0), ({"data": None}, 0), ({"data": []}, 0), ({"links": {}}, 0),
+                                    ([{"priceArea": "A"}], 1), ({"data": [{"priceArea": "A"}, {"x": 1}]}, 2)])
+def test_landed_documents_of_known_shapes(spark, tmp_path, doc, n):
+    (tmp_path / "d.json").write_text(json.dumps(doc, indent=2))
+    assert SRC.read_landed_payloads(spark, str(tmp_path)).count() == n
+
+
+@pytest.mark.parametrize("doc", [3, "text", [1, 2], {"data": 5}, {"data": [1]}, {"priceArea": "A", "attributes": {}}])
+def test_landed_documents_of_unknown_shapes_fail(spark, tmp_path, doc):
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    with pytest.raises(Exception):
+        SRC.read_landed_payloads(spark, str(tmp_path)).collect()
+
+
+def test_landed_list_flattens_like_an_envelope(spark, tmp_path):
+    recs = [{"priceArea": "A", "attributes": {"productionPerGroupMbaHour": [{"priceArea": None, "quantityKwh": 1}]}}]
+    for name, doc in (("list", recs), ("envelope", {"data": recs})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "d.json").write_text(json.dumps(doc, indent=2))
+    a, b = (I.flatten_hourly(SRC.read_landed_payloads(spark, str(tmp_path / n))).collect() for n in ("list", "envelope"))
+    assert a == b and len(a) == 1 and a[0]["priceArea"] == "A" and a[0]["quantityKwh"] == 1.0
+
+
+def test_lenient_time_needs_a_full_date(spark):
+    from wattline.functions.timeops import lenient_utc
+    texts = ["10:30", "2021", "2021-05", "2021-05-06", " 2021-05-06T01:00:00Z", "2021-05-06 01:00:00+02:00", "x2021-05-06", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(lenient_utc("t")).collect()]
+    assert got == [None, None, None, dt.datetime(2021, 5, 6), dt.datetime(2021, 5, 6, 1), dt.datetime(2021, 5, 5, 23), None, None]
+
+
+def test_csv_missing_values_agree_with_pandas(spark, tmp_path):
+    import pandas as pd
+    from wattline.operators.aggregates import group_totals
+    from wattline.operators.profile import profile
+    p = tmp_path / "g.csv"
+    p.write_text("productiongroup,quantitykwh\na,1.5\na,NaN\na,NA\nb,\nb,2\n")
+    df, pdf = SRC.read_csv(spark, str(p)), pd.read_csv(p)
+    assert {r["column"]: r["non_null"] for r in profile(df).collect()} == pdf.count().to_dict()
+    assert {r[0]: r[1] for r in group_totals(df).collect()} == pdf.groupby("productiongroup")["quantitykwh"].sum().to_dict()
+
+
+def test_share_label_of_the_null_group(spark):
+    from wattline.functions.text import percent_label
+    df = spark.createDataFrame([(None, 0.5), ("a", 0.25)], "g string, s double")
+    assert [r[0] for r in df.select(percent_label(F.col("g"), F.col("s"))).collect()] == ["unknown, 50.0%", "a, 25.0%"]

@@ -26,7 +26,7 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.dtypes == [("date", "timestamp_ntz"), ("productiongroup", "string"), ("quantitykwh", "double")]
-    assert set(E.oracle_sql()) == set(E.queries())  # every key has a SQL oracle
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())  # every key of this library has a SQL oracle
 
 
 def test_queries_ignore_the_callers_time_zone(spark, con):

@@ -8,8 +8,11 @@ Python evaluation in the hot path.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from wattline.plans.eventlog import input_records
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
@@ -77,25 +80,23 @@ def single_partition_inputs(df: DataFrame) -> list[str]:
 _STAGES = ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec", "ResultQueryStageExec")
 
 
-def executed_scans(df: DataFrame) -> int:
-    """File scans that actually ran in the final plan of an executed DataFrame.
+def rows_read(spark: SparkSession, run: Callable[[], object]) -> int:
+    """Rows that all tasks started by ``run`` read from files, by the tasks' own metrics.
 
-    Walks the adaptive plan's final tree; a reused exchange counts no scan,
-    since its data comes from a shuffle another branch already wrote.
-    Subquery plans are not walked.
+    Counted from the session's event log, so subqueries, broadcasts and
+    branches that adaptive execution later drops from the plan all count.
+    The session must have been started with an uncompressed event log; other
+    work must not run on it meanwhile.
     """
-    def walk(node) -> int:
-        name = node.getClass().getSimpleName()
-        if name == "ReusedExchangeExec":
-            return 0
-        if name == "AdaptiveSparkPlanExec":
-            return walk(node.executedPlan())
-        if name in _STAGES:
-            return walk(node.plan())
-        n = 1 if name in ("FileSourceScanExec", "BatchScanExec") else 0
-        ch = node.children()
-        return n + sum(walk(ch.apply(i)) for i in range(ch.size()))
-    return walk(df._jdf.queryExecution().executedPlan())
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    log = spark.conf.get("spark.eventLog.dir")
+
+    def total() -> int:
+        bus.waitUntilEmpty(30_000)
+        return input_records(log, spark.sparkContext.applicationId)
+    before = total()
+    run()
+    return total() - before
 
 
 def shuffle_records_written(df: DataFrame) -> int:

@@ -28,6 +28,19 @@ def _lines(path: str):
                     yield json.loads(line)
 
 
+def input_records(path: str, application: str) -> int:
+    """Rows read from files by all finished tasks of an application, as logged so far under ``path``."""
+    root = path.removeprefix("file:")
+    files = [f for f in glob.glob(os.path.join(root, "**", f"*{application}*"), recursive=True) if os.path.isfile(f)]
+    total = 0
+    for f in files:
+        with open(f, encoding="utf-8") as log:
+            for line in log:
+                if line.startswith('{"Event":"SparkListenerTaskEnd"') and line.endswith("\n"):
+                    total += (json.loads(line).get("Task Metrics") or {}).get("Input Metrics", {}).get("Records Read", 0)
+    return total
+
+
 def summarise(path: str) -> list[dict]:
     """One dict per SQL execution: wall time, jobs, stages, tasks, slowest stage."""
     sql: dict[int, dict] = {}

@@ -28,7 +28,7 @@ from wattline.operators.profile import profile
 from wattline.plans import views as V
 from wattline.session import scratch_path, utc_zone
 from wattline.sinks import writers as S
-from wattline.sinks.curate import curated_month, load_and_curate
+from wattline.sinks.curate import curated_month, load_and_curate, with_text_month
 from wattline.sources import files as SRC
 from wattline.sources.schemas import CURATED_COLUMNS, PAYLOAD_RECORD, PRODUCTION, STORED_TABLE_DDL
 from wattline.sources.tables import read_table
@@ -208,9 +208,36 @@ def area_group_with_total(spark: SparkSession, d: str) -> DataFrame:
 X AS (SELECT * FROM S WHERE pricearea = 'Total')""") +
     'SELECT * FROM X WHERE (SELECT SUM("Total_Kwh") FROM X) > 0')
 def pie_from_summary(spark: SparkSession, d: str) -> DataFrame:
-    """CCH-01 + FLT-07 + FLT-09: the notebook pie, served from the one-pass summary."""
-    summary = A.area_group_with_total(V.production_text(spark, d))
-    return FL.keep_if_positive_total(A.area_selection(summary, "Total"), "Total_Kwh")
+    """CCH-01 + FLT-07 + FLT-09: the notebook pie, served from the stored summary."""
+    return FL.keep_if_positive_total(A.area_selection(_stored_summary(spark, d), "Total"), "Total_Kwh")
+
+
+def _stored_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The per-area summary with ``Total`` rows, written once; choices read its few rows, never the facts."""
+    path = scratch_path(spark, "summary")
+    A.area_group_with_total(V.production_text(spark, d)).write.parquet(path)
+    return spark.read.schema("pricearea STRING, productiongroup STRING, Total_Kwh DOUBLE").parquet(path)
+
+
+@register("summary_choices", _with("PT", extra="""S AS (SELECT
+  CASE WHEN GROUPING(pricearea) = 1 THEN 'Total' ELSE pricearea END AS pricearea, productiongroup,
+  CASE WHEN GROUPING(pricearea) = 1 THEN COALESCE(CAST(SUM(quantitykwh) AS DOUBLE), 0.0)
+       ELSE CAST(SUM(quantitykwh) AS DOUBLE) END AS "Total_Kwh"
+""" + _GSETS + ")") + f"SELECT pricearea AS choice, productiongroup, \"Total_Kwh\" FROM S WHERE pricearea IN ('Total', '{ONE_AREA}')")
+def summary_choices(spark: SparkSession, d: str) -> DataFrame:
+    """CCH-01 + CCH-02 + FLT-07: two choices served from one stored summary; the facts are read once."""
+    summary = _stored_summary(spark, d)
+    return A.area_selection(summary, "All Areas").unionByName(A.area_selection(summary, ONE_AREA)) \
+        .withColumnRenamed("pricearea", "choice")
+
+
+@register("grand_total", _with("PT") + """SELECT COALESCE(CAST(SUM(quantitykwh) AS DOUBLE), 0.0) AS total,
+  COALESCE(CAST(SUM(quantitykwh) FILTER (WHERE pricearea = 'NO9') AS DOUBLE), 0.0) AS total_of_none FROM PT""")
+def grand_total(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-07: the total over all rows, and 0.0 over a selection without rows."""
+    pt = V.production_text(spark, d)
+    none = A.grand_total(FL.in_area(pt, "NO9"))
+    return A.grand_total(pt).withColumn("total_of_none", none.scalar())
 
 
 _SHARE_SQL = _with("PT", extra="""S AS (SELECT
@@ -235,11 +262,10 @@ def share_of_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("share_label", _SHARE_SQL + """SELECT *, format('{:,.0f}', area_total) AS total_label,
-  printf('%s, %.1f%%', productiongroup, share * 100) AS label
-FROM SH WHERE productiongroup IS NOT NULL""")
+  printf('%s, %.1f%%', COALESCE(productiongroup, 'unknown'), share * 100) AS label FROM SH""")
 def share_label(spark: SparkSession, d: str) -> DataFrame:
-    """FN-09 + FN-10: legend labels of the pie, one per named group."""
-    return L.share_labels(_shares(spark, d).filter(F.col("productiongroup").isNotNull()))
+    """FN-09 + FN-10: legend labels of the pie; the NULL group is labelled ``unknown``."""
+    return L.share_labels(_shares(spark, d))
 
 
 # ------------------------------------------------- production: hourly lines
@@ -312,6 +338,33 @@ def utc_january(spark: SparkSession, d: str) -> DataFrame:
     return _rows_double(FL.in_named_month(_parsed(spark, d), "starttime", "January"))
 
 
+@register("utc_january_pruned", _with("U", extra="""L AS (SELECT event_id, starttime AS local_text FROM PT)""") + """SELECT
+  U.event_id, pricearea, productiongroup, U.starttime, CAST(quantitykwh AS DOUBLE) AS quantitykwh,
+  CAST(substring(local_text, 1, 4) AS INTEGER) AS "year", CAST(substring(local_text, 6, 2) AS INTEGER) AS "month"
+FROM U JOIN L USING (event_id) WHERE month(U.starttime) = 1""")
+def utc_january_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-05 on the month layout of the local text: neighbour months prune, the UTC month decides."""
+    path = scratch_path(spark, "by-local-month")
+    pt = _rows_double(V.production_text(spark, d))
+    S.overwrite_partitioned(with_text_month(pt), path, ["year", "month"])
+    back = spark.read.schema(with_text_month(pt).schema).parquet(path)
+    return FL.in_named_month(back.withColumn("starttime", lenient_utc("starttime")), "starttime", "January",
+                             partition_month="month")
+
+
+@register("lenient_time_shapes", _with("P", extra="""T AS (SELECT event_id, event_id % 5 AS k,
+  strftime(starttime, '%Y-%m-%d') AS day, strftime(starttime, '%H:%M') AS hm, starttime FROM P)""") + """SELECT event_id,
+  CASE k WHEN 2 THEN CAST(day AS TIMESTAMP) WHEN 3 THEN starttime WHEN 4 THEN starttime - INTERVAL 2 HOUR END AS starttime
+FROM T""")
+def lenient_time_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """FN-02 on other shapes: a bare time or year is no time; a date, a zone Z and an offset are."""
+    s, k = F.col("starttime"), F.col("event_id") % 5
+    text = F.when(k == 0, F.date_format(s, "HH:mm")).when(k == 1, F.date_format(s, "yyyy")) \
+        .when(k == 2, F.date_format(s, "yyyy-MM-dd")).when(k == 3, F.date_format(s, "yyyy-MM-dd'T'HH:mm:ss'Z'")) \
+        .otherwise(F.date_format(s, "yyyy-MM-dd HH:mm:ss'+02:00'"))
+    return V.production(spark, d).select("event_id", lenient_utc(text).alias("starttime"))
+
+
 @register("lenient_time", _with("U") + "SELECT event_id, starttime FROM U")
 def lenient_time(spark: SparkSession, d: str) -> DataFrame:
     """FN-02: offset text to naive UTC; ``bad`` becomes NULL."""
@@ -420,15 +473,41 @@ def row_id_unique(spark: SparkSession, d: str) -> DataFrame:
     return S.key_is_unique(I.with_row_id(V.production(spark, d)), "ind")
 
 
-@register("batch_union", _FLAT_SQL)
+@register("row_id_across_loads", """SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_keys, true AS "unique"
+FROM events""")
+def row_id_across_loads(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-03 + SNK-05: two appends to one table; the key check runs on what is stored."""
+    base = scratch_path(spark, "loads")
+    S.create_namespace(spark, "wattline_store", f"{base}/db")
+    name = "wattline_store.loads_" + base.rsplit("-", 1)[-1]
+    S.recreate_table(spark, name, STORED_TABLE_DDL, f"{base}/loads")
+    recs = I.lower_case_columns(V.production_records(spark, d).drop("event_id"))
+    for _ in range(2):
+        S.append_table(I.with_row_id(recs, above=I.largest_id(read_table(spark, name))), name)
+    return S.key_is_unique(read_table(spark, name), "ind")
+
+
+@register("landed_list", _FLAT_SQL)
+def landed_list(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-03: bare lists of records, one list per landed line, flattened like envelopes."""
+    land = scratch_path(spark, "landed-list")
+    recs = V.nested_records(spark, d).select(F.array(F.struct("priceArea", "attributes")).alias("list"))
+    recs.select(F.to_json("list").alias("value")).write.text(land)
+    files = SRC.read_landed_payloads(spark, land, multi_line=False)
+    return I.flatten_hourly(files)
+
+
+@register("batch_union", _with("R") + """SELECT CASE WHEN event_id % 89 = 0 THEN NULL ELSE "priceArea" END AS "priceArea",
+  "productionGroup", "startTime", "endTime", "lastUpdatedTime", "quantityKwh" FROM R""")
 def batch_union(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-01 + SET-01 + PRJ-05: land per-area batches, read each back, stamp its key, union.
+    """SNK-01 + SET-01 + PRJ-05: land per-area batches, read them back in one scan with the key stamped.
 
     Batches are found by listing the landing folder, so every landed batch
-    is read (once) whatever its key.
+    is read (once) whatever its key, the NULL key's too.
     """
     path = scratch_path(spark, "batches")
-    recs = V.production_records(spark, d).drop("event_id")
+    area = F.when(F.col("event_id") % 89 != 0, F.col("priceArea"))
+    recs = V.production_records(spark, d).withColumn("priceArea", area).drop("event_id")
     S.land_json(recs, path, partition_by=["priceArea"])
     return SRC.read_batches(spark, path, "priceArea", recs.drop("priceArea").schema)
 
@@ -449,7 +528,18 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+_CURATED: dict[tuple[str, str], str] = {}
+
+
 def _curated(spark: SparkSession, d: str) -> str:
+    """The curated folder of a table folder: built once per application, read by every key that needs it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _CURATED:
+        _CURATED[at] = _curate(spark, d)
+    return _CURATED[at]
+
+
+def _curate(spark: SparkSession, d: str) -> str:
     """Land N as response files, run the ingest chain, return the curated folder."""
     land, base = scratch_path(spark, "landing"), scratch_path(spark, "curate")
     recs = V.nested_records(spark, d).select(F.struct("priceArea", "attributes").alias("rec"))
@@ -487,11 +577,11 @@ def curated_january(spark: SparkSession, d: str) -> DataFrame:
 @register("json_round_trip", _with("PT") + """SELECT pricearea, productiongroup, starttime,
   CAST(quantitykwh AS DOUBLE) AS quantitykwh FROM PT""")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-01 + SRC-06: write the curated collection as JSON, read it back, schema inferred."""
+    """SNK-01 + SRC-06: write the curated collection as JSON, read it back under its schema."""
     path = scratch_path(spark, "collection")
     cur = _rows_double(V.production_text(spark, d).drop("event_id"))
     S.land_json(cur, path)
-    return SRC.read_documents(spark, path)
+    return SRC.read_documents(spark, path, schema=cur.schema)
 
 
 @register("table_append_read", _with("R") + """SELECT "priceArea" AS pricearea,
@@ -510,11 +600,39 @@ def table_append_read(spark: SparkSession, d: str) -> DataFrame:
 
 @register("csv_round_trip", _with("W") + "SELECT * FROM W")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-01 + SRC-02: the wide series as CSV with a header, read back with inferred types."""
+    """SRC-01 + SRC-02: the wide series as CSV with a header, read back under its schema."""
     path = scratch_path(spark, "series-csv")
-    V.weather(spark, d).write.mode("overwrite").option("header", True).csv(path)
+    w = V.weather(spark, d)
+    w.write.mode("overwrite").option("header", True).csv(path)
     with utc_zone(spark):
-        return SRC.read_series_csv(spark, path)
+        return SRC.read_series_csv(spark, path, schema=w.schema)
+
+
+@register("csv_with_gaps", _with("W", extra="""G AS (SELECT "time", CASE WHEN l_linenumber IN (1, 2, 3) THEN NULL
+  ELSE l_tax END AS l_tax FROM (SELECT l_shipdate AS "time", l_linenumber, l_tax FROM lineitem))""") + """SELECT
+  1 AS position, 'time' AS "column", 'timestamp_ntz' AS data_type, count("time") AS non_null, count(*) AS n_rows FROM G
+UNION ALL SELECT 2, 'l_tax', 'double', count(l_tax), count(*) FROM G""")
+def csv_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """S9 + SRC-02 + AGG-13: empty, ``NA`` and NaN fields of a CSV are missing, types inferred."""
+    path = scratch_path(spark, "gaps-csv")
+    line = F.col("l_linenumber")
+    V.table(spark, d, "lineitem").select(
+        F.col("l_shipdate").alias("time"), F.when(line == 1, "NaN").when(line == 2, "NA").when(line == 3, None)
+        .otherwise(F.col("l_tax").cast("string")).alias("l_tax")).write.option("header", True).csv(path)
+    with utc_zone(spark):
+        return profile(SRC.read_series_csv(spark, path))
+
+
+@register("group_totals_with_nan", _with("P") + """SELECT productiongroup,
+  CAST(COALESCE(SUM(quantitykwh) FILTER (WHERE event_id % 7 <> 0), 0) AS DOUBLE) AS quantitykwh FROM P GROUP BY 1""")
+def group_totals_with_nan(spark: SparkSession, d: str) -> DataFrame:
+    """S9 + AGG-04: NaN quantities of landed documents are missing, so sums skip them."""
+    path = scratch_path(spark, "nan-documents")
+    p = V.production(spark, d)
+    S.land_json(p.select("productiongroup", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan")))
+                         .otherwise(F.col("quantitykwh").cast("double")).alias("quantitykwh")), path)
+    back = SRC.read_documents(spark, path, schema="productiongroup STRING, quantitykwh DOUBLE")
+    return A.group_totals(back.withColumn("quantitykwh", F.col("quantitykwh").cast("decimal(18,2)")))
 
 
 @register("partitioned_overwrite", _with("W") + """SELECT CAST(year("time") AS INTEGER) AS "year",
@@ -658,6 +776,16 @@ def single_metric(spark: SparkSession, d: str) -> DataFrame:
     return R.single_metric(V.weather(spark, d), "l_extendedprice")
 
 
+@register("metric_arrays", _with("W", extra="""H AS (SELECT date_trunc('hour', "time") AS h, """ + ", ".join(
+    f"max({c}) AS {c}" for c in V.METRICS) + """ FROM W WHERE month("time") = 1 GROUP BY 1)""") + f"""SELECT "Metric",
+  CAST(year(h) AS INTEGER) AS "year", CAST(month(h) AS INTEGER) AS "month", list(v ORDER BY h) AS "Trend over Time"
+FROM H UNPIVOT INCLUDE NULLS (v FOR "Metric" IN ({", ".join(V.METRICS)})) GROUP BY 1, 2, 3""")
+def metric_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-01 + PRJ-09 on the wide series: January per metric and year, one value per hour."""
+    jan = FL.in_month(V.weather(spark, d), "time", MONTH)
+    return R.metric_series(jan, NZ.metric_columns(jan))
+
+
 _PANEL_CASE = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(V.METRICS))
 
 
@@ -682,7 +810,7 @@ def axis_dates(spark: SparkSession, d: str) -> DataFrame:
 @register("window_coverage", """WITH C AS (SELECT l_returnflag,
   CAST(date_trunc('month', l_shipdate) AS DATE) AS window_start, count(*) AS n
   FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '2002-01-01' GROUP BY 1, 2),
-K AS (SELECT DISTINCT l_returnflag FROM C),
+K AS (SELECT DISTINCT l_returnflag FROM lineitem),
 M AS (SELECT CAST(range AS DATE) AS window_start
       FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH))
 SELECT K.l_returnflag, CAST(M.window_start AS TIMESTAMP) AS window_start,
@@ -693,7 +821,22 @@ FROM K CROSS JOIN M LEFT JOIN C ON C.l_returnflag = K.l_returnflag AND C.window_
 def window_coverage_q(spark: SparkSession, d: str) -> DataFrame:
     """GEN-01 + AGG-12: rows per (flag, month window), 0 where a window got nothing."""
     li = V.table(spark, d, "lineitem")
-    cov = window_coverage(li, "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
+    cov = window_coverage(li, li.select("l_returnflag"), "l_returnflag", "l_shipdate", "1995-01-01", "2001-12-31")
+    return _dates_as_midnight(cov, "window_start", "window_end")
+
+
+@register("area_coverage", _with("P", extra="""K AS (SELECT DISTINCT pricearea FROM P),
+M AS (SELECT CAST(range AS DATE) AS window_start FROM range(DATE '2024-02-01', DATE '2025-02-01', INTERVAL 1 MONTH)),
+C AS (SELECT pricearea, CAST(date_trunc('month', starttime) AS DATE) AS window_start, count(*) AS n
+  FROM P WHERE pricearea IN ('NO1', 'NO2') AND starttime >= DATE '2024-02-01' AND starttime < DATE '2025-02-01'
+  GROUP BY 1, 2)""") + """SELECT K.pricearea, CAST(M.window_start AS TIMESTAMP) AS window_start,
+  CAST(M.window_start + INTERVAL 1 MONTH - INTERVAL 1 DAY AS TIMESTAMP) AS window_end, COALESCE(C.n, 0) AS n_rows
+FROM K CROSS JOIN M LEFT JOIN C ON C.pricearea = K.pricearea AND C.window_start = M.window_start""")
+def area_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """GEN-01 over the planned areas: those of which nothing arrived (or not in the range) show 0 throughout."""
+    p = V.production(spark, d)
+    cov = window_coverage(FL.in_groups(p, ["NO1", "NO2"], col="pricearea"), p.select("pricearea"), "pricearea",
+                          "starttime", "2024-02-01", "2025-01-31")
     return _dates_as_midnight(cov, "window_start", "window_end")
 
 

@@ -8,8 +8,9 @@ read-back plan.
 from __future__ import annotations
 
 import sys
+import tempfile
 
-from wattline.plans.checks import executed_scans, plan_text, single_partition_inputs, summary
+from wattline.plans.checks import plan_text, rows_read, single_partition_inputs, summary
 from wattline.plans.queries import QUERIES
 from wattline.session import build_session
 
@@ -27,24 +28,26 @@ def _operators(text: str) -> str:
 def main(argv: list[str]) -> int:
     """Print the Markdown plan table for every registered key."""
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", shuffle_partitions=8)
+    log = tempfile.mkdtemp(prefix="wattline-log-")
+    spark = build_session("local[8]", shuffle_partitions=8, extra={
+        "spark.eventLog.enabled": "true", "spark.eventLog.compress": "false", "spark.eventLog.dir": f"file:{log}"})
     spark.sparkContext.setLogLevel("ERROR")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python -m wattline.plans.report {sf_dir}`.")
-    print("Columns: scans in the initial plan and scans that ran after AQE reused shared shuffles,")
-    print("shuffles (`Exchange`), what feeds each single-partition exchange (`partial` = per-task")
+    print("Columns: scans in the initial plan, rows that all tasks read from files (building and running the")
+    print("query, by task metrics, subqueries and intermediate files included), shuffles (`Exchange`), what feeds each single-partition exchange (`partial` = per-task")
     print("partial aggregates), filters pushed into Parquet, operator chain of the initial plan.\n")
-    print("| query | scans (plan / ran) | exchanges | single-partition feeds | pushed filters | operators (top ← scan) |")
-    print("| --- | --- | --- | --- | --- | --- |")
+    print("| query | scans (plan) | rows read | exchanges | single-partition feeds | pushed filters | operators (top ← scan) |")
+    print("| --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in QUERIES.items():
-        df = fn(spark, sf_dir)
+        made: list = []
+        read = rows_read(spark, lambda: (made.append(fn(spark, sf_dir)), made[0].collect()))
+        df = made[0]
         s = summary(df)
         pushed = "; ".join(sorted({p for p in s["pushed_filters"] if p})) or "—"
         feeds = ", ".join(single_partition_inputs(df)) or "—"
         ops = _operators(plan_text(df)).replace("|", "/")
-        df.collect()
-        ran = executed_scans(df)
-        print(f"| `{name}` | {s['scans']} / {ran} | {s['exchanges']} | {feeds} | {pushed} | {ops} |")
+        print(f"| `{name}` | {s['scans']} | {read} | {s['exchanges']} | {feeds} | {pushed} | {ops} |")
     return 0
 
 

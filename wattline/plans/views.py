@@ -82,20 +82,16 @@ def production_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quantitykwh").cast("double").alias("quantityKwh"))
 
 
-# Entries per nested record: a record holds one area's entries of a run of
-# 24 consecutive event ids, so no list grows with the table.
-BATCH_IDS = 24
-
-
 def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N structs: API records ``{priceArea, attributes.productionPerGroupMbaHour[]}``."""
+    """N structs: API records ``{priceArea, attributes.productionPerGroupMbaHour[]}``.
+
+    One record with a list of one entry per fact, made row by row.
+    """
     r = production_records(spark, sf_dir)
     entry = F.struct("priceArea", "productionGroup", "startTime", "endTime",
                      "lastUpdatedTime", "quantityKwh")
-    return (r.groupBy("priceArea", F.floor(F.col("event_id") / BATCH_IDS).alias("batch"))
-            .agg(F.collect_list(entry).alias("entries"))
-            .select("priceArea", "batch",
-                    F.struct(F.col("entries").alias("productionPerGroupMbaHour")).alias("attributes")))
+    return r.select("priceArea", F.col("event_id").alias("batch"),
+                    F.struct(F.array(entry).alias("productionPerGroupMbaHour")).alias("attributes"))
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
