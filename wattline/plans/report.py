@@ -41,12 +41,13 @@ def main(argv: list[str]) -> int:
     print("| --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in QUERIES.items():
         made: list = []
-        read = rows_read(spark, lambda: (made.append(fn(spark, sf_dir)), made[0].collect()))
+        read = rows_read(spark, lambda: made.append(fn(spark, sf_dir)))
         df = made[0]
         s = summary(df)
         pushed = "; ".join(sorted({p for p in s["pushed_filters"] if p})) or "—"
         feeds = ", ".join(single_partition_inputs(df)) or "—"
         ops = _operators(plan_text(df)).replace("|", "/")
+        read += rows_read(spark, df.collect)
         print(f"| `{name}` | {s['scans']} | {read} | {s['exchanges']} | {feeds} | {pushed} | {ops} |")
     return 0
 
