@@ -47,8 +47,10 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     one it has seen (large star: larger neighbours, small star: the node and
     its smaller neighbours).  The edge count never grows and the number of
     rounds is logarithmic in practice.  Both steps are a two-phase minimum
-    and a salted join on the node, so no neighbourhood is ever collected and a
-    hub's edges are many tasks; each round is written to the shared folder.
+    and a join on the node, so no neighbourhood is ever collected.  The minima
+    are written to the shared folder before the join: both its sides are then
+    plain shuffles (or one is small enough to broadcast), and adaptive
+    execution splits a hub's edges over many tasks.
     A self-loop is allowed and keeps its node.
     """
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
@@ -58,12 +60,12 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     while True:
         # Large star: for each node, larger neighbours point at the smallest of (node, neighbours).
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = join_groups(both, low, ["u"], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"{name}-m{step}")
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u <> v").distinct(), f"{name}-l{step}")
         # Small star: the node and its smaller neighbours point at the smallest neighbour.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_groups(large, low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-n{step}")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionAll(low.select("u", F.col("m").alias("v")))
         nxt = materialise(small.filter("u <> v").distinct(), f"{name}-s{step}")
         # Fixed point: same number of edges and same checksum of edges.

@@ -6,14 +6,17 @@ classes.
 
 1. Every task reports the shingles that repeat within it; the most frequent
    ones of the corpus are the long lists.  They come last in the shingle order.
-2. A class lists only its first ``n - T + 1`` shingles in that order, where
-   ``T`` is the least overlap of a link: linked classes share one of these.
-   Equal shingles meet in one hash bucket, and each list chains its members,
-   so a list of m classes gives at most m - 1 edges.
-3. The chains' components bound the search.  Within each, the inverted lists
-   are built in full and every class is searched: the lists are divided, the
-   short ones are merged by counting, and for the candidates that can still
-   reach T the long ones are probed by binary search.
+2. A class lists only its first ``n - T + c`` shingles in that order, where
+   ``T`` is the least overlap of a link and ``c`` a tenth of n: linked classes
+   share c of these at least.  Equal shingles meet in one hash bucket.  Short
+   lists are merged by counting, and pairs that reach c over all buckets are
+   candidates.  A list above ``SHORT_LIST`` classes only chains its members,
+   so m classes give at most m - 1 edges; a pair that meets in such a list is
+   a candidate without a count.
+3. The components of these edges bound the search.  Within each, the inverted
+   lists are built in full and every class is searched: the lists are divided,
+   the short ones are merged by counting, and for the candidates that can
+   still reach T the long ones are probed by binary search.
 
 Exact overlaps decide; components of the links are the result.
 """
@@ -36,6 +39,8 @@ PERCENT = 75
 LONG_LISTS = 1 << 18
 #: Shingles that a task holds before it reports repeats; prefix entries of one bucket; shingles of one search tile.
 TASK_SHINGLES = 4_000_000
+#: Lists up to this length are merged pair by pair; longer ones are chained.
+SHORT_LIST = 16
 BUCKET_ENTRIES = 2_000_000
 TILE_SHINGLES = 2_000_000
 PIECE = 1 << 20
@@ -118,6 +123,11 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def least_shared(n: int) -> int:
+    """Shingles that any link of a set of ``n`` shares within the two prefixes."""
+    return max(1, min(-(-n // 10), least_overlap(n)))
+
+
 class Forest:
     """Union-find over integers below ``n``; ``add`` tells whether two trees became one."""
 
@@ -194,8 +204,8 @@ def long_lists(repeats: DataFrame, most: int = LONG_LISTS) -> tuple[np.ndarray,
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first ``n - T + 1`` shingles of a set, long lists last and the longest of them at the end."""
-    k = len(s) - least_overlap(len(s)) + 1
+    """The first ``n - T + c`` shingles of a set, long lists last and the longest of them at the end."""
+    k = len(s) - least_overlap(len(s)) + least_shared(len(s))
     if not len(hot):
         return s[:k]
     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -204,21 +214,51 @@ def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ 2 bounded inverted lists
-def _chains(group: pd.DataFrame) -> list[tuple[int, int]]:
-    """Edges between neighbours by size in each list of a bucket, as a forest."""
+def _candidates(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges ``a, b, shared, need`` of one bucket.
+
+    Pairs of short lists with the number of shingles shared here, and with
+    ``need`` 0 a forest of the chains between neighbours by size in longer lists.
+    """
     codes = np.frombuffer(b"".join(group["codes"]), dtype=np.uint32)
     repeat = np.frombuffer(b"".join(group["repeat"]), dtype=np.uint16)
     sig = np.repeat(np.frombuffer(b"".join(group["sigs"]), dtype=np.int64), repeat)
     n = np.repeat(np.frombuffer(b"".join(group["sizes"]), dtype=np.uint32), repeat).astype(np.int64)
     order = np.lexsort((sig, n, codes))
     codes, sig, n = codes[order], sig[order], n[order]
-    link = np.flatnonzero((codes[1:] == codes[:-1]) & (sig[1:] != sig[:-1]) & (100 * n[:-1] >= PERCENT * n[1:]))
-    if not len(link):
-        return []
-    names, ends = np.unique(np.concatenate((sig[link], sig[link + 1])), return_inverse=True)
-    pairs = np.unique(ends.reshape(2, -1).T, axis=0)
-    forest = Forest(len(names))
-    return [(int(names[a]), int(names[b])) for a, b in pairs.tolist() if forest.add(a, b)]
+    # A class may be listed by several tasks.
+    once = np.concatenate(([True], (codes[1:] != codes[:-1]) | (sig[1:] != sig[:-1]))) if len(codes) else np.zeros(0, bool)
+    codes, sig, n = codes[once], sig[once], n[once]
+    heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    runs = np.diff(np.concatenate((heads, [len(codes)])))
+    length = np.repeat(runs, runs)
+    names, who = np.unique(sig, return_inverse=True)
+    size = np.zeros(len(names), dtype=np.int64)
+    size[who] = n
+    # Chains in the long lists.
+    link = np.flatnonzero((codes[1:] == codes[:-1]) & (length[1:] > SHORT_LIST) & (100 * n[:-1] >= PERCENT * n[1:]))
+    forest, a, b = Forest(len(names)), [], []
+    for x, y in np.unique(np.stack((who[link], who[link + 1]), 1), axis=0).tolist():
+        if forest.add(x, y):
+            a.append(x)
+            b.append(y)
+    # Pairs of the short lists.
+    low = np.flatnonzero((length > 1) & (length <= SHORT_LIST))
+    codes, who, n = codes[low], who[low], n[low]
+    pairs = []
+    for k in range(1, SHORT_LIST):
+        at = np.flatnonzero((codes[k:] == codes[:-k]) & (100 * n[:-k] >= PERCENT * n[k:]))
+        if not len(at):
+            continue
+        x, y = who[at], who[at + k]
+        pairs.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+    code, shared = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+    x, y = code // max(len(names), 1), code % max(len(names), 1)
+    need = [min(least_shared(i), least_shared(j)) for i, j in zip(size[x].tolist(), size[y].tolist())]
+    return pd.DataFrame({
+        "a": names[np.concatenate((np.array(a, dtype=np.int64), x))], "b": names[np.concatenate((np.array(b, dtype=np.int64), y))],
+        "shared": np.concatenate((np.ones(len(a), dtype=np.int64), shared)),
+        "need": np.concatenate((np.zeros(len(a), dtype=np.int64), np.array(need, dtype=np.int64)))})
 
 
 # ------------------------------------------------------------------ 3 T-occurrence search
@@ -289,7 +329,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = profile.filter("not hot").drop("hot")
     shared = spark.sparkContext.broadcast(long_lists(profile.filter("hot")))
     entries = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-entries * (100 - PERCENT) // 100 // BUCKET_ENTRIES))
+    buckets = max(1, -(-entries * (110 - PERCENT) // 100 // BUCKET_ENTRIES))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Prefix entries per bucket; a class is listed once per task."""
@@ -321,11 +361,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             np.array([b - a for a, b in runs], dtype=np.uint16).tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "codes", "sigs", "sizes", "repeat"])
 
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_chains(group), ["a", "b"])
     lists = rows.select("text").mapInPandas(
         spread, "bucket long, codes binary, sigs binary, sizes binary, repeat binary")
-    maybe = materialise(lists.groupBy("bucket").applyInPandas(chain, "a long, b long").distinct(), "jaccard-maybe")
+    maybe = materialise(lists.groupBy("bucket").applyInPandas(_candidates, "a long, b long, shared long, need long")
+                        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+                        .filter("shared >= need").select("a", "b"), "jaccard-maybe")
     if maybe.isEmpty():
         labels = None
     else:
@@ -360,8 +400,11 @@ def _links(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
             F.col("label").alias("tile"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     placed = placed.select("doc_id", "sig", F.coalesce("block", F.lit(-1)).alias("block"), tiles.alias("tiles"))
-    chosen = rows.withColumnRenamed("doc_id", "id").join(placed, F.col("id").eqNullSafe(F.col("doc_id"))) \
-        .select("text", "sig", "block", "tiles")
+    placed = materialise(placed, "jaccard-placed")
+    # The list of ids is small next to the texts; the planner broadcasts it if it is under its threshold.
+    ids = materialise(placed.select(F.col("doc_id").alias("id")).distinct(), "jaccard-ids")
+    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("doc_id", "id")
+    chosen = texts.join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "sig", "block", "tiles")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
