@@ -39,44 +39,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges(u, v)`` with ``low(u, m)`` joined on.
+
+    The hash of the key is a join key too, so both sides are shuffled for
+    the join alone and adaptive execution can split a hub's edges.
+    """
+    return edges.withColumn("h", F.xxhash64("u")).join(low.withColumn("h", F.xxhash64("u")), ["u", "h"])
+
+
+def _fixed(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges, from what is stored."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def min_labels(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): one row ``(node, label)`` per node.
+    """Connected components of ``edges(a, b)`` (longs, a <> b): one row ``(node, label)`` per node.
 
     ``label`` is the smallest node of the component.  Alternating star
-    contraction: each round links every neighbour of a node to the smallest
-    one it has seen (large star: larger neighbours, small star: the node and
-    its smaller neighbours).  The edge count never grows and the number of
-    rounds is logarithmic in practice.  Both steps are a two-phase minimum
-    and a join on the node, so no neighbourhood is ever collected.  The minima
-    are written to the shared folder before the join: both its sides are then
-    plain shuffles (or one is small enough to broadcast), and adaptive
-    execution splits a hub's edges over many tasks.
-    A self-loop is allowed and keeps its node.
+    contraction: each round links the larger neighbours of every node to the
+    smallest of it and its neighbours (large star), then a node and its
+    smaller neighbours to the smallest of these (small star).  The edge count
+    never grows and the number of rounds is logarithmic in practice.  Both
+    steps are a two-phase minimum and a join on the node, so no neighbourhood
+    is ever collected; each step is written to the shared folder.
     """
-    nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-    cur = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                      .distinct(), f"{name}-e0")
-    spark, total, step = edges.sparkSession, None, 0
+    cur = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-e")
+    mark, step = _fixed(cur), 0
     while True:
-        # Large star: for each node, larger neighbours point at the smallest of (node, neighbours).
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"{name}-m{step}")
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").distinct(), f"{name}-l{step}")
-        # Small star: the node and its smaller neighbours point at the smallest neighbour.
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-n{step}")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionAll(low.select("u", F.col("m").alias("v")))
-        nxt = materialise(small.filter("u <> v").distinct(), f"{name}-s{step}")
-        # Fixed point: same number of edges and same checksum of edges.
-        row = nxt.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        cur, step = nxt, step + 1
-        if (row["n"], row["x"]) == total:
+        both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = materialise(_with_low(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                            .distinct(), f"{name}-l{step}")
+        # Unchanged edges are stars around the smallest nodes.
+        if _fixed(large) == mark:
             break
-        total = (row["n"], row["x"])
-    # At the fixed point every edge goes from a node to its component's minimum.
-    return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left") \
-        .select("node", F.coalesce("label", "node").alias("label"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_low(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")) \
+            .unionAll(low.select("u", F.col("m").alias("v")))
+        cur, step = materialise(small.filter("u <> v").distinct(), f"{name}-s{step}"), step + 1
+        mark = _fixed(cur)
+    centres = cur.select(F.col("v").alias("node")).distinct()
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("label")) \
+        .unionAll(centres.select("node", F.col("node").alias("label")))
 
 
 #: Copies of one small group row, so that a group holding a third of all rows meets as many join tasks.

@@ -369,7 +369,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if maybe.isEmpty():
         labels = None
     else:
-        labels = min_labels(_links(rows, members, min_labels(maybe, "jaccard-bound")), "jaccard-label")
+        labels = _search(rows, members, min_labels(maybe, "jaccard-bound"))
     return _classes(members, labels)
 
 
@@ -379,11 +379,13 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)])) if len(x) else []
 
 
-def _links(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
-    """Links between classes (a forest), searched within the components ``bound(node, label)``.
+def _search(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
+    """``node, label`` of linked classes, searched within the components ``bound(node, label)``.
 
     Small components share tiles of about ``TILE_SHINGLES``; a larger one is
-    cut into blocks, and each pair of blocks is a tile.
+    cut into blocks, and each pair of blocks is a tile.  A tile of whole
+    components labels its classes itself; the links of blocks are joined up
+    over all tiles.
     """
     # One document stands for each class that may have links.
     reps = materialise(members.join(bound.withColumnRenamed("node", "sig"), "sig").groupBy("sig", "label").agg(
@@ -419,11 +421,22 @@ def _links(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
         sets = [np.frombuffer(c, dtype=np.uint64) for c in group["codes"]]
         sig = group["sig"].tolist()
         found = t_occurrence(sets, group["block"].tolist() if cross else None)
-        return _frame([(sig[a], sig[b]) for a, b in found], ["a", "b"])
+        whole = bool(group["i"].iloc[0] < 0)
+        if whole:
+            order = sorted(range(len(sig)), key=sig.__getitem__)  # a forest's root is its first, so its smallest class
+            place = {k: p for p, k in enumerate(order)}
+            forest = Forest(len(sig))
+            for a, b in found:
+                forest.add(place[a], place[b])
+            found = [(k, order[forest.find(p)]) for p, k in enumerate(order) if forest.find(p) != p]
+        return _frame([(sig[a], sig[b], whole) for a, b in found], ["a", "b", "whole"])
     kind = "tiles array<struct<tile:bigint,i:int,j:int>>"
     dealt = chosen.mapInPandas(gather, f"sig long, block int, {kind}, codes binary") \
         .select("sig", "block", "codes", F.inline("tiles"))
-    return materialise(dealt.groupBy("tile", "i", "j").applyInPandas(search, "a long, b long"), "jaccard-links")
+    links = materialise(dealt.groupBy("tile", "i", "j").applyInPandas(search, "a long, b long, whole boolean"), "jaccard-links")
+    labels = links.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    between = links.filter("NOT whole").select("a", "b")
+    return labels if between.isEmpty() else labels.unionAll(min_labels(between, "jaccard-label"))
 
 
 def _classes(members: DataFrame, labels: DataFrame | None) -> DataFrame:
