@@ -50,7 +50,10 @@ def test_blocks_of_markup_cases(page):
 def test_long_inputs_parse_in_linear_steps():
     H.blocks("<" * 20000)
     H.blocks("<p>" * 20000 + "x")
-    H.blocks("<b>" * 3000 + "</i>" * 3000)
+    H.blocks("<b>" * 50000 + "</i>" * 50000)
+    H.blocks("<div>" * 50000 + "x")
+    assert H.blocks("x" + "<a " * 50000)[0][1].startswith("x<a")
+    assert [t for _, t in H.blocks("<p>x</p>y<!-- " + "<a " * 50000)] == ["x", "y"]
     assert H.blocks("<article>" + "w " * 200000 + "</article>")[0][1].count("w") == 200000
 
 

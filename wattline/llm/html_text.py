@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,7 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|conten
                         r"story(?:-?body)?|content)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                  r"<[!?][^>]*(?:>|\Z)", re.S)
+CUT = re.compile(r"<!.*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript",
                                                                        "template", "iframe", "svg")}
@@ -73,31 +75,37 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         return out
     stack: list[tuple[str, int]] = []  # (element, verdict of its inside)
     text: list[str] = []
+    opened: Counter[str] = Counter()  # how many of each element are on the stack
     verdict, at, found_main = OPEN, 0, False
 
+    def close(depth: int) -> None:
+        opened.subtract(t for t, _ in stack[depth:])
+        del stack[depth:]
+
     def flush() -> None:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
             out.append((verdict, words))
-    n = len(page)
+    n, last = len(page), page.rfind(">")
     while at < n:
-        m = TAG.search(page, at)
+        # Past the last ">" there is no tag but a cut comment.
+        m = TAG.search(page, at) if at <= last else CUT.search(page, at)
         stop = m.start() if m else n
         if stop > at and verdict != -1:
             text.append(entities.unescape(page[at:stop]))
         if not m:
             break
         at = m.end()
-        name = m[2] and m[2].lower()
+        name = m.re is TAG and m[2] and m[2].lower()
         if not name:
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
+            if opened[name] > 0:
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
                 if name in BLOCK or any(t in BLOCK for t, _ in stack[depth:]):
                     flush()
-                del stack[depth:]
+                close(depth)
                 verdict = stack[-1][1] if stack else OPEN
             elif name in BLOCK:
                 flush()
@@ -116,10 +124,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in BLOCK:
             flush()
             # An open paragraph or item ends here, with the inline elements left open in it.
-            k = next((k for k in range(len(stack) - 1, -1, -1)
-                      if stack[k][0] in CLOSES and name in CLOSES[stack[k][0]]), None)
-            if k is not None and not any(t in BLOCK for t, _ in stack[k + 1:]):
-                del stack[k:]
+            for k in range(len(stack) - 1, -1, -1):
+                if name in CLOSES.get(stack[k][0], ()):
+                    close(k)
+                    break
+                if stack[k][0] in BLOCK:
+                    break
             verdict = stack[-1][1] if stack else OPEN
         inside = verdict
         attributes = {a[1].lower(): (a[2] or "").strip("\"'") for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
@@ -137,6 +147,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 inside, found_main = KEPT, True
         if not m[3].endswith("/"):
             stack.append((name, inside))
+            opened[name] += 1
             verdict = inside
     flush()
     if found_main:
