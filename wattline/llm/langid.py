@@ -21,6 +21,8 @@ DOCUMENT = 300
 #: Training uses at most about this many documents per language, drawn by the hash of the id.
 TRAIN_DOCS = 20_000
 UNDETERMINED = "und"
+#: N-grams that a training task counts at once.
+CHUNK = 1 << 21
 #: A text under this score resembles no learned language; running text of one scores about 0.5 and more.
 LEAST_SCORE = 0.2
 GRAM_BITS = 21
@@ -90,11 +92,23 @@ def train(docs: DataFrame, profile: int = PROFILE, per_lang: int = TRAIN_DOCS) -
         chance = F.when(F.col("lang") == row["lang"], per_lang / row["n"]).otherwise(chance)
     drawn = labelled.filter(unit < chance).select("lang", "text")
 
+    def tally(lang: str, held: list[np.ndarray]) -> pd.DataFrame:
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"lang": lang, "gram": codes.astype(np.int64), "n": n.astype(np.int64)})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partial counts; a task holds about CHUNK n-grams at a time."""
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                codes, n = np.unique(np.concatenate([grams(t) for t in part["text"]] or [[]]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": codes.astype(np.int64), "n": n.astype(np.int64)})
+                held, size = [], 0
+                for text in part["text"]:
+                    held.append(grams(text))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        yield tally(lang, held)
+                        held, size = [], 0
+                if held:
+                    yield tally(lang, held)
     sums = drawn.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = sums.withColumn("r", place).filter(F.col("r") <= profile)
