@@ -47,6 +47,19 @@ def test_blocks_of_markup_cases(page):
     assert [t for v, t in found if v != H.DROPPED] == CASES[page]
 
 
+@pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'p title="The hidden valley"', "div data-hidden", 'p alt=" hidden "'])
+def test_words_inside_other_attributes_hide_nothing(tag):
+    assert H.blocks(f"<{tag}>text</{tag.split()[0]}>") == [(H.OPEN, "text")]
+
+
+@pytest.mark.parametrize("tag, verdict", [
+    ('div id="comments" style="width:9px"', H.DROPPED), ('div class="sidebar" data-class="x"', H.DROPPED),
+    ("div data-class=x CLASS='sidebar'", H.DROPPED), ("div class=sidebar class=x", H.DROPPED), ('div id = "main" data-video="9"', H.KEPT),
+    ("div id=main data-video=9 hidden", H.DROPPED), ("div hidden class=main", H.DROPPED), ('div aria-hidden="true"', H.DROPPED)])
+def test_attributes_are_whole_names_and_the_first_counts(tag, verdict):
+    assert H.blocks(f"<{tag}>text</div>") == [(verdict, "text")]
+
+
 def test_long_inputs_parse_in_linear_steps():
     H.blocks("<" * 20000)
     H.blocks("<p>" * 20000 + "x")

@@ -54,7 +54,8 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|conten
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                  r"<[!?][^>]*(?:>|\Z)", re.S)
 CUT = re.compile(r"<!.*\Z", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One whole ``name[=value]`` of a tag; values are consumed with their names, so no name is found inside one.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript",
                                                                        "template", "iframe", "svg")}
 #: Elements whose end tag may be left out: a new one of these closes an open one.
@@ -64,6 +65,15 @@ CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "d
 KEPT, DROPPED, OPEN = 1, 0, 2
 
 
+def attributes_of(tag: str) -> dict[str, str]:
+    """Attributes by lower-case name, without the quotes around values; of repeated names the first one counts."""
+    out: dict[str, str] = {}
+    for a in ATTRIBUTE.finditer(tag):
+        value = a[2] or ""
+        out.setdefault(a[1].lower(), value[1:-1] if value[:1] in ('"', "'") else value)
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """Visible blocks of a page in order, each with KEPT, DROPPED or OPEN (undecided) by its containers.
 
@@ -132,7 +142,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     break
             verdict = stack[-1][1] if stack else OPEN
         inside = verdict
-        attributes = {a[1].lower(): (a[2] or "").strip("\"'") for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
+        attributes = attributes_of(m[3]) if m[3] else {}
         label = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in attributes and not attributes["hidden"] or attributes.get("aria-hidden") == "true"
         if verdict != DROPPED:
