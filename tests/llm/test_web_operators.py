@@ -47,6 +47,17 @@ def test_blocks_of_markup_cases(page):
     assert [t for v, t in found if v != H.DROPPED] == CASES[page]
 
 
+@pytest.mark.parametrize("page, kept", [
+    ("<div><p>story</p></div><article class=comment>reader</article>", ["story"]),
+    ("<p>story</p><article class='related teaser'>other</article><article id=comment-7>reader</article>", ["story"]),
+    ("<article><p>story</p><article class='user-comment'>reader</article></article>", ["story"]),
+    ("<main><article>story</article><article class=comment>reader</article></main><p>after</p>", ["story"]),
+    ("<article class='post category-social tag-share no-comments'>story</article><p>after</p>", ["story"]),
+    ("<p>story</p><article></article><main> </main>", ["story"])])
+def test_articles_marked_as_furniture_go_and_decide_nothing(page, kept):
+    assert [t for v, t in H.blocks(page) if v != H.DROPPED] == kept
+
+
 @pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'p title="The hidden valley"', "div data-hidden", 'p alt=" hidden "'])
 def test_words_inside_other_attributes_hide_nothing(tag):
     assert H.blocks(f"<{tag}>text</{tag.split()[0]}>") == [(H.OPEN, "text")]

@@ -51,6 +51,8 @@ FURNITURE_WORDS = re.compile(
     r"recommended|widgets?|pagination|pager|toolbar|skip|search|complementary|contentinfo|alert|dialog)(?=$|[\s_-])", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|content)|entry-?content|main(?:-?content)?|"
                         r"story(?:-?body)?|content)(?=$|[\s_-])", re.I)
+#: Class tokens that say what an article is about or lacks, not what it is.
+ABOUT = re.compile(r"(?:^|(?<=\s))(?:category|tag|topic|section|author|status|format|type|has|no|with|without)[_-]\S*", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                  r"<[!?][^>]*(?:>|\Z)", re.S)
 CUT = re.compile(r"<!.*\Z", re.S)
@@ -78,7 +80,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     """Visible blocks of a page in order, each with KEPT, DROPPED or OPEN (undecided) by its containers.
 
     White space inside a block is one space.  If the page has an article or
-    main container, what stands outside of it is page furniture.
+    main container that holds text, what stands outside of it is page
+    furniture.  An article marked as furniture (a comment, a related teaser)
+    is no such container.
     """
     out: list[tuple[int, str]] = []
     if not page:
@@ -86,7 +90,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     stack: list[tuple[str, int]] = []  # (element, verdict of its inside)
     text: list[str] = []
     opened: Counter[str] = Counter()  # how many of each element are on the stack
-    verdict, at, found_main = OPEN, 0, False
+    verdict, at = OPEN, 0
 
     def close(depth: int) -> None:
         opened.subtract(t for t, _ in stack[depth:])
@@ -150,17 +154,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 inside = DROPPED
             elif name in FURNITURE and not (name == "header" and verdict == KEPT):
                 inside = DROPPED
-            elif label.strip() and name not in ("html", "body") and name not in MAIN and FURNITURE_WORDS.search(label):
+            elif label.strip() and name not in ("html", "body", "main") and FURNITURE_WORDS.search(
+                    ABOUT.sub("", label) if name == "article" else label):
                 inside = DROPPED
             elif name in MAIN or (label.strip() and verdict == OPEN and name in ("div", "section", "td")
                                   and MAIN_WORDS.search(label)):
-                inside, found_main = KEPT, True
+                inside = KEPT
         if not m[3].endswith("/"):
             stack.append((name, inside))
             opened[name] += 1
             verdict = inside
     flush()
-    if found_main:
+    if any(v == KEPT for v, _ in out):
         out = [(DROPPED if v == OPEN else v, t) for v, t in out]
     return out
 
