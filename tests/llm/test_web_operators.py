@@ -166,3 +166,10 @@ def test_warc_odd_inputs(spark):
     got = W.round_trip(spark.createDataFrame(rows, PAGES), scratch_path(spark, "t")).collect()
     assert {r["page_id"] for r in got} == {1, None, 2}
     assert W.round_trip(spark.createDataFrame([], PAGES), scratch_path(spark, "t")).count() == 0
+
+
+def test_repeated_pages_come_out_as_often_as_they_went_in(spark):
+    rows = [(1, "u", "x" * 200)] * 3 + [(None, "u", "x" * 200)] * 2 + [(2, "u", "y"), (3, "v", "x" * 200)]
+    got = W.round_trip(spark.createDataFrame(rows, PAGES), scratch_path(spark, "t")).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got) == sorted(
+        [(1, "response", None)] * 3 + [(0, "revisit", 1)] * 2 + [(2, "response", None), (3, "revisit", 1)])

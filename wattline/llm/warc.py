@@ -184,8 +184,9 @@ def assemble(records: DataFrame) -> DataFrame:
     Request and metadata are joined to their response or revisit by
     concurrent-to; ``origin`` is the response that a revisit refers to.  A
     capture without a request or metadata has NULL there, and records that
-    name no capture are left out.  Every join key is unique per capture
-    except ``refers_to``, whose hot values are spread over salted copies.
+    name no capture are left out.  Captures that share an id (repeated pages)
+    keep their rows; as origin they count once.  Every join key is unique per
+    id except ``refers_to``, whose hot values are spread over salted copies.
     """
     got = records.filter(F.col("type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), "refers_to",
@@ -197,8 +198,9 @@ def assemble(records: DataFrame) -> DataFrame:
     page = F.nullif(F.regexp_extract(F.col("metadata.fields"), r"page-id: (\S*)", 1), F.lit("")).cast("long")
     named = materialise(named.withColumn("page_id", page), "warc-captures")
     wanted = named.filter(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("capture_id")).distinct()
-    origin = named.join(wanted, "capture_id").select(
-        F.col("capture_id").alias("refers_to"), F.struct("page_id", "response").alias("origin"),
+    once = named.join(wanted, "capture_id").groupBy("capture_id").agg(F.min(F.struct("page_id", "response")).alias("origin"))
+    origin = once.select(
+        F.col("capture_id").alias("refers_to"), "origin",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return named.withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int")) \
         .join(origin, ["refers_to", "salt"], "left").drop("salt")
