@@ -98,6 +98,39 @@ def test_mix_draws_by_probability_and_keeps_columns(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["sampled"]}
 
 
+def test_expected_shares_of_the_draw_meet_the_targets(spark):
+    table = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = [r for r in M.mix(table).collect() if r["tokens"]]
+    total = sum(r["tokens"] for r in rows)
+    drawn = sum(r["tokens"] * r["probability"] for r in rows)
+    assert drawn == pytest.approx(M.BUDGET * total, rel=1e-4)
+    missed = {(r["margin"], r["value"]) for r in M.margins(table).collect() if not r["met"]}
+    for m in M.MARGINS:
+        held, share = defaultdict(float), defaultdict(float)
+        for r in rows:
+            held[r[m]] += r["tokens"] / total
+            share[r[m]] += r["tokens"] * r["probability"] / drawn
+        p = {v: h ** M.TEMPER[m] for v, h in held.items()}
+        want = {v: x / sum(p.values()) for v, x in p.items()}
+        # A value short of its target is drawn whole; the others share the rest by their targets.
+        whole = {v for v in want if share[v] < want[v] - 1e-4}
+        assert all(share[v] == pytest.approx(held[v] / M.BUDGET, abs=1e-5) for v in whole)
+        rest = (1 - sum(share[v] for v in whole)) / sum(want[v] for v in want if v not in whole)
+        assert all(share[v] == pytest.approx(min(want[v] * rest, held[v] / M.BUDGET), abs=1e-5) for v in want if v not in whole)
+        assert {(m, v) for v in want if abs(share[v] - want[v]) > 2e-5} <= missed
+
+
+def test_a_small_source_beside_a_hot_one_is_drawn_whole(spark):
+    rows = [(i, " ".join(f"w{i}" for _ in range(200)), "en", "hot", 1) for i in range(500)] + [
+        (1000, "a b c d", "en", "small", 1), (1001, "e f g h", "de", "small", 1)]
+    table = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["probability"] for r in M.mix(table).collect()}
+    assert got[1000] == got[1001] == 1
+    assert sum(200 * p for i, p in got.items() if i < 1000) + 8 == pytest.approx(0.5 * 100_008, rel=1e-5)
+    report = {(r["margin"], r["value"]): r for r in M.margins(table).collect()}
+    assert not report["source", "small"]["met"] and report["source", "small"]["share"] == pytest.approx(8 / 50_004, rel=1e-4)
+
+
 def test_mix_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in M.mix(docs(spark, [(1, None), (2, ""), (3, "a b c"), (None, "d")])).collect()}
     assert got[1]["probability"] == got[2]["probability"] == 0 and not got[1]["sampled"]

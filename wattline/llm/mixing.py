@@ -2,12 +2,15 @@
 
 Documents fall into cells (source, language, topic).  Raking scales the
 cells' token weights until each margin has its target share; a document is
-then drawn with its cell's calibrated probability.  Only cell totals are
-iterated, never documents.
+then drawn with its cell's calibrated probability.  No cell can give more
+than it holds: such a cell is drawn whole, and the raking hands what it lacks
+to the other cells of its margins.  Only cell totals are iterated, never
+documents.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,9 @@ TOLERANCE = 1e-6
 #: The mix aims at this share of the corpus' tokens.
 BUDGET = 0.5
 NONE = "(none)"
+#: Missed targets that are logged, the farthest first; ``margins`` has all.
+SHOWN = 50
+LOG = logging.getLogger(__name__)
 
 
 def tokens(text: Column) -> Column:
@@ -57,42 +63,97 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, Da
     return out
 
 
+def attainable(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``targets`` that cells with ``most`` can meet margin by margin: ``(value, target, wanted)``.
+
+    A value whose cells hold less than its target gets what they hold; the
+    others share the rest in proportion to their targets.
+    """
+    out = {}
+    for m in MARGINS:
+        held = materialise(cells.groupBy(m).agg(F.sum("most").alias("most")).join(targets[m], m), f"mix-held-{m}")
+        scale = 1.0
+        while True:
+            whole = F.col("target") * F.lit(scale) >= F.col("most")
+            full, rest = held.agg(F.sum(F.when(whole, F.col("most"))), F.sum(F.when(~whole, F.col("target")))).first()
+            if not full or not rest or (1.0 - full) / rest <= scale * (1 + 1e-12):
+                break
+            scale = (1.0 - full) / rest
+        out[m] = held.select(m, F.least(F.col("target") * F.lit(scale), F.col("most")).alias("target"),
+                             F.col("target").alias("wanted"))
+    return out
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
          tolerance: float = TOLERANCE) -> DataFrame:
     """Cells ``(source, lang, topic, base)`` with a ``weight`` whose margins meet ``targets``.
 
-    Each sweep scales every margin in turn; a margin's sums are a two-phase
-    aggregate joined back on the margin's value.  Sweeps end when no margin
-    is off by more than ``tolerance`` (of 1), or after ``sweeps``; where the
-    targets contradict empty cells the last sweep stands.  A value without a
-    target gets none of the weight.  Each sweep is written to the shared folder.
+    Cells may have a column ``most``, the largest weight they can take.  Each
+    sweep scales every margin in turn, with cells above ``most`` counted at
+    ``most``; a margin's sums are a two-phase aggregate joined back on the
+    margin's value.  Sweeps end when no margin is off by more than
+    ``tolerance`` (of 1), or after ``sweeps``; where the targets contradict
+    empty or full cells the last sweep stands.  A value without a target gets
+    none of the weight.  Each sweep is written to the shared folder.
     """
     total = cells.agg(F.sum("base").alias("t")).first()["t"]
-    cur = cells.withColumn("weight", F.col("base") / F.lit(float(total or 1)))
+    cur = cells.withColumns({"weight": F.col("base") / F.lit(float(total or 1)),
+                             "_most": F.col("most") if "most" in cells.columns else F.lit(float("inf"))})
+    near = 1 - 1e-12
+    full = F.col("weight") >= F.col("_most") * F.lit(near)
     for k in range(sweeps):
         for m in MARGINS:
-            sums = cur.groupBy(m).agg(F.sum("weight").alias("_sum")).join(targets[m], m, "left") \
-                .select(m, (F.coalesce("target", F.lit(0.0)) / F.col("_sum")).alias("_f"))
+            target = F.coalesce("target", F.lit(0.0))
+            # A value that needs all it has fills its last cell; else the cells with room take what the full ones leave.
+            factor = F.when(target >= F.col("_held") * F.lit(near), F.col("_fill")) \
+                .when((F.col("_open") > 0) & (F.col("_full") < target), F.try_divide(target - F.col("_full"), F.col("_open"))) \
+                .otherwise(F.try_divide(target, F.col("_full") + F.col("_open")))
+            sums = cur.groupBy(m).agg(
+                F.sum(F.when(full, F.col("_most")).otherwise(0.0)).alias("_full"),
+                F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("_open"), F.sum("_most").alias("_held"),
+                F.max(F.try_divide(F.col("_most"), F.col("weight"))).alias("_fill")).join(targets[m], m, "left") \
+                .select(m, F.coalesce(factor, F.lit(0.0)).alias("_f"))
             cur = cur.join(sums, m).withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
         cur = materialise(cur, f"mix-{k}")
         off = reduce(DataFrame.unionAll, [
-            cur.groupBy(m).agg(F.sum("weight").alias("w")).join(targets[m], m)
+            cur.groupBy(m).agg(F.sum(F.least("weight", "_most")).alias("w")).join(targets[m], m)
             .select(F.abs(F.col("w") - F.col("target")).alias("d")) for m in MARGINS]).agg(F.max("d")).first()[0]
         if off is None or off <= tolerance:
             break
-    return cur
+    return cur.withColumn("weight", F.when(full, F.col("_most")).otherwise(F.col("weight"))).drop("_most")
+
+
+def _fit(marked: DataFrame, temper: dict[str, float] | None, budget: float) -> tuple[DataFrame, DataFrame]:
+    """Cells with ``weight`` and ``probability``; per margin's value ``margin, value, wanted, share, met``."""
+    cells = materialise(marked.groupBy(*[F.col(f"__cell.{m}").alias(m) for m in MARGINS])
+                        .agg(F.sum("__tokens").cast("double").alias("base")).filter("base > 0"), "mix-cells")
+    room = budget * (cells.agg(F.sum("base").alias("t")).first()["t"] or 1.0)
+    cells = cells.withColumn("most", F.col("base") / F.lit(room) if room > 0 else F.lit(float("inf")))
+    targets = attainable(cells, tempered_targets(cells, TEMPER | (temper or {})))
+    fitted = rake(cells, targets).withColumn("probability", F.when(F.col("weight") >= F.col("most"), 1.0).otherwise(
+        F.least(F.lit(1.0), F.col("weight") * F.lit(room) / F.col("base"))))
+    drawn = fitted.agg(F.sum("weight")).first()[0] or 1.0
+    report = reduce(DataFrame.unionAll, [
+        fitted.groupBy(m).agg((F.sum("weight") / F.lit(drawn)).alias("share")).join(targets[m], m)
+        .select(F.lit(m).alias("margin"), F.col(m).alias("value"), "wanted", "share",
+                (F.abs(F.col("share") - F.col("wanted")) <= 10 * TOLERANCE).alias("met")) for m in MARGINS])
+    return fitted, report
+
+
+def margins(docs: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """``margin, value, wanted, share, met`` of a mix: wanted and expected token shares of every margin's values."""
+    return _fit(with_cell(docs), temper, budget)[1]
 
 
 def draw(docs: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET,
          seed: int = 9, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``__cell``, ``__tokens``, ``__probability`` and ``__sampled`` added (see ``mix``)."""
     marked = with_cell(docs)
-    cells = materialise(marked.groupBy(*[F.col(f"__cell.{m}").alias(m) for m in MARGINS])
-                        .agg(F.sum("__tokens").cast("double").alias("base")).filter("base > 0"), "mix-cells")
-    fitted = rake(cells, tempered_targets(cells, TEMPER | (temper or {})))
-    total = cells.agg(F.sum("base").alias("t")).first()["t"] or 1.0
-    rates = fitted.select(F.struct(*MARGINS).alias("__cell"), F.least(
-        F.lit(1.0), F.col("weight") * F.lit(budget * total) / F.col("base")).alias("__probability"))
+    fitted, report = _fit(marked, temper, budget)
+    missed = report.filter("NOT met").orderBy(F.desc(F.abs(F.col("wanted") - F.col("share")))).take(SHOWN)
+    for r in missed:
+        LOG.warning("mix: %s %s gets %.6f of the tokens, not %.6f", r["margin"], r["value"], r["share"], r["wanted"])
+    rates = fitted.select(F.struct(*MARGINS).alias("__cell"), F.col("probability").alias("__probability"))
     # 53 bits of the hash as a number in [0, 1).
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
     return marked.join(rates, "__cell", "left") \
@@ -105,7 +166,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     ``probability`` is the expected token share the mix wants of the row's
     cell over the tokens it has, for a total of ``budget`` of all tokens, at
-    most 1.  A row is sampled when the hash of its id and ``seed`` falls below
+    most 1; cells that would need more are drawn whole and the others make up
+    for them.  Targets that no such rates meet are logged, and ``margins``
+    lists all.  A row is sampled when the hash of its id and ``seed`` falls below
     it, so the draw is the same in every run and repeated rows share their
     fate.  A row without tokens is in no cell total and has probability 0.
     A NULL source or language is the value ``(none)``; a NULL id is drawn
