@@ -123,6 +123,36 @@ def test_a_large_host_is_many_groups_with_the_same_result(spark):
     assert whole == sorted((r["page_id"], r["text"]) for r in H.extract(pages, group_pages=8).collect())
 
 
+def own(i, n=12):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_undecided_repeats_go_whatever_the_size_of_groups(spark):
+    notice = "please read our terms of use before you order here"
+    rows = [(i, f"https://h.example/{i}", f"<div>{own(i)}</div>" + (f"<div>{notice}</div><div>Read more</div>" if i in (3, 71) else ""))
+            for i in range(80)]
+    pages = spark.createDataFrame(rows, PAGES)
+    for size in (512, 8, 1):
+        got = {r["page_id"]: r["text"] for r in H.extract(pages, group_pages=size).collect()}
+        assert got == {i: own(i) for i in range(80)}
+
+
+@pytest.mark.parametrize("size", [512, 1])
+def test_repeats_are_cut_out_and_unique_text_and_headings_stay(spark, size):
+    phrase = "sign up to our weekly letter and never miss a story"
+    rows = [(i, f"https://h.example/{i}", f"<h1>My Site</h1><div>{phrase} {own(i, 5)}</div>"
+             + ("<h2>Introduction</h2>" if i < 2 else "") + f"<p>{own(100 + i)}</p>") for i in range(6)]
+    got = {r["page_id"]: r["text"].split("\n") for r in H.extract(spark.createDataFrame(rows, PAGES), group_pages=size).collect()}
+    assert got == {i: [own(i, 5)] + ["Introduction"] * (i < 2) + [own(100 + i)] for i in range(6)}
+
+
+@pytest.mark.parametrize("size", [512, 1])
+def test_copies_with_other_furniture_keep_their_text(spark, size):
+    rows = [(i, f"https://h.example/{i}", f"<nav>{own(50 + i)}</nav><p>{own(1)}</p><p>{own(2)}</p>") for i in range(3)]
+    got = H.extract(spark.createDataFrame(rows, PAGES), group_pages=size).collect()
+    assert {r["text"] for r in got} == {own(1) + "\n" + own(2)}
+
+
 BODY = "<html>" + "é&\r\n\r\nWARC/1.1\r\n" * 20 + "</html>"
 ROWS = [(5, "http://a/", BODY), (3, "http://b/", BODY), (9, None, BODY), (1, "http://a/", "small"), (2, "http://a/", "small"),
         (4, "http://x/\r\ny", None), (6, "http://a/", ""), (7, "http://a/", "z" * 100), (8, "http://a/", "z" * 99)]

@@ -3,8 +3,10 @@
 Pages are parsed into blocks.  The markup says of many blocks whether they
 belong to the article; the others are decided by repetition: per host, the
 token streams of the pages' blocks are concatenated, a suffix array finds
-the long substrings that repeat across distinct pages, and blocks that these
-cover are boilerplate.  Blocks with their own, unique runs stay.
+the long substrings that repeat across distinct pages.  Blocks that these
+mostly cover lose the repeats; what is unique in them stays.  A host of many
+pages has many suffix arrays; they exchange hashes of what they hold, so all
+cut the same repeats.
 
 Repetition alone can't decide every block: an article copied to a second
 page would vanish and an advert shown once would stay.  So blocks inside an
@@ -14,6 +16,7 @@ furniture go, whatever their repetition.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import join_groups, materialise
+from wattline.llm.jaccard_join import _mix
 
 #: A repeated substring must have at least this many tokens, or be a whole block.
 LEAST_TOKENS = 6
-#: Share of a block's tokens in repeated substrings from which it is boilerplate.
+#: Share of a block's tokens in repeated substrings from which these are cut out.
 COVERED = 0.5
 #: Pages whose token streams meet in one suffix array; larger hosts are cut into groups of about this size.
 GROUP_PAGES = 512
@@ -64,7 +68,9 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script",
 CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
           "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}),
           "option": frozenset({"option"})}
-KEPT, DROPPED, OPEN = 1, 0, 2
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: HEADING is OPEN too, inside of h1 to h6.
+KEPT, DROPPED, OPEN, HEADING = 1, 0, 2, 3
 
 
 def attributes_of(tag: str) -> dict[str, str]:
@@ -77,7 +83,7 @@ def attributes_of(tag: str) -> dict[str, str]:
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """Visible blocks of a page in order, each with KEPT, DROPPED or OPEN (undecided) by its containers.
+    """Visible blocks of a page in order, each with KEPT, DROPPED, OPEN or HEADING (undecided) by its containers.
 
     White space inside a block is one space.  If the page has an article or
     main container that holds text, what stands outside of it is page
@@ -100,7 +106,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
-            out.append((verdict, words))
+            out.append((HEADING if verdict == OPEN and any(opened[h] > 0 for h in HEADINGS) else verdict, words))
     n, last = len(page), page.rfind(">")
     while at < n:
         # Past the last ">" there is no tag but a cut comment.
@@ -166,7 +172,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             verdict = inside
     flush()
     if any(v == KEPT for v, _ in out):
-        out = [(DROPPED if v == OPEN else v, t) for v, t in out]
+        out = [(v if v == KEPT else DROPPED, t) for v, t in out]
     return out
 
 
@@ -185,74 +191,162 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
             return np.argsort(names, kind="stable")
 
 
-def repeated(codes: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
-    """True for each token inside a substring of ``least`` tokens or more that occurs on two distinct pages.
-
-    ``page`` is the page of each token; separators are unique codes, so no
-    common prefix runs over them.
-    """
+def _substrings(codes: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Suffix array; of each of its places the substring's number; of each substring the first place and least and largest page."""
     n = len(codes)
-    covered = np.zeros(n, dtype=bool)
-    if n < 2 or least > n:
-        return covered
     order = suffix_array(codes)
-    # Neighbours in the suffix array that share `least` tokens belong to one repeat; a repeat counts if its pages differ.
+    # Neighbours in the suffix array that share `least` tokens belong to one substring.
     first, second = order[:-1], order[1:]
     same = np.maximum(first, second) + least <= n
     for k in range(least):
         at = np.flatnonzero(same)
         same[at] = codes[first[at] + k] == codes[second[at] + k]
     run = np.concatenate(([0], np.cumsum(~same)))
-    low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, -1)
+    low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, np.iinfo(np.int64).min)
     np.minimum.at(low, run, page[order])
     np.maximum.at(high, run, page[order])
-    starts = order[(low < high)[run]]
+    return order, run, np.flatnonzero(np.concatenate(([True], ~same))), low, high
+
+
+def _cover(starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    """True for each of ``n`` tokens in a substring of ``least`` tokens that begins at one of ``starts``."""
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + least, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def boilerplate(pages: list[list[str]], least: int = LEAST_TOKENS, share: float = COVERED) -> list[list[bool]]:
-    """For each block of each page, whether repeats across pages cover it.
+def repeated(codes: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
+    """True for each token inside a substring of ``least`` tokens or more that occurs on two distinct pages.
 
-    Blocks of fewer than ``least`` tokens are compared whole.  Pages with the
-    same blocks throughout are copies of one page and count as one.
+    ``page`` is the page of each token; separators are unique codes, so no
+    common prefix runs over them.
+    """
+    n = len(codes)
+    if n < 2 or least > n:
+        return np.zeros(n, dtype=bool)
+    order, run, _, low, high = _substrings(codes, page, least)
+    return _cover(order[(low < high)[run]], n, least)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def identity(found: list[tuple[int, str]]) -> int:
+    """Pages with the same undecided blocks are copies of one page; without such blocks, those with the same blocks."""
+    return _hash("\n".join([t for v, t in found if v >= OPEN] or [t for _, t in found]))
+
+
+class Stream:
+    """Token streams of the pages' blocks outside of articles, end to end."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]], least: int = LEAST_TOKENS):
+        self.least = least
+        self.spans: list[list[tuple[int, int]]] = []  # per page and block: start, tokens
+        self.whole: dict[str, set[int]] = {}  # blocks of fewer than `least` tokens: their pages
+        self.pages: set[int] = set()
+        vocabulary: dict[str, int] = {}
+        codes: list[int] = []
+        owner: list[int] = []
+        separator = -1
+        for found in pages:
+            page, spans = identity(found), []
+            self.pages.add(page)
+            for block in (t for v, t in found if v != KEPT):
+                tokens = block.lower().split()
+                spans.append((len(codes), len(tokens)))
+                codes.extend(vocabulary.setdefault(t, len(vocabulary)) for t in tokens)
+                if len(tokens) < least:
+                    self.whole.setdefault(block.lower(), set()).add(page)
+                codes.append(separator)
+                owner.extend([page] * (len(tokens) + 1))
+                separator -= 1
+            self.spans.append(spans)
+        self.codes, self.owner = np.array(codes, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.words = list(vocabulary)
+
+    def _inside(self) -> np.ndarray:
+        """Places from which ``least`` tokens of one block follow."""
+        marks = np.concatenate(([0], np.cumsum(self.codes < 0)))
+        n = max(len(self.codes) - self.least + 1, 0)
+        return np.flatnonzero(marks[self.least:self.least + n] == marks[:n])
+
+    def _hashes(self, starts: np.ndarray) -> np.ndarray:
+        word = np.array([_hash(w) for w in self.words], dtype=np.int64).view(np.uint64)
+        total = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(self.least):
+            total += word[self.codes[starts + k]] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+        return _mix(total).view(np.int64)
+
+    def offers(self) -> pd.DataFrame:
+        """Distinct substrings and short blocks: ``hash, low, high`` (least and largest page) and ``pages`` of a short block."""
+        names = list(self.whole)
+        out = pd.DataFrame({"hash": np.array([_hash(b) for b in names], dtype=np.int64),
+                            "low": np.array([min(self.whole[b]) for b in names], dtype=np.int64),
+                            "high": np.array([max(self.whole[b]) for b in names], dtype=np.int64),
+                            "pages": np.array([len(self.whole[b]) for b in names], dtype=np.int64)})
+        inside = self._inside()
+        if not len(inside):
+            return out
+        order, _, first, low, high = _substrings(self.codes, self.owner, self.least)
+        real = np.isin(order[first], inside)
+        return pd.concat([out, pd.DataFrame({"hash": self._hashes(order[first][real]), "low": low[real], "high": high[real],
+                                             "pages": np.int64(1)})])
+
+    def covered(self, shared: pd.DataFrame | None) -> np.ndarray:
+        """Tokens inside of repeats: this stream's own, or the ``shared`` ones (``hash``) of the whole host."""
+        if shared is None:
+            return repeated(self.codes, self.owner, self.least)
+        inside = self._inside()
+        return _cover(inside[np.isin(self._hashes(inside), shared["hash"].to_numpy())], len(self.codes), self.least)
+
+    def short(self, shared: pd.DataFrame | None) -> dict[str, int]:
+        """Pages of each short block."""
+        if shared is None:
+            return {b: len(p) for b, p in self.whole.items()}
+        pages = dict(zip(shared["hash"].tolist(), shared["pages"].tolist()))
+        return {b: pages.get(_hash(b), 1) for b in self.whole}
+
+
+def article(pages: list[list[tuple[int, str]]], shared: pd.DataFrame | None = None, host_pages: int | None = None,
+            share: float = COVERED) -> list[str]:
+    """The text of each page: its KEPT blocks, and what repeats leave of the undecided ones.
+
+    A block that repeats cover to ``share`` or more loses these, other blocks
+    stay whole.  Blocks of fewer than LEAST_TOKENS are compared whole.  A
+    short heading goes if half of the host's pages have it or no text follows.
     """
-    identity: dict[tuple[str, ...], int] = {}
-    codes: list[int] = []
-    owner: list[int] = []
-    spans: list[tuple[int, int]] = []
-    vocabulary: dict[str, int] = {}
-    whole: dict[str, set[int]] = {}
-    separator = -1
-    for p in pages:
-        page = identity.setdefault(tuple(p), len(identity))
-        for block in p:
-            tokens = block.lower().split()
-            spans.append((len(codes), len(tokens)))
-            codes.extend(vocabulary.setdefault(t, len(vocabulary)) for t in tokens)
-            owner.extend([page] * len(tokens))
-            if len(tokens) < least:
-                whole.setdefault(block.lower(), set()).add(page)
-            codes.append(separator)
-            owner.append(page)
-            separator -= 1
-    hit = np.concatenate(([0], np.cumsum(repeated(np.array(codes, dtype=np.int64), np.array(owner, dtype=np.int64), least))))
-    out, at = [], 0
-    for p in pages:
-        row = []
-        for block in p:
-            start, n = spans[at]
-            at += 1
-            row.append(len(whole[block.lower()]) > 1 if n < least
-                       else bool(hit[start + n] - hit[start] >= share * n))
-        out.append(row)
+    if not any(v >= OPEN for p in pages for v, _ in p):
+        return ["\n".join(t for v, t in p if v == KEPT) for p in pages]
+    stream = Stream(pages)
+    covered, short = stream.covered(shared), stream.short(shared)
+    most = len(stream.pages) if shared is None else host_pages
+    out = []
+    for found, spans in zip(pages, stream.spans):
+        left: list[tuple[int, str]] = []
+        outside = iter(spans)
+        for v, t in found:
+            start, n = (0, 0) if v == KEPT else next(outside)
+            if v == DROPPED:
+                continue
+            if v >= OPEN and n < stream.least:
+                times = short[t.lower()]
+                if times > 1 and (v == OPEN or 2 * times >= most):
+                    continue
+                v = HEADING if v == HEADING and times > 1 else OPEN
+            elif v >= OPEN:
+                v, gone = OPEN, covered[start:start + n]
+                if gone.sum() >= share * n:
+                    t = " ".join(w for w, g in zip(t.split(), gone) if not g)
+            if t:
+                left.append((v, t))
+        out.append("\n".join(t for k, (v, t) in enumerate(left) if v != HEADING or any(x != HEADING for x, _ in left[k + 1:])))
     return out
 
 
 def _pack(found: list[tuple[int, str]]) -> bytes:
-    return zlib.compress("\n".join(f"{v}{t}" for v, t in found).encode("utf-8", "surrogatepass"), 3)
+    return zlib.compress("\n".join(f"{v}{t}" for v, t in found).encode("utf-8", "surrogatepass"), 6)
 
 
 def _unpack(blob: bytes) -> list[tuple[int, str]]:
@@ -267,31 +361,61 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     or empty html.  Pages are grouped by host (a NULL or odd URL has the
     empty host).  A host's pages are dealt by the hash of (id, url) into
     groups of about ``group_pages``, so a host with a third of all pages is
-    many tasks; a group's suffix array holds the tokens outside of the
-    articles only.  Repeated rows give equal results; other columns are ignored.
+    many tasks.  Groups of one host with undecided blocks offer the hashes of
+    their substrings; those on two pages of the host count in all groups, so
+    results do not depend on ``group_pages``.  Repeated rows give equal
+    results; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     # Hosts of more than one group; the number of groups follows the host's page count.
-    sizes = materialise(pages.groupBy(host.alias("host")).agg(
-        F.ceil(F.count(F.lit(1)) / group_pages).cast("int").alias("groups")).filter("groups > 1"), "html-hosts")
+    sizes = materialise(pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "groups", F.ceil(F.col("n") / group_pages).cast("int")).filter("groups > 1"), "html-hosts")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["blob"] = [_pack(blocks(h)) for h in batch.pop("html")]
+            found = [blocks(h) for h in batch.pop("html")]
+            batch["undecided"] = [any(v >= OPEN for v, _ in p) for p in found]
+            batch["blob"] = [_pack(p) for p in found]
             yield batch
 
+    def offer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out = Stream([_unpack(b) for b in group["blob"]]).offers()
+        out.insert(0, "host", key[0])
+        out.insert(1, "part", key[1])
+        return out
+
+    def told(group: pd.DataFrame, shared: pd.DataFrame | None) -> pd.DataFrame:
+        n = None if shared is None else int(group["n"].iloc[0])
+        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"],
+                             "text": article([_unpack(b) for b in group["blob"]], shared, n)})
+
     def decide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = [_unpack(b) for b in group["blob"]]
-        covered = boilerplate([[t for v, t in p if v != KEPT] for p in found])
-        texts = []
-        for p, row in zip(found, covered):
-            outside = iter(row)
-            texts.append("\n".join(t for v, t, gone in ((v, t, v != KEPT and next(outside)) for v, t in p)
-                                   if v == KEPT or v == OPEN and not gone))
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts})
+        return told(group, None)
+
+    def decide_many(key: tuple, group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        return told(group, shared)
     rows = pages.select("page_id", "url", "html", host.alias("host")).mapInPandas(
-        parse, "page_id long, url string, host string, blob binary")
+        parse, "page_id long, url string, host string, undecided boolean, blob binary")
     dealt = join_groups(rows, sizes, ["host"], F.struct("page_id", "url")).withColumn(
-        "part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    return dealt.select("host", "part", "page_id", "url", "blob").groupBy("host", "part").applyInPandas(
-        decide, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+        "part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))) \
+        .select("host", "part", "page_id", "url", "n", "undecided", "blob")
+    schema = "page_id long, url string, text string"
+    several = None
+    if not sizes.isEmpty():
+        dealt = materialise(dealt, "html-blocks")
+        several = materialise(dealt.filter("n IS NOT NULL AND undecided").select("host").distinct().withColumn(
+            "several", F.lit(True)), "html-several")
+    if several is None or several.isEmpty():
+        out = dealt.select("host", "part", "page_id", "url", "blob").groupBy("host", "part").applyInPandas(decide, schema)
+    else:
+        dealt = join_groups(dealt, several, ["host"], F.struct("page_id", "url"))
+        many = dealt.filter("several").select("host", "part", "page_id", "url", "n", "blob")
+        offers = materialise(many.select("host", "part", "blob").groupBy("host", "part").applyInPandas(
+            offer, "host string, part long, hash long, low long, high long, pages long"), "html-offers")
+        shared = offers.groupBy("host", "hash").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages")).filter("low < high")
+        needed = offers.select("host", "part", "hash").join(shared.select("host", "hash", "pages"), ["host", "hash"])
+        out = dealt.filter("several IS NULL").select("host", "part", "page_id", "url", "blob").groupBy("host", "part") \
+            .applyInPandas(decide, schema).unionAll(
+                many.groupBy("host", "part").cogroup(needed.groupBy("host", "part")).applyInPandas(decide_many, schema))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
