@@ -132,6 +132,15 @@ def test_keep_one_of_each_group(spark):
     assert J.keep_one(docs.limit(0)).count() == 0 and J.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_keep_one_decides_by_id_and_text(spark):
+    near = " ".join(f"n{k}" for k in range(60))
+    alone, lost = (" ".join(f"{c}{k}" for k in range(20)) for c in "al")
+    rows = [(1, near), (5, near + " more"), (5, alone), (5, alone), (None, lost), (None, lost), (None, lost.upper()), (None, near),
+            (None, ""), (None, ""), (6, ""), (6, "")]
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, near), (5, alone), (None, lost), (None, ""), (None, ""), (6, "")], key=str)
+
+
 def test_search_finds_all_links_of_random_sets():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, (12, 60), dtype=np.uint64)

@@ -24,10 +24,11 @@ Exact overlaps decide; components of the links are the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import join_groups, materialise, min_labels
@@ -149,7 +150,10 @@ class Forest:
 
 # ------------------------------------------------------------------ 1 sets and long lists
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, n, sig) per document, and (NULL, count, hash) for shingles that repeat in this task."""
+    """Rows (doc_id, n, sig, h) per document, and (NULL, count, hash, NULL) for shingles that repeat in this task.
+
+    ``h`` is passed on if the batches have it.
+    """
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -158,13 +162,13 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
         more = counts > 1
         return pd.DataFrame({"doc_id": None, "n": counts[more].astype(np.int64),
-                             "sig": codes[more].view(np.int64), "hot": True})
+                             "sig": codes[more].view(np.int64), "hot": True, "h": None})
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        for doc, text, h in zip(batch["doc_id"], batch["text"], batch["h"] if "h" in batch else repeat(None)):
             s = shingles(text)
             sig = signature(s)
-            rows.append((doc, len(s), sig, False))
+            rows.append((doc, len(s), sig, False, h))
             if sig is not None and sig not in seen:
                 seen.add(sig)
                 held.append(s)
@@ -174,7 +178,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     held.clear()
                     seen.clear()
                     size = 0
-        yield _frame(rows, ["doc_id", "n", "sig", "hot"])
+        yield _frame(rows, ["doc_id", "n", "sig", "hot", "h"])
     yield repeats()
 
 
@@ -323,10 +327,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     NULL id counts as no id: its row takes the smallest other id of its
     component, or NULL.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(rows.mapInPandas(_profile, "doc_id long, n long, sig long, hot boolean"), "jaccard-profile")
+    return _classes(*_linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+
+
+def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Members ``(doc_id, n, sig)`` of ``rows(doc_id, text)``, and ``h`` if rows have it; labels ``(node, label)`` of linked sets."""
+    spark = rows.sparkSession
+    more = ", h long" if "h" in rows.columns else ""
+
+    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in _profile(batches):
+            yield out if more else out.drop(columns="h")
+    profile = materialise(rows.mapInPandas(profiled, f"doc_id long, n long, sig long, hot boolean{more}"), "jaccard-profile")
     members = profile.filter("not hot").drop("hot")
+    rows = rows.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(long_lists(profile.filter("hot")))
     entries = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-entries * (110 - PERCENT) // 100 // BUCKET_ENTRIES))
@@ -370,7 +384,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = None
     else:
         labels = _search(rows, members, min_labels(maybe, "jaccard-bound"))
-    return _classes(members, labels)
+    return members, labels
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -439,12 +453,15 @@ def _search(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
     return labels if between.isEmpty() else labels.unionAll(min_labels(between, "jaccard-label"))
 
 
+def _classed(members: DataFrame, labels: DataFrame | None, spread: Column) -> DataFrame:
+    """``members`` with the ``class`` of each: its set's label, or the set where it has none."""
+    return members.withColumn("class", F.col("sig")) if labels is None else join_groups(
+        members, labels.withColumnRenamed("node", "sig"), ["sig"], spread).withColumn("class", F.coalesce("label", "sig"))
+
+
 def _classes(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Class of every member, then the smallest id per class."""
-    named = members.withColumn("class", F.col("sig")) if labels is None else join_groups(
-        members, labels.withColumnRenamed("node", "sig"), ["sig"], F.col("doc_id")).withColumn(
-        "class", F.coalesce("label", "sig"))
-    named = named.select("doc_id", "n", "class")
+    named = _classed(members, labels, F.col("doc_id")).select("doc_id", "n", "class")
     groups = named.filter(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     return join_groups(named, groups, ["class"], F.col("doc_id")).select(
@@ -454,16 +471,31 @@ def _classes(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row per group of linked documents: the one with the smallest id; all columns as they are.
 
-    Rows that share an id share its fate, and of repeated rows (same id and
-    text) one stays.  Rows with a NULL id can't be told apart and all stay.
+    Rows are told apart by id and text, so an id's other texts have their own
+    fate.  Rows without id come last in their group, the smallest set and
+    text hash first.  Texts without words link with nothing: of repeated rows
+    (same id and text) one stays, those without id all stay.
     """
-    found = materialise(jaccard_join(docs).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.min("component_id").alias("least"), F.count(F.lit(1)).alias("k")), "jaccard-found")
+    key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
+    members, labels = _linked(docs.select(key["__id"].alias("doc_id"), "text", key["__text"].alias("h")))
+    spread = F.struct("doc_id", "h")
+    rows = materialise(_classed(members.groupBy("doc_id", "h", "sig").agg(F.count(F.lit(1)).alias("k")), labels, spread)
+                       .select("doc_id", "h", "sig", "class", "k"), "jaccard-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "h")
+    firsts = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts")
+    found = materialise(join_groups(rows, firsts, ["class"], spread).select(
+        F.col("doc_id").alias("__id"), F.col("h").alias("__text"), (F.col("k") > 1).alias("several"),
+        (F.col("class").isNull() & F.col("doc_id").isNull()).alias("free"),
+        (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("gone")), "jaccard-found")
     # Both lists are far smaller than the texts; the planner broadcasts them if they are under its threshold.
-    gone = materialise(found.filter("least <> doc_id").select("doc_id"), "jaccard-gone")
-    repeated = materialise(found.filter("k > 1 and least = doc_id").select("doc_id"), "jaccard-repeated")
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_anti")
-    again = left.join(repeated, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")) \
-        .dropDuplicates(["doc_id", "__text"]).drop("__text")
+    gone = materialise(found.filter("gone").select("__id", "__text"), "jaccard-gone")
+    repeated = materialise(found.filter("several AND NOT gone AND NOT free").select("__id", "__text"), "jaccard-repeated")
+    marked = docs.withColumns(key)
+
+    def same(other: DataFrame):
+        return marked["__id"].eqNullSafe(other["__id"]) & marked["__text"].eqNullSafe(other["__text"])
+    left = marked.join(gone, same(gone), "left_anti")
+    once = left.join(repeated, same(repeated), "left_anti")
+    again = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["__id", "__text"])
     return once.unionByName(again).select(docs.columns)
