@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.session import scratch_path
@@ -93,3 +93,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")) \
         .join(salted, keys + ["_salt"], "left").drop("_salt")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``pos``, their place from 0 by ``order`` among the rows of equal ``keys`` (not NULL), and ``size``, their number.
+
+    A range-partitioned sort, so a key of any size is spread over tasks; a
+    row's place is its place in its partition's run of the key plus the rows
+    of the key in earlier partitions.  ``order`` should tell rows apart.  The
+    sorted rows are written to the shared folder.
+    """
+    spread = materialise(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                         .withColumn("_at", F.monotonically_increasing_id()), name) \
+        .withColumn("_part", F.shiftright("_at", 33))
+    runs = spread.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(
+        own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("size", F.sum("_n").over(own)).drop("_n")
+    return spread.join(runs, [*keys, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")) \
+        .select(*rows.columns, "pos", "size")

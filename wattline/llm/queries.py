@@ -12,6 +12,7 @@ from wattline.llm import exact_dedup as D5
 from wattline.llm import html_text as H2
 from wattline.llm import jaccard_join as J6
 from wattline.llm import langid as L4
+from wattline.llm import merkle as K13
 from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
 from wattline.llm import quality as Q7
@@ -117,3 +118,47 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q7.classify(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 13 Merkle manifest
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _fold_sql(name: str, flanks: str, start: str) -> str:
+    return f"""{name} AS ({start} UNION ALL
+  SELECT rid, tree, l + 1, pos // 3, sha256(lefts || cur || rights), proof || lefts || rights FROM {name} JOIN {flanks} USING (l, tree, pos))"""
+
+
+def _levels_sql(name: str, start: str) -> str:
+    """Levels of trees, and of all nodes but roots what flanks them."""
+    return f"""{name} AS ({start} UNION ALL SELECT l + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}) WHERE c > 1 GROUP BY l, tree, pos // 3),
+{name}_root AS (SELECT tree, arg_max(h, l) AS h, max(l) AS height FROM {name} GROUP BY tree),
+{name}_flank AS (SELECT l, tree, pos, coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') AS lefts,
+  coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS rights FROM {name} JOIN (SELECT tree, height FROM {name}_root) USING (tree)
+  WHERE l < height WINDOW w AS (PARTITION BY l, tree, pos // 3 ORDER BY pos))"""
+
+
+#: The checksum's register after all bits of the decimal id, lowest bit of a byte first; its last bit is the
+#: complement of the checksum's.
+_CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> CAST(k AS INTEGER)) & 1)))),
+  lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END))"""
+
+
+@register("op13_merkle", f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+  CASE WHEN {_CRC_SQL} & 1 = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+{_levels_sql("n", "SELECT 0 AS l, tree, pos, leaf AS h FROM p")},
+s AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n_root),
+{_levels_sql("t", "SELECT 0 AS l, '' AS tree, pos, h FROM s")},
+{_fold_sql("f", "n_flank", "SELECT rid, tree, 0 AS l, pos, altered AS cur, '' AS proof FROM p")},
+up AS (SELECT f.*, s.pos AS place, s.h AS subroot FROM f JOIN n_root ON n_root.tree = f.tree AND height = l JOIN s ON name = f.tree),
+{_fold_sql("g", "t_flank", "SELECT rid, '' AS tree, 0 AS l, place AS pos, cur, proof FROM up")}
+SELECT d.doc_id, d.leaf, up.subroot, t_root.h AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = t_root.h AS verified
+FROM d JOIN up USING (rid) JOIN g USING (rid) JOIN t_root ON t_root.height = g.l""")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K13.audit(table(spark, sf_dir, "documents"))
