@@ -15,10 +15,11 @@ COLUMNS = {
     "op6": "doc_id n_shingles component_id",
     "op8": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10": "page_id payload_bytes payload_digest record_type refers_to",
+    "op12": "doc_id start n_tokens ids_crc32",
     "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 LONGS = {"n_words", "n_hit", "n_items", "n_chars", "size", "text_crc32", "slot", "group_size", "n_shingles", "n_email",
-         "n_ip", "n_card", "n_phone", "payload_bytes"}
+         "n_ip", "n_card", "n_phone", "payload_bytes", "start", "n_tokens", "ids_crc32"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -43,4 +44,4 @@ def test_columns_and_rows_of_the_contract(spark, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == [*range(1, 11), 13]
+    assert numbers == [*range(1, 11), 12, 13]

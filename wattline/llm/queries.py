@@ -17,6 +17,7 @@ from wattline.llm import mixing as M9
 from wattline.llm import pii as P8
 from wattline.llm import quality as Q7
 from wattline.llm import sharding as S3
+from wattline.llm import token_ids as T12
 from wattline.llm import warc as W10
 from wattline.llm.common import table
 from wattline.session import scratch_path
@@ -120,6 +121,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q7.classify(table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ 12 token ids
+@register("op12_token_ids")
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return T12.token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"),
+                           public_tokenizers.path("word_bpe_49k.json"))
+
+
 # ------------------------------------------------------------------ 13 Merkle manifest
 def _leaf_sql(text: str) -> str:
     return "sha256(" + " || ".join(
