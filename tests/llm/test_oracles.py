@@ -15,11 +15,12 @@ COLUMNS = {
     "op6": "doc_id n_shingles component_id",
     "op8": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11": "lang source part item value rank",
     "op12": "doc_id start n_tokens ids_crc32",
     "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 LONGS = {"n_words", "n_hit", "n_items", "n_chars", "size", "text_crc32", "slot", "group_size", "n_shingles", "n_email",
-         "n_ip", "n_card", "n_phone", "payload_bytes", "start", "n_tokens", "ids_crc32"}
+         "n_ip", "n_card", "n_phone", "payload_bytes", "start", "n_tokens", "ids_crc32", "value"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -38,10 +39,12 @@ def test_columns_and_rows_of_the_contract(spark, name):
         assert column in kinds
         if column in LONGS:
             assert kinds[column] == "bigint"
+    if "doc_id" not in kinds and "page_id" not in kinds:
+        return  # rows of groups
     source = "pages" if "page_id" in kinds else "documents"
     assert df.count() == spark.read.parquet(f"{SF_SMALL}/{source}.parquet").count()
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == [*range(1, 11), 12, 13]
+    assert numbers == list(range(1, 14))

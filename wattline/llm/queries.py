@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import decontaminate as D1
+from wattline.llm import divergence as G11
 from wattline.llm import exact_dedup as D5
 from wattline.llm import html_text as H2
 from wattline.llm import jaccard_join as J6
@@ -121,6 +122,35 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q7.classify(table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ 11 source divergence
+def _rate_sql(n: str, whole: str, kept: str) -> str:
+    return f"1 + CAST(CAST(1000000000 AS HUGEINT) * ({n} + 5) // ({whole} + 5 * {kept}) AS BIGINT)"
+
+
+@register("op11_divergence", f"""
+WITH t AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM t),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN (SELECT lang, term FROM k) USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(n) AS whole FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(s.whole, 0) AS whole FROM (SELECT DISTINCT lang, source FROM t)
+  LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS whole FROM c GROUP BY ALL) s USING (lang, source)),
+r AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_rate_sql('coalesce(c.n, 0)', 'g.whole', 'l.v')} AS p,
+  {_rate_sql('k.n', 'l.whole', 'l.v')} AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+d AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM r a JOIN r b
+  ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN d ON d.lang = g.lang AND d.source = g.source AND d.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM r WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 50""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G11.divergence(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------ 12 token ids
 @register("op12_token_ids")
 def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
