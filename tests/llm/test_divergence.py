@@ -57,7 +57,7 @@ ODD = [("A b,aéx b", "en", "s1"), ("a a b 1x", "en", "s2"), (None, "en", "s3"),
        ("b a", "en", "é"), ("b a", "en", "Z"), ("ÄÖ äö", "en", "s1"), ("ÄÖ", "en", "s2"), ("c " * 60_000, "en", "s2")]
 
 
-@pytest.mark.parametrize("block_cells, places", [(2_000_000, 4_000_000), (3, 4), (1, 1)])
+@pytest.mark.parametrize("block_cells, places", [(G.BLOCK_CELLS, 4_000_000), ((3, 3), 4), ((1, 1), 1)])
 def test_odd_rows_in_blocks_of_any_size(spark, block_cells, places):
     check(spark, ODD, block_cells=block_cells, places=places)
 
@@ -73,14 +73,14 @@ def test_whole_table_in_several_hand_ons(spark, monkeypatch):
     monkeypatch.setattr(G, "HELD", 50)
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = [(r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    assert got(G.divergence(docs, block_cells=500, places=100)) == plain(rows, 30)
+    assert got(G.divergence(docs, block_cells=(500, 500), places=100)) == plain(rows, 30)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.lists(st.sampled_from("abcdeF"), max_size=6).map(" ".join) | st.none(),
                           st.sampled_from(["x", "y", None]), st.sampled_from(["p", "q", "r", None])), min_size=1, max_size=30))
 def test_random_tables(spark, rows):
-    check(spark, rows, block_cells=4, places=6)
+    check(spark, rows, block_cells=(4, 4), places=6)
 
 
 def test_large_counts_stay_exact(spark):

@@ -44,8 +44,8 @@ def got(df):
     return [tuple(r) for r in df.select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=4))
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from("aEs'tl.-5 é×“́|<>"), max_size=40), min_size=1, max_size=4))
 def test_words_encoded_once_give_the_ids_of_whole_texts(whole, encoder, texts):
     ids, count = encoder.encode([t.encode() for t in texts])
     assert ids.tolist() == [i for t in texts for i in whole(t)] and count.tolist() == [len(whole(t)) for t in texts]
@@ -53,11 +53,28 @@ def test_words_encoded_once_give_the_ids_of_whole_texts(whole, encoder, texts):
 
 @pytest.mark.parametrize("text", [
     "Café é ́x", "a b c\u0085d\x1ce\x0bf", "ΟΔΟΣ ΟΔΟΣ.", "<|endoftext|> x<|startoftext|>y < |endoftext|>",
-    "don't  I'll'd\t's 1234 ½ x² — ©…", "", "   \n\t ", "x" * 3000, "a̸ ≮ ̸", "가 ᅡ"])
+    "x''s 'tis.'s .'s rock'n'roll 'RE're 5's's5 a'é é's", "é.x É, “é”. ×. a× 5× 5é é5 9́ .é é.é ñ--ñ ÷÷.", "Ab.Cd,ef:12.5;g(h)i[j]k'l \x00a\x7fb",
+    "<|ENDOFTEXT|> <|EndOfText|>x", "don't  I'll'd\t's 1234 ½ x² — ©…", "", "   \n\t ", "x" * 3000, "a̸ ≮ ̸", "가 ᅡ"])
 def test_joins_over_white_space_and_special_texts(whole, encoder, text):
     assert encoder.encode([text.encode()])[0].tolist() == whole(text)
 
 
+def test_letters_of_latin_1(whole, encoder):
+    """Every letter by itself, in a word, and in upper case."""
+    text = " ".join(f"{chr(c)} a{chr(c)}b {chr(c)}{chr(c)}." for c in range(0xA1, 0x250))
+    assert encoder.folded and encoder.encode([text.encode()])[0].tolist() == whole(text)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        other = T.Encoder(f.read())
+    text = "Two  spaces, Ünïcode\n and lines"
+    ids, count = other.encode([text.encode(), b""])
+    assert not other.folded and count.tolist() == [len(ids), 0]
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_words_beyond_the_memory_are_encoded_again(whole, encoder, monkeypatch):
     monkeypatch.setattr(T, "WORDS", 3)
     texts = [f"w{k} shared word{k % 3}" for k in range(9)]

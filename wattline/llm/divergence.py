@@ -33,8 +33,10 @@ SCALE = 1_000_000_000
 ADD = 5
 #: Ranks of overused terms per group.
 TOP = 50
-#: Cells of one block of terms, and places of the accumulators one task fills, about.
-BLOCK_CELLS = 2_000_000
+#: Cells of one block of terms: so many per group, within these bounds; a block returns a sum for each pair of groups.
+BLOCK_CELLS = (100_000, 2_000_000)
+GROUP_CELLS = 200
+#: Places of the accumulators that one task fills, about.
 PLACES = 4_000_000
 #: Distinct terms that a counting task holds before it hands them on.
 HELD = 500_000
@@ -129,7 +131,7 @@ def scatter(cells: pd.DataFrame, first: int, stop: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"source": [], "item": [], "value": np.zeros(0, np.int64)})
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block_cells: int = BLOCK_CELLS,
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block_cells: tuple[int, int] = BLOCK_CELLS,
                places: int = PLACES) -> DataFrame:
     """``lang, source, part, item, value, rank`` of every group: part ``pair`` and part ``term``.
 
@@ -158,7 +160,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bl
         "lang", "source", "idx", "term", rate(F.col("n"), F.col("whole"), F.col("kept")).alias("p"),
         rate(F.col("all"), F.col("lang_whole"), F.col("kept")).alias("q"), "cells", "groups"), "divergence-rates")
     # Blocks of terms, each handed to all blocks of rows of its language.
-    blocks = F.ceil(F.col("cells") / F.lit(block_cells)).cast("long")
+    held = F.least(F.greatest(F.col("groups") * GROUP_CELLS, F.lit(block_cells[0])), F.lit(block_cells[1]))
+    blocks = F.ceil(F.col("cells") / held).cast("long")
     rows = F.greatest(F.floor(F.lit(places) / F.col("groups")), F.lit(1)).cast("long")
     last = F.floor((F.col("groups") - 1) / rows).cast("long")
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part")

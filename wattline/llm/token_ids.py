@@ -21,7 +21,10 @@ Spark's text writer ends a frame with its line separator.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,14 +47,32 @@ FILE_FRAMES = 16
 #: Ids of one part (one writing task), about.
 PART_IDS = 1 << 24
 #: Bytes of text encoded at a time, and words whose ids a task remembers.
-SLICE = 4 << 20
-WORDS = 500_000
+SLICE = 2 << 20
+WORDS = 600_000
 MAGIC = b"WTF1"
 HEADER = "<4sIIIQQQ"
 
 #: Lengths of the four values that a control byte stands for, and the bits that a value of that length has.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 BITS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+#: Pieces of a word, A-Z lower-cased: a digit, a run of letters (ASCII or Latin-1), a run of other ASCII characters; not
+#: cut before a non-ASCII byte, which may join what is before it, nor after an apostrophe, which may begin a contraction.
+PIECE = re.compile(rb"[0-9](?![\x80-\xFF])|(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])++(?![\x80-\xFF])"
+                   rb"|[\x00-\x2F\x3A-\x60\x7B-\x7F]++(?=\Z|[0-9]|(?<!')[a-z])|.+", re.DOTALL)
+
+#: A piece of letters that a folding tokenizer passes on as one, lower-cased.
+RUN = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+#: Byte-level vocabularies write a byte as the Latin-1 character if that is visible, else as the next one from U+0100.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+#: Normalizer and pre-tokenizer of such a tokenizer, fixed values of the library's file format.
+FOLDED = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,49 +101,91 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out & BITS[size]
 
 
-class Encoder:
-    """Ids of texts: each distinct word between ASCII white space is encoded once and remembered.
+class Places(dict):
+    """Number of each word met so far; new words are numbered on the way and listed in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
 
-    Right for tokenizers that drop white space and never join what stands on
-    both sides of it.
+
+class Encoder:
+    """Ids of texts, each distinct piece encoded once and remembered.
+
+    A tokenizer that folds case, drops white space and splits where letters,
+    digits and other characters meet (``FOLDED``) treats pieces alone: texts
+    are split at ASCII white space, and words before ASCII characters where
+    these meet (``PIECE``); a run of letters needs only the tokenizer's merges,
+    and a word that may hold a special token stays whole and in its case.  Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        gc.disable()  # nothing here has cycles, and a collection would walk all remembered words
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
+        steps = json.loads(model)
+        self.folded = [steps["normalizer"], steps["pre_tokenizer"]] == FOLDED
+        self.merges = self.tokenizer.model
+        self.pieces: dict[bytes, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.first = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], dtype=np.int64)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32)))
+        split = [(w,) if b"<|" in w else tuple(PIECE.findall(w.lower())) for w in words]
+        if len(self.pieces) > WORDS:
+            self.pieces.clear()
+        rest, known = [], self.pieces
+        for p in set(chain.from_iterable(split)).difference(known):
+            if RUN.fullmatch(p):
+                # The merges know bytes by the characters that stand for them.
+                letters = p.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+                known[p] = tuple([t.id for t in self.merges.tokenize(letters)])
+            else:
+                rest.append(p)
+        known.update(zip(rest, map(tuple, self._whole(rest))))
+        flat, stops = [], []
+        for s in split:
+            for p in s:
+                flat += known[p]
+            stops.append(len(flat))
+        stop = np.array([0, *stops], dtype=np.int64)
+        self.first = np.concatenate((self.first, len(self.ids) + stop[:-1]))
+        self.size = np.concatenate((self.size, np.diff(stop)))
+        self.ids = np.concatenate((self.ids, np.array(flat, dtype=np.uint32)))
+
+    def _whole(self, texts: list[bytes]) -> Iterator[list[int]]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return (e.ids for e in found)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` end to end, and how many each has."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        fresh = set(words).difference(self.place)
-        if len(self.place) + len(fresh) > WORDS:
+        if not self.folded:
+            ids = list(self._whole(texts))
+            return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+        if len(self.place) > WORDS:
             self._forget()
-            fresh = set(words)
-        self._learn(list(fresh))
-        place = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        split = [t.split() for t in texts]
+        edges = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(s) for s in split], dtype=np.int64)))
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(edges[-1]))
+        if self.place.fresh:
+            self._learn(self.place.fresh)
+            self.place.fresh.clear()
         size = self.size[place]
         before = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
         ids = self.ids[np.repeat(self.first[place] - before[:-1], size) + np.arange(before[-1])]
-        edges = before[np.concatenate((np.zeros(1, np.int64), np.cumsum([len(s) for s in split], dtype=np.int64)))]
-        return ids, np.diff(edges)
+        return ids, np.diff(before[edges])
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -137,10 +200,16 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def width(model: str, end: int = END) -> str:
+    """The narrowest integer type for all ids of a tokenizer."""
+    from tokenizers import Tokenizer
+    return "<u2" if max(Tokenizer.from_str(model).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, model: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n, ids, row`` of every row: its ids and ``end`` as 32-bit integers; ``row`` tells rows apart."""
+    """``doc_id, n, ids, row`` of every row: its ids and ``end`` as integers of ``width(model)``; ``row`` tells rows apart."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, kind = spark.sparkContext.broadcast(model), width(model, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -150,22 +219,22 @@ def tokenised(docs: DataFrame, model: str, end: int = END, id_col: str = "doc_id
                 ids, count = encoder.encode(texts[lo:hi])
                 ids = np.insert(ids, np.cumsum(count), np.uint32(end))
                 stop = np.concatenate((np.zeros(1, np.int64), np.cumsum(count + 1)))
-                raw = ids.astype("<u4").tobytes()
+                raw, w = ids.astype(kind).tobytes(), int(kind[-1])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(count + 1),
-                    pa.array([raw[4 * a:4 * b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())], pa.binary())], ["doc_id", "n", "ids"])
+                    pa.array([raw[w * a:w * b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())], pa.binary())], ["doc_id", "n", "ids"])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .mapInArrow(run, "doc_id long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def frequencies(rows: DataFrame) -> DataFrame:
-    """``id, n``: how often all ``rows(ids)`` have each id; a task hands on one row per id and batch."""
+def frequencies(rows: DataFrame, kind: str) -> DataFrame:
+    """``id, n``: how often all ``rows(ids)`` have each id; a task hands on one row per id."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             held = np.zeros(0, dtype=np.int64)
             for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=len(held))
+                one = np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind), minlength=len(held))
                 one[:len(held)] += held
                 held = one
             held = np.pad(held, (0, max(0, len(total) - len(held))))
@@ -187,9 +256,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, f
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        rows = materialise(tokenised(docs, f.read(), end), "token-rows", compression="zstd")
+        model = f.read()
+    kind, w = width(model, end), int(width(model, end)[-1])
+    rows = materialise(tokenised(docs, model, end), "token-rows", compression="zstd")
     # No more rows than the vocabulary has ids.
-    ranks = frequencies(rows).orderBy(F.desc("n"), "id").toPandas()
+    ranks = frequencies(rows, kind).orderBy(F.desc("n"), "id").toPandas()
     ids = ranks["id"].to_numpy(dtype=np.int64)
     spark.createDataFrame(list(zip(range(len(ids)), ids.tolist(), ranks["n"].tolist())), "rank int, id long, n long") \
         .coalesce(1).write.parquet(f"{folder}/ranks")
@@ -205,15 +276,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, f
         def frame() -> pa.RecordBatch:
             doc = np.array([d or 0 for d, _ in held], dtype="<i8")
             null = np.array([d is None for d, _ in held], dtype=np.uint8)
-            count = np.array([len(x) // 4 for _, x in held], dtype="<u4")
-            control, data = pack(shared.value[np.frombuffer(b"".join(x for _, x in held), dtype="<u4")])
+            count = np.array([len(x) // w for _, x in held], dtype="<u4")
+            control, data = pack(shared.value[np.frombuffer(b"".join(x for _, x in held), dtype=kind)])
             head = struct.pack(HEADER, MAGIC, part, number, len(held), size, before, len(data))
             return pa.RecordBatch.from_arrays([pa.array([b"".join(
                 (head, doc.tobytes(), null.tobytes(), count.tobytes(), control.tobytes(), data.tobytes()))], pa.binary())], ["frame"])
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.append((doc, x.as_py()))
-                size += len(held[-1][1]) // 4
+                size += len(held[-1][1]) // w
                 if size >= frame_ids:
                     yield frame()
                     number, before, size = number + 1, before + size, 0
