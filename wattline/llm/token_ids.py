@@ -121,7 +121,7 @@ class Encoder:
     digits and other characters meet (``FOLDED``) treats pieces alone: texts
     are split at ASCII white space, and words before ASCII characters where
     these meet (``PIECE``); a run of letters needs only the tokenizer's merges,
-    and a word that may hold a special token stays whole and in its case.  Any
+    and where a special token may be, words stay whole and in their case.  Any
     other tokenizer gets whole texts.
     """
 
@@ -143,12 +143,14 @@ class Encoder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [(w,) if b"<|" in w else tuple(PIECE.findall(w.lower())) for w in words]
+        split = [(w,) if w.isalpha() or b"<|" in w else tuple(PIECE.findall(w.lower())) for w in words]
         if len(self.pieces) > WORDS:
             self.pieces.clear()
         rest, known = [], self.pieces
         for p in set(chain.from_iterable(split)).difference(known):
-            if RUN.fullmatch(p):
+            if p.isalpha() and p.islower():
+                known[p] = tuple([t.id for t in self.merges.tokenize(p.decode("ascii"))])
+            elif RUN.fullmatch(p):
                 # The merges know bytes by the characters that stand for them.
                 letters = p.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
                 known[p] = tuple([t.id for t in self.merges.tokenize(letters)])
@@ -176,7 +178,7 @@ class Encoder:
             return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
         if len(self.place) > WORDS:
             self._forget()
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         edges = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(s) for s in split], dtype=np.int64)))
         place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(edges[-1]))
         if self.place.fresh:
