@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,41 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nested(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` next to ``columns``, so that no input column can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def unnested(rows: DataFrame) -> DataFrame:
+    """The input rows of ``nested``."""
+    return rows.select("row.*")
+
+
+#: Bits of the filter below: 4 MB in every task, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes that holds for all ``keys(h)``, and for few others while these are few.
+
+    The filter has a fixed size.  It thins out rows before an exact join, so
+    that wide rows without a partner are not shuffled; with very many keys it
+    lets all rows through and only the join decides.
+    """
+    place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(h, {FILTER_BITS}) & 63 AS INT))").alias("b")) \
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(dtype=np.int64) % FILTER_BITS
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    return test
+
+
 def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
     """``edges(u, v)`` with ``low(u, m)`` joined on.
 

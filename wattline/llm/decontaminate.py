@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import let, lower_ascii, materialise
+from wattline.llm.common import let, lower_ascii, materialise, nested, unnested
 
 WINDOW = 10
 GRAM = 5
@@ -117,7 +117,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that share no window with an item, all columns as they are."""
+    """The rows of ``docs`` that share no window with an item; columns of any name as they are."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    found = find_hits(rows, items, window).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    found = find_hits(rows, items, window).select(F.col("doc_id").alias("other"), F.col("key").alias("hit"))
+    return unnested(nested(docs, doc_id=F.col("doc_id"), key=F.xxhash64("text")).join(
+        found, F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("key") == F.col("hit")), "left_anti"))

@@ -24,14 +24,13 @@ Exact overlaps decide; components of the links are the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import join_groups, materialise, min_labels
+from wattline.llm.common import join_groups, materialise, may_hold, min_labels, nested, unnested
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -150,10 +149,7 @@ class Forest:
 
 # ------------------------------------------------------------------ 1 sets and long lists
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, n, sig, h) per document, and (NULL, count, hash, NULL) for shingles that repeat in this task.
-
-    ``h`` is passed on if the batches have it.
-    """
+    """Rows (doc_id, n, sig, h) per document, and (NULL, count, hash, NULL) for shingles that repeat in this task."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -165,7 +161,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                              "sig": codes[more].view(np.int64), "hot": True, "h": None})
     for batch in batches:
         rows = []
-        for doc, text, h in zip(batch["doc_id"], batch["text"], batch["h"] if "h" in batch else repeat(None)):
+        for doc, text, h in zip(batch["doc_id"], batch["text"], batch["h"]):
             s = shingles(text)
             sig = signature(s)
             rows.append((doc, len(s), sig, False, h))
@@ -327,20 +323,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     NULL id counts as no id: its row takes the smallest other id of its
     component, or NULL.  Other columns are ignored.
     """
-    return _classes(*_linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    return _classes(*_linked(_keyed(docs, id_col, text_col)))
+
+
+def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text`` and ``h``, a hash of both."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.withColumn("h", F.xxhash64("doc_id", "text"))
 
 
 def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Members ``(doc_id, n, sig)`` of ``rows(doc_id, text)``, and ``h`` if rows have it; labels ``(node, label)`` of linked sets."""
+    """Members ``(doc_id, n, sig, h)`` of ``rows(doc_id, text, h)``; labels ``(node, label)`` of linked sets."""
     spark = rows.sparkSession
-    more = ", h long" if "h" in rows.columns else ""
-
-    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _profile(batches):
-            yield out if more else out.drop(columns="h")
-    profile = materialise(rows.mapInPandas(profiled, f"doc_id long, n long, sig long, hot boolean{more}"), "jaccard-profile")
+    profile = materialise(rows.mapInPandas(_profile, "doc_id long, n long, sig long, hot boolean, h long"), "jaccard-profile")
     members = profile.filter("not hot").drop("hot")
-    rows = rows.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(long_lists(profile.filter("hot")))
     entries = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-entries * (110 - PERCENT) // 100 // BUCKET_ENTRIES))
@@ -403,31 +399,34 @@ def _search(rows: DataFrame, members: DataFrame, bound: DataFrame) -> DataFrame:
     """
     # One document stands for each class that may have links.
     reps = materialise(members.join(bound.withColumnRenamed("node", "sig"), "sig").groupBy("sig", "label").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-reps")
+        F.min("h").alias("h"), F.first("n").alias("n")), "jaccard-reps")
     weight = reps.groupBy("label").agg(F.sum("n").alias("w"))
     total = reps.agg(F.sum("n")).first()[0] or 0
     shared = max(1, -(-total // TILE_SHINGLES))
     blocks = F.greatest(F.ceil(F.col("w") * 2 / F.lit(TILE_SHINGLES)), F.lit(1)).cast("int")
     large = materialise(weight.filter(F.col("w") > TILE_SHINGLES).select("label", blocks.alias("blocks")), "jaccard-large")
     placed = join_groups(reps, large, ["label"], F.col("sig")).select(
-        "doc_id", "sig", "label", "blocks", F.pmod("sig", F.col("blocks")).cast("int").alias("block"))
+        "h", "sig", "label", "blocks", F.pmod("sig", F.col("blocks")).cast("int").alias("block"))
     tiles = F.when(F.col("blocks").isNull(), F.array(F.struct(
         F.pmod(F.xxhash64("label"), F.lit(shared)).alias("tile"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
             F.col("label").alias("tile"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    placed = placed.select("doc_id", "sig", F.coalesce("block", F.lit(-1)).alias("block"), tiles.alias("tiles"))
-    placed = materialise(placed, "jaccard-placed")
-    # The list of ids is small next to the texts; the planner broadcasts it if it is under its threshold.
-    ids = materialise(placed.select(F.col("doc_id").alias("id")).distinct(), "jaccard-ids")
-    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("doc_id", "id")
-    chosen = texts.join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "sig", "block", "tiles")
+    placed = materialise(placed.select("h", "sig", F.coalesce("block", F.lit(-1)).alias("block"), tiles.alias("tiles")), "jaccard-placed")
+    # The filter keeps texts of other documents out of the join, which is of one kind at every size.
+    texts = rows.select("h", "text").filter(may_hold(placed.select("h"))("h"))
+    chosen = texts.join(placed.hint("merge"), "h").select("text", "sig", "block", "tiles")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
             sets = [shingles(t) for t in batch.pop("text")]
             batch["codes"] = [s.tobytes() for s in sets]
-            # Another row with the same id but another text is not the one that stands for the class.
-            yield batch[[signature(s) == sig for s, sig in zip(sets, batch["sig"])]]
+            # A row whose hash collides does not stand for the class; of repeated rows one does.
+            right = [signature(s) == sig for s, sig in zip(sets, batch["sig"])]
+            batch = batch[right].drop_duplicates("sig")
+            batch = batch[[sig not in seen for sig in batch["sig"]]]
+            seen.update(batch["sig"])
+            yield batch
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("sig")
@@ -474,28 +473,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so an id's other texts have their own
     fate.  Rows without id come last in their group, the smallest set and
     text hash first.  Texts without words link with nothing: of repeated rows
-    (same id and text) one stays, those without id all stay.
+    (same id and text) one stays, those without id all stay.  Columns of any
+    name are passed on.
     """
-    key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
-    members, labels = _linked(docs.select(key["__id"].alias("doc_id"), "text", key["__text"].alias("h")))
+    rows = _keyed(docs)
+    members, labels = _linked(rows)
     spread = F.struct("doc_id", "h")
-    rows = materialise(_classed(members.groupBy("doc_id", "h", "sig").agg(F.count(F.lit(1)).alias("k")), labels, spread)
+    told = materialise(_classed(members.groupBy("doc_id", "h", "sig").agg(F.count(F.lit(1)).alias("k")), labels, spread)
                        .select("doc_id", "h", "sig", "class", "k"), "jaccard-rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "h")
-    firsts = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
+    firsts = told.filter(F.col("class").isNotNull()).groupBy("class").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts")
-    found = materialise(join_groups(rows, firsts, ["class"], spread).select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__text"), (F.col("k") > 1).alias("several"),
-        (F.col("class").isNull() & F.col("doc_id").isNull()).alias("free"),
-        (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("gone")), "jaccard-found")
-    # Both lists are far smaller than the texts; the planner broadcasts them if they are under its threshold.
-    gone = materialise(found.filter("gone").select("__id", "__text"), "jaccard-gone")
-    repeated = materialise(found.filter("several AND NOT gone AND NOT free").select("__id", "__text"), "jaccard-repeated")
-    marked = docs.withColumns(key)
-
-    def same(other: DataFrame):
-        return marked["__id"].eqNullSafe(other["__id"]) & marked["__text"].eqNullSafe(other["__text"])
-    left = marked.join(gone, same(gone), "left_anti")
-    once = left.join(repeated, same(repeated), "left_anti")
-    again = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["__id", "__text"])
-    return once.unionByName(again).select(docs.columns)
+    gone = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)
+    free = F.col("class").isNull() & F.col("doc_id").isNull()
+    touched = materialise(join_groups(told, firsts, ["class"], spread).select(
+        F.col("doc_id").alias("other"), "h", gone.alias("gone"), ((F.col("k") > 1) & ~gone & ~free).alias("several"))
+        .filter("gone OR several"), "jaccard-touched")
+    # Rows that no verdict can touch pass by; only the others meet the verdicts, in one join of one kind at every size.
+    met = may_hold(touched.select("h"))
+    marked = nested(docs, doc_id=F.col("doc_id").cast("long"), h=F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    hit = marked.filter(met("h")).join(touched.hint("merge").withColumnRenamed("h", "key"), (F.col("h") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("other")), "left")
+    out = marked.filter(~met("h")).select("row").unionAll(hit.filter("key IS NULL").select("row"))
+    if not touched.filter("several").isEmpty():
+        out = out.unionAll(hit.filter("several").dropDuplicates(["doc_id", "h"]).select("row"))
+    return unnested(out)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.llm.common import nested, unnested
+
 #: N-grams kept of a language and of a document.
 PROFILE = 400
 DOCUMENT = 300
@@ -177,7 +179,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``least`` score, all columns as they are."""
+    """The rows of ``docs`` whose language is determined with at least ``least`` score; columns of any name as they are."""
     score = scores(learn(docs))
-    return docs.withColumn("__lid", score(F.col("text"))) \
-        .filter((F.col("__lid.lang_pred") != UNDETERMINED) & (F.col("__lid.score") >= least)).drop("__lid")
+    return unnested(nested(docs, found=score(F.col("text"))).filter(
+        (F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)))
