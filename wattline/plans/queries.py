@@ -8,6 +8,7 @@ return the read-back DataFrame.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ from wattline.operators.coverage import month_windows, window_coverage
 from wattline.operators.profile import profile
 from wattline.plans import views as V
 from wattline.session import scratch_path, utc_zone
+from wattline.sinks import loads as LD
 from wattline.sinks import writers as S
 from wattline.sinks.curate import curated_month, load_and_curate, with_text_month
 from wattline.sources import files as SRC
@@ -487,6 +489,48 @@ def row_id_across_loads(spark: SparkSession, d: str) -> DataFrame:
     return S.key_is_unique(read_table(spark, name), "ind")
 
 
+def _load_table(spark: SparkSession, ddl: str) -> tuple[str, str]:
+    base = scratch_path(spark, "published")
+    S.create_namespace(spark, "wattline_store", f"{base}/db")
+    name = "wattline_store.published_" + base.rsplit("-", 1)[-1]
+    LD.create_load_table(spark, name, ddl, base, ["pricearea", "productiongroup"], "quantitykwh")
+    return name, base
+
+
+@register("published_loads", """SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS "load", count(*) AS n_rows,
+  count(*) AS n_ids, CASE event_id % 2 WHEN 0 THEN 0 ELSE (SELECT count(*) FROM events) END AS low,
+  CASE event_id % 2 WHEN 0 THEN 0 ELSE (SELECT count(*) FROM events) END + count(*) - 1 AS high FROM events GROUP BY event_id % 2""")
+def published_loads(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-02/05/06 + PRJ-03: two loads and, between them, one whose ids clash.
+
+    The clashing load is refused before anything of it can be seen, and the
+    range reserved for it stays unused.
+    """
+    recs = I.lower_case_columns(V.production_records(spark, d))
+    name, base = _load_table(spark, STORED_TABLE_DDL)
+
+    def publish(load: str, df: DataFrame) -> None:
+        LD.publish_load(spark, df.drop("event_id"), name, load, base, ["pricearea", "productiongroup"], "quantitykwh")
+    odd = recs.filter("event_id % 2 = 1")
+    publish("even", recs.filter("event_id % 2 = 0"))
+    with contextlib.suppress(LD.LoadError):
+        publish("odd", odd.withColumn("ind", F.col("event_id").cast("long")))
+    publish("odd", odd)
+    return read_table(spark, name).groupBy("load").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ind").alias("n_ids"), F.min("ind").alias("low"), F.max("ind").alias("high"))
+
+
+@register("summary_by_loads", ORACLE["area_group_with_total"])
+def summary_by_loads(spark: SparkSession, d: str) -> DataFrame:
+    """CCH-01 + AGG-01/02: the summary from stored sums of three loads, one of them applied twice; no fact is read again."""
+    facts = V.production_text(spark, d)
+    name, base = _load_table(spark, "ind BIGINT, pricearea STRING, productiongroup STRING, starttime STRING, quantitykwh DECIMAL(18,2)")
+    for k in (0, 1, 2, 1):
+        LD.publish_load(spark, facts.filter(F.col("event_id") % 3 == k).drop("event_id"), name, f"part {k}", base,
+                        ["pricearea", "productiongroup"], "quantitykwh")
+    return A.area_group_with_total(LD.load_sums(spark, name))
+
+
 @register("landed_list", _FLAT_SQL)
 def landed_list(spark: SparkSession, d: str) -> DataFrame:
     """SRC-03: bare lists of records, one list per landed line, flattened like envelopes."""
