@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -190,6 +191,12 @@ class Encoder:
         return ids, np.diff(before[edges])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str) -> Encoder:
+    """A worker's encoder, with the words that its earlier tasks met."""
+    return Encoder(model)
+
+
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of items whose sizes add up to ``most``, about."""
     first = held = 0
@@ -214,7 +221,7 @@ def tokenised(docs: DataFrame, model: str, end: int = END, id_col: str = "doc_id
     shared, kind = spark.sparkContext.broadcast(model), width(model, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in _slices([len(t) for t in texts], SLICE):
