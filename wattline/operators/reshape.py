@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.timeops import hour_floor
@@ -75,3 +75,53 @@ def metric_series(df: DataFrame, cols: Sequence[str], time_col: str = "time",
     long = to_long(hourly, ["_hour"], cols, var, "_value")
     return ordered_arrays(long, [var, F.year("_hour").alias("year"), F.month("_hour").alias("month")],
                           ["_hour"], "_value", out)
+
+
+def numbered_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, out: str = "position") -> DataFrame:
+    """``df`` with each row's 0-based position within its ``keys``, by ``order`` (NULLs first), however large a key's group is.
+
+    Range partitioning on (keys, order) splits a hot key over many tasks; the
+    sorted rows are stored under ``folder`` (shared, not yet existing), so
+    the numbers of a lost task come out the same.  Rows are then counted per
+    (task, key): a list of at most tasks + keys rows, whose running sums give
+    every task's first position.  Rows equal in keys and order may take each
+    other's positions.
+    """
+    by = [F.col(q(c)) for c in (*keys, *order)]
+    spark = df.sparkSession
+    (df.repartitionByRange(*by).sortWithinPartitions(*by)
+     .withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder))
+    rows = spark.read.schema(df.schema.add("_at", "long")).parquet(folder).withColumn("_task", F.shiftright("_at", 33))
+    named = [F.col(q(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*ks).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy(F.col("_task").alias("_t"), *named).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+              .select("_t", *ks, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).alias("_shift")))
+    same = F.col("_task") == F.col("_t")
+    for i, k in enumerate(keys):
+        same = same & F.col(q(k)).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(starts, same).withColumn(out, F.col("_at") + F.col("_shift")).select(*[q(c) for c in df.columns], out)
+
+
+def metric_chunks(df: DataFrame, cols: Sequence[str], folder: str, time_col: str = "time", size: int = 4096,
+                  var: str = "Metric", out: str = "Trend over Time") -> DataFrame:
+    """PRJ-09 without loss: every value of every metric in time order, as arrays of at most ``size``.
+
+    One row per (metric, year, month, chunk): chunk ``k`` holds the values of
+    the month's rows ``k * size`` to ``(k + 1) * size - 1`` by time, then by
+    the metrics in the order given (NULLs first), so chunks one after the
+    other are the month's whole list, in the same row order for all metrics,
+    and an array is bounded whatever a month or an hour holds.  NULL values
+    keep their slots; rows without a time make a month of their own (NULL).
+    ``folder`` is where the sorted rows are stored.
+    """
+    t = F.col(q(time_col))
+    rows = df.select(F.year(t).alias("year"), F.month(t).alias("month"), t.alias("_time"),
+                     *[F.col(q(c)).alias(f"_v{i}") for i, c in enumerate(cols)])
+    values = [f"_v{i}" for i in range(len(cols))]
+    placed = numbered_in_order(rows, ["year", "month"], ["_time", *values], folder, "_position")
+    chunks = (placed.groupBy("year", "month", F.floor(F.col("_position") / size).alias("chunk"))
+              .agg(F.array_sort(F.collect_list(F.struct("_position", *values))).alias("_rows")))
+    lists = [F.struct(F.lit(c).alias("metric"), F.col(f"_rows.{v}").alias("values")) for c, v in zip(cols, values)]
+    m = chunks.select("year", "month", "chunk", F.explode(F.array(*lists)).alias("_m"))
+    return m.select(F.col("_m.metric").alias(var), "year", "month", "chunk", F.col("_m.values").alias(out))

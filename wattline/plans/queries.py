@@ -29,12 +29,14 @@ from wattline.operators.profile import profile
 from wattline.plans import views as V
 from wattline.session import scratch_path, utc_zone
 from wattline.sinks import loads as LD
+from wattline.sinks import windows as WN
 from wattline.sinks import writers as S
 from wattline.sinks.curate import curated_month, load_and_curate, with_text_month
+from wattline.sinks.latest import create_latest_table
 from wattline.sources import files as SRC
 from wattline.sources.schemas import CURATED_COLUMNS, PAYLOAD_RECORD, PRODUCTION, STORED_TABLE_DDL
 from wattline.sources.tables import read_table
-from wattline.streaming.ingest import load_available
+from wattline.streaming.ingest import load_available, load_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,6 +543,16 @@ def landed_list(spark: SparkSession, d: str) -> DataFrame:
     return I.flatten_hourly(files)
 
 
+@register("landed_dump", _FLAT_SQL)
+def landed_dump(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-03: indented dumps, up to 5,000 records a file, split between records and flattened like envelopes."""
+    land = scratch_path(spark, "landed-dump")
+    recs = V.nested_records(spark, d).groupBy(F.floor(F.col("batch") / 5000)).agg(
+        F.collect_list(F.struct("priceArea", "attributes")).alias("list"))
+    recs.select(F.to_json("list", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(land)
+    return I.flatten_hourly(SRC.read_landed_dump(spark, land))
+
+
 @register("batch_union", _with("R") + """SELECT CASE WHEN event_id % 89 = 0 THEN NULL ELSE "priceArea" END AS "priceArea",
   "productionGroup", "startTime", "endTime", "lastUpdatedTime", "quantityKwh" FROM R""")
 def batch_union(spark: SparkSession, d: str) -> DataFrame:
@@ -572,6 +584,29 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@register("streamed_latest", _with("R", extra="""B AS (
+  SELECT "priceArea", "productionGroup", "startTime", "endTime", "lastUpdatedTime", "quantityKwh" FROM R UNION ALL
+  SELECT "priceArea", "productionGroup", "startTime", "endTime", "lastUpdatedTime" || ' corrected', "quantityKwh" + 1 FROM R WHERE event_id % 3 = 0)""")
+  + """SELECT *, substr("startTime", 1, 10) AS "day" FROM B
+QUALIFY row_number() OVER (PARTITION BY "priceArea", "productionGroup", "startTime" ORDER BY "lastUpdatedTime" DESC, "quantityKwh" DESC) = 1""")
+def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
+    """SET-01/S18: a load, then, by the restarted stream, corrections of a third of its rows; the latest row of a key stays."""
+    land, base = scratch_path(spark, "landing"), scratch_path(spark, "latest")
+    S.create_namespace(spark, "wattline_store", f"{base}/db")
+    name = "wattline_store.latest_" + base.rsplit("-", 1)[-1]
+    create_latest_table(spark, name, "priceArea STRING, productionGroup STRING, startTime STRING, endTime STRING, "
+                        "lastUpdatedTime STRING, quantityKwh DOUBLE", f"{base}/table")
+    recs = V.production_records(spark, d)
+    corrected = recs.filter("event_id % 3 = 0").withColumns({
+        "lastUpdatedTime": F.concat("lastUpdatedTime", F.lit(" corrected")), "quantityKwh": F.col("quantityKwh") + 1})
+    for rows in (recs, corrected):
+        entry = F.struct(*[c for c in recs.columns if c != "event_id"])
+        record = F.struct("priceArea", F.struct(F.array(entry).alias("productionPerGroupMbaHour")).alias("attributes"))
+        rows.select(F.array(record).alias("data")).write.mode("append").json(land)
+        load_latest(spark, land, name, f"{base}/merges", f"{base}/checkpoint")
+    return read_table(spark, name)
+
+
 _CURATED: dict[tuple[str, str], str] = {}
 
 
@@ -830,6 +865,16 @@ def metric_arrays(spark: SparkSession, d: str) -> DataFrame:
     return R.metric_series(jan, NZ.metric_columns(jan))
 
 
+@register("metric_chunks", _with("W", extra=f"""N AS (SELECT *, CAST(year("time") AS INTEGER) AS "year", CAST(month("time") AS INTEGER) AS "month",
+  row_number() OVER (PARTITION BY year("time"), month("time") ORDER BY "time", {", ".join(f"{c} NULLS FIRST" for c in V.METRICS)}) - 1 AS p FROM W)""")
+  + f"""SELECT "Metric", "year", "month", p // 4096 AS chunk, list(v ORDER BY p) AS "Trend over Time"
+FROM N UNPIVOT INCLUDE NULLS (v FOR "Metric" IN ({", ".join(V.METRICS)})) GROUP BY 1, 2, 3, 4""")
+def metric_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-09 on the wide series: every value per metric and month, in arrays of at most 4,096."""
+    w = V.weather(spark, d)
+    return R.metric_chunks(w, NZ.metric_columns(w), scratch_path(spark, "chunks"))
+
+
 _PANEL_CASE = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(V.METRICS))
 
 
@@ -869,6 +914,35 @@ def window_coverage_q(spark: SparkSession, d: str) -> DataFrame:
     return _dates_as_midnight(cov, "window_start", "window_end")
 
 
+@register("windows_tried", """WITH C AS (SELECT l_returnflag, CAST(date_trunc('month', l_shipdate) AS DATE) AS window_start, count(*) AS n
+  FROM lineitem GROUP BY 1, 2),
+K AS (SELECT DISTINCT l_returnflag FROM lineitem),
+T AS (SELECT l_returnflag, CAST(range AS DATE) AS window_start, month(range) AS m, (month(range) + ascii(l_returnflag)) % 3 <> 0 AS one
+      FROM K CROSS JOIN range(DATE '1995-01-01', DATE '1997-01-01', INTERVAL 1 MONTH))
+SELECT T.l_returnflag, CAST(T.window_start AS TIMESTAMP) AS window_start,
+  CASE WHEN one OR m % 2 = 0 THEN 'landed' WHEN T.l_returnflag = 'R' THEN 'refused' ELSE 'failed' END AS state,
+  CASE WHEN one THEN 1 ELSE 2 END AS tries, CASE WHEN one OR m % 2 = 0 THEN COALESCE(n, 0) ELSE 0 END AS "rows"
+FROM T LEFT JOIN C ON C.l_returnflag = T.l_returnflag AND C.window_start = T.window_start""")
+def windows_tried(spark: SparkSession, d: str) -> DataFrame:
+    """GEN-01/S14: the ledger after two rounds of requests, the second for what the first left open.
+
+    A window's row count comes from the facts; which windows answer is a rule on month and flag.
+    """
+    li = V.table(spark, d, "lineitem")
+    path, key, span = scratch_path(spark, "ledger"), "l_returnflag", ("1995-01-01", "1996-12-31")
+    counts = window_coverage(li, li.select(key), key, "l_shipdate", *span)
+    WN.create_ledger(spark, path, key)
+    WN.plan_windows(spark, path, month_windows(li, key, *span), key)
+    month = F.month("window_start")
+    rounds = (F.when((month + F.ascii(key)) % 3 != 0, "landed").otherwise("failed"),
+              F.when(month % 2 == 0, "landed").when(F.col(key) == "R", "refused").otherwise("failed"))
+    for answer in rounds:
+        asked = WN.to_fetch(WN.read_ledger(spark, path, key)).select(key, "window_start")
+        got = counts.join(asked, [key, "window_start"], "left_semi").withColumn("state", answer)
+        WN.record_tries(spark, path, got.select(key, "window_start", "state", F.col("n_rows").alias("rows")), key)
+    return _dates_as_midnight(WN.read_ledger(spark, path, key), "window_start")
+
+
 @register("area_coverage", _with("P", extra="""K AS (SELECT DISTINCT pricearea FROM P),
 M AS (SELECT CAST(range AS DATE) AS window_start FROM range(DATE '2024-02-01', DATE '2025-02-01', INTERVAL 1 MONTH)),
 C AS (SELECT pricearea, CAST(date_trunc('month', starttime) AS DATE) AS window_start, count(*) AS n

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,91 @@ def read_landed_payloads(spark: SparkSession, path: str,
             .option("mode", "FAILFAST").json(path))
     return docs.select(F.explode(_landed_records(F.col("doc"), record)).alias("rec")).select("rec.*")
 
+# How much of each end of a dump the driver looks at.
+DUMP_HEAD, DUMP_TAIL = 65_536, 4_096
+_OPENING = r'^\s*(?:\{\s*"data"\s*:\s*)?\['
+_CLOSING = r"\]\s*\}?\s*$"
+
+
+def dump_separator(head: str, tail: str) -> str:
+    """The text that ends every record of an indented dump: a line break, the record's indent and its brace.
+
+    ``head`` and ``tail`` are the ends of the file.  A record's closing brace
+    stands under the line that opened it, everything inside stands deeper,
+    and a JSON text holds no raw line break, so this separator is found at
+    the ends of records only.  Raises ``ValueError`` for other layouts.
+    """
+    opening = re.match(_OPENING, head)
+    closing = r"\]\s*\}\s*$" if opening and "{" in opening.group() else r"\]\s*$"
+    if not opening or not re.search(closing, tail):
+        raise ValueError("not a list of records, or cut off")
+    first = re.match(r"(?:\s*\{\s*\}\s*,)*\s*\{[ \t]*(\r?\n)", head[opening.end():])
+    if not first:
+        if re.fullmatch(r"[\s{},]*" + closing, head[opening.end():]):
+            return "\n\0"  # no record has a field; a separator that no JSON text holds
+        raise ValueError("its records are not indented")
+    line = head[:opening.end() + first.start(1)].rsplit("\n", 1)[-1]
+    return first.group(1) + line[:len(line) - len(line.lstrip())] + "}"
+
+
+def _dump_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of ``path`` (one file, or a folder's) by their separator; reads the two ends of each, nothing between."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[str]] = {}
+    for st in fs.listStatus(root):
+        name, size = st.getPath().getName(), st.getLen()
+        if st.isDirectory() or name[0] in "._" or not size:
+            continue
+        stream = fs.open(st.getPath())
+        try:
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, DUMP_HEAD)))
+            stream.seek(max(0, size - DUMP_TAIL))
+            tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, DUMP_TAIL)))
+        finally:
+            stream.close()
+        try:
+            sep = dump_separator(head.decode("utf-8", "ignore"), tail.decode("utf-8", "ignore"))
+        except ValueError as e:
+            raise ValueError(f"{st.getPath().toString()}: {e}; read_landed_payloads reads any layout") from None
+        found.setdefault(sep, []).append(st.getPath().toString())
+    return found
+
+
+def _dump_piece(piece: Column) -> Column:
+    """The list of whole records that one piece between separators stands for, as JSON text.
+
+    A piece lacks the brace that its separator took.  The last piece of a
+    file has no record with fields, hence no quote, and ends the list.
+    """
+    led = piece.rlike(_OPENING) | piece.rlike(r"^\s*,")
+    body = F.regexp_replace(piece, f"{_OPENING}|^\\s*,", "")
+    rest = F.regexp_replace(body, _CLOSING, "")
+    last = F.when(piece.rlike(r"^\s*,") & rest.rlike(r"^\s*$"), F.lit("[,]")).otherwise(F.concat(F.lit("["), rest, F.lit("]")))
+    return (F.when(~body.contains('"'), last).when(led, F.concat(F.lit("["), body, F.lit("}]")))
+            .otherwise(F.concat(F.lit("no comma between records: "), F.substring(piece, 1, 200))))
+
+
+def read_landed_dump(spark: SparkSession, path: str, record: T.StructType = PAYLOAD_RECORD) -> DataFrame:
+    """SRC-03: large indented dumps of records, each file read by many tasks; one row per record.
+
+    ``path`` is a file or a folder of them; a file holds an indented list of
+    records, or ``{"data": [...]}`` around one and nothing else.  Gives the
+    rows of ``read_landed_payloads``, which reads any layout, but a file in
+    one task.  Here Spark's text source splits files into byte ranges at the
+    separator found in the file's head (``dump_separator``), so a task holds
+    one record at a time.  An empty file has no records.  Other layouts,
+    compressed or cut files raise at once; malformed records fail the job.
+    The driver opens every file at both ends: meant for few and large files.
+    """
+    parts = [spark.read.option("lineSep", sep).text(files) for sep, files in sorted(_dump_files(spark, path).items())]
+    if not parts:
+        return spark.createDataFrame([], record)
+    pieces = reduce(DataFrame.unionAll, parts)
+    docs = pieces.select(F.parse_json(_dump_piece(F.col("value"))).alias("doc"))
+    return docs.select(F.explode(_landed_records(F.col("doc"), record)).alias("rec")).select("rec.*")
+
 
 def batch_folders(spark: SparkSession, path: str, key: str) -> list[tuple[str, str]]:
     """Landed batch folders ``<path>/<key>=<value>`` as ``(value, folder)`` pairs.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.operators.ingest import flatten_hourly
+from wattline.sinks.latest import merge_latest
 from wattline.sources.schemas import PAYLOAD_ENVELOPE
 
 
@@ -40,3 +41,19 @@ def load_available(spark: SparkSession, landing_dir: str, target_dir: str,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.start().awaitTermination()
+
+
+def load_latest(spark: SparkSession, landing_dir: str, table: str, folder: str, checkpoint_dir: str,
+                multi_line: bool = False) -> None:
+    """SET-01/S18: as ``load_available``, but of rows with equal area, group and start only the latest update stays.
+
+    Overlapping windows and later corrections replace the row they repeat,
+    however late they come: what a batch is compared with are the stored
+    days it names (``sinks.latest``), so no state grows with the stream and
+    no late row is dropped.  A batch that runs again after a failure merges
+    to the same rows.
+    """
+    def merge(batch: DataFrame, _: int) -> None:
+        merge_latest(batch, table, folder, ["priceArea", "productionGroup", "startTime"], "lastUpdatedTime", "startTime")
+    (landed_stream(spark, landing_dir, multi_line=multi_line).writeStream.foreachBatch(merge)
+     .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination())
