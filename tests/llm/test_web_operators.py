@@ -58,6 +58,23 @@ def test_articles_marked_as_furniture_go_and_decide_nothing(page, kept):
     assert [t for v, t in H.blocks(page) if v != H.DROPPED] == kept
 
 
+@pytest.mark.parametrize("page, kept", [
+    *[(f"<div {w}><article><p>story</p></article></div><p>after</p>", ["story"]) for w in (
+        'class="site has-sidebar"', 'class="layout with-sidebar"', 'class="app modal-open"', 'id="search-page-wrap"')],
+    ("<div class='site has-sidebar'><main>story</main><aside>a</aside></div>", ["story"]),
+    ("<div class='app modal-open'><main>story</main><div class=comments><article>reader</article></div></div>", ["story"]),
+    ("<article>story</article><div class=comments><article>reader</article></div>", ["story"]),
+    ("<nav><article>teaser</article></nav><p>story</p>", ["story"]),
+    ("<div class='site has-sidebar'><p>story</p></div>", ["story"]),
+    ("<article><div class='entry-header'><h1>T</h1></div><p>story</p></article>", ["T", "story"]),
+    ("<article><p>story<button>Share this page</button></p><select><option>x</select></article>", ["story"]),
+    ("<article><video>no video</video><p>a<span hidden>x</span> b <span class='ad'>buy</span>c</p></article>", ["a b c"]),
+    ("<article><p>a<i style='color:red; display: none'>x</i></p><p style='visibility:hidden'>y</p><b>c</b></article>", ["a", "c"]),
+    ("<p>a <span hidden>x <b>y</b></p><p>z</p>", ["a", "z"])])
+def test_wrappers_and_inline_furniture(page, kept):
+    assert [t for v, t in H.blocks(page) if v != H.DROPPED] == kept
+
+
 @pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'p title="The hidden valley"', "div data-hidden", 'p alt=" hidden "'])
 def test_words_inside_other_attributes_hide_nothing(tag):
     assert H.blocks(f"<{tag}>text</{tag.split()[0]}>") == [(H.OPEN, "text")]
@@ -110,6 +127,30 @@ def test_undecided_blocks_go_if_they_repeat_on_distinct_pages(spark):
     assert got[11].startswith("Welcome")  # on its host it is unique
 
 
+def test_copies_count_once_however_pages_are_grouped(spark):
+    news, story = "<h2>News</h2>", "<p>" + " ".join(f"s{k}" for k in range(12)) + "</p>"
+    def page(i, head):
+        return head + "<p>" + " ".join(f"w{i}x{k}" for k in range(12)) + "</p>"
+    rows = [(i, f"http://h/{i}", news + story) for i in range(12)] + [(20, "http://h/20", page(20, news))]
+    rows += [(i, f"http://h/{i}", page(i, "")) for i in range(30, 34)]
+    results = [sorted((r["page_id"], r["text"]) for r in H.extract(spark.createDataFrame(rows, PAGES), group_pages=g).collect()) for g in (512, 5, 1)]
+    assert results[0] == results[1] == results[2]
+    assert sum(t.startswith("News\n") for _, t in results[0]) == 13
+
+
+def test_random_hosts_give_the_same_text_for_every_group_size(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"<{t}>" + " ".join(f"v{w}" for w in rng.integers(0, 9, n)) + f"</{t}>" for t, n in
+            [("h2", 1), ("h2", 2), ("p", 2), ("p", 8), ("p", 9), ("div", 14), ("p", 20), ("li", 3)] * 2]
+    rows = []
+    for i in range(60):
+        page = "".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 5))) + (f"<p>own {i} " + "x " * 9 if rng.random() < 0.5 else "")
+        rows += [(len(rows) + k, f"http://{'abc'[i % 3]}/", page) for k in range(1 + (i % 11 == 0) * 3)]
+    results = [sorted((r["page_id"], r["text"]) for r in H.extract(spark.createDataFrame(rows, PAGES), group_pages=g).collect()) for g in (512, 7, 2)]
+    assert results[0] == results[1] == results[2]
+    assert len({t for _, t in results[0]}) > 10
+
+
 def test_extract_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "not a url", ""), (2, "http://h/", "<p>x")]
     got = H.extract(spark.createDataFrame(rows, PAGES)).collect()

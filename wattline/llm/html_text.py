@@ -57,6 +57,11 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|conten
                         r"story(?:-?body)?|content)(?=$|[\s_-])", re.I)
 #: Class tokens that say what an article is about or lacks, not what it is.
 ABOUT = re.compile(r"(?:^|(?<=\s))(?:category|tag|topic|section|author|status|format|type|has|no|with|without)[_-]\S*", re.I)
+#: Tokens of the same sort on other containers.
+LACKS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
+#: Inside of an article, a container named like the header element is treated like it.
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                  r"<[!?][^>]*(?:>|\Z)", re.S)
 CUT = re.compile(r"<!.*\Z", re.S)
@@ -71,6 +76,8 @@ CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "d
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: HEADING is OPEN too, inside of h1 to h6.
 KEPT, DROPPED, OPEN, HEADING = 1, 0, 2, 3
+#: While a page is read: -n is inside of n containers with furniture words; NESTED + n is an article or main container there.
+NESTED = 10
 
 
 def attributes_of(tag: str) -> dict[str, str]:
@@ -88,31 +95,36 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     White space inside a block is one space.  If the page has an article or
     main container that holds text, what stands outside of it is page
     furniture.  An article marked as furniture (a comment, a related teaser)
-    is no such container.
+    is no such container.  A container that only its class or id names as
+    furniture may be a wrapper (``has-sidebar``, ``modal-open``), so an
+    article or main element inside of it counts, unless one with text stands
+    in fewer such containers.  Text of dropped inline elements is left out of
+    the block around it.
     """
     out: list[tuple[int, str]] = []
     if not page:
         return out
-    stack: list[tuple[str, int]] = []  # (element, verdict of its inside)
+    stack: list[tuple[str, int, int]] = []  # (element, verdict of its inside, of the block around that)
     text: list[str] = []
     opened: Counter[str] = Counter()  # how many of each element are on the stack
     verdict, at = OPEN, 0
 
     def close(depth: int) -> None:
-        opened.subtract(t for t, _ in stack[depth:])
+        opened.subtract(t for t, _, _ in stack[depth:])
         del stack[depth:]
 
     def flush() -> None:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
-            out.append((HEADING if verdict == OPEN and any(opened[h] > 0 for h in HEADINGS) else verdict, words))
+            around = stack[-1][2] if stack else OPEN
+            out.append((HEADING if around == OPEN and any(opened[h] > 0 for h in HEADINGS) else around, words))
     n, last = len(page), page.rfind(">")
     while at < n:
         # Past the last ">" there is no tag but a cut comment.
         m = TAG.search(page, at) if at <= last else CUT.search(page, at)
         stop = m.start() if m else n
-        if stop > at and verdict != -1:
+        if stop > at and (verdict > DROPPED or verdict == stack[-1][2]):
             text.append(entities.unescape(page[at:stop]))
         if not m:
             break
@@ -123,7 +135,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if m[1]:
             if opened[name] > 0:
                 depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
-                if name in BLOCK or any(t in BLOCK for t, _ in stack[depth:]):
+                if name in BLOCK or any(t in BLOCK for t, _, _ in stack[depth:]):
                     flush()
                 close(depth)
                 verdict = stack[-1][1] if stack else OPEN
@@ -154,26 +166,30 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         inside = verdict
         attributes = attributes_of(m[3]) if m[3] else {}
         label = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-        hidden = "hidden" in attributes and not attributes["hidden"] or attributes.get("aria-hidden") == "true"
+        hidden = "hidden" in attributes and not attributes["hidden"] or attributes.get("aria-hidden") == "true" \
+            or "style" in attributes and HIDING.search(attributes["style"])
         if verdict != DROPPED:
+            kept = verdict == KEPT or verdict >= NESTED
+            wrappers = -verdict if verdict < 0 else verdict - NESTED if verdict >= NESTED else 0
             if name in SKIP or hidden:
                 inside = DROPPED
-            elif name in FURNITURE and not (name == "header" and verdict == KEPT):
+            elif name in FURNITURE and not (name == "header" and kept):
                 inside = DROPPED
             elif label.strip() and name not in ("html", "body", "main") and FURNITURE_WORDS.search(
-                    ABOUT.sub("", label) if name == "article" else label):
-                inside = DROPPED
+                    (ABOUT if name == "article" else LACKS).sub("", HEADER.sub("", label) if kept else label)):
+                inside = -wrappers - 1
             elif name in MAIN or (label.strip() and verdict == OPEN and name in ("div", "section", "td")
                                   and MAIN_WORDS.search(label)):
-                inside = KEPT
+                inside = NESTED + wrappers if wrappers else KEPT
         if not m[3].endswith("/"):
-            stack.append((name, inside))
+            stack.append((name, inside, inside if name in BLOCK else stack[-1][2] if stack else OPEN))
             opened[name] += 1
             verdict = inside
     flush()
-    if any(v == KEPT for v, _ in out):
-        out = [(v if v == KEPT else DROPPED, t) for v, t in out]
-    return out
+    least = min((v for v, _ in out if v == KEPT or v >= NESTED), default=None)
+    if least is not None:
+        return [(KEPT if v == least else DROPPED, t) for v, t in out]
+    return [(max(v, DROPPED), t) for v, t in out]
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -238,6 +254,10 @@ def identity(found: list[tuple[int, str]]) -> int:
     return _hash("\n".join([t for v, t in found if v >= OPEN] or [t for _, t in found]))
 
 
+#: Stands for the pages themselves among the hashes of blocks; no block holds a line end.
+ALL_PAGES = _hash("\n")
+
+
 class Stream:
     """Token streams of the pages' blocks outside of articles, end to end."""
 
@@ -280,19 +300,17 @@ class Stream:
         return _mix(total).view(np.int64)
 
     def offers(self) -> pd.DataFrame:
-        """Distinct substrings and short blocks: ``hash, low, high`` (least and largest page) and ``pages`` of a short block."""
-        names = list(self.whole)
-        out = pd.DataFrame({"hash": np.array([_hash(b) for b in names], dtype=np.int64),
-                            "low": np.array([min(self.whole[b]) for b in names], dtype=np.int64),
-                            "high": np.array([max(self.whole[b]) for b in names], dtype=np.int64),
-                            "pages": np.array([len(self.whole[b]) for b in names], dtype=np.int64)})
+        """Substrings (``hash`` and the least and largest page), and each page of each short block and of the stream (``short``)."""
+        pairs = [(_hash(b), p) for b, pages in self.whole.items() for p in pages] + [(ALL_PAGES, p) for p in self.pages]
+        names = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        out = pd.DataFrame({"hash": names[:, 0], "low": names[:, 1], "high": names[:, 1], "short": True})
         inside = self._inside()
         if not len(inside):
             return out
         order, _, first, low, high = _substrings(self.codes, self.owner, self.least)
         real = np.isin(order[first], inside)
         return pd.concat([out, pd.DataFrame({"hash": self._hashes(order[first][real]), "low": low[real], "high": high[real],
-                                             "pages": np.int64(1)})])
+                                             "short": False})])
 
     def covered(self, shared: pd.DataFrame | None) -> np.ndarray:
         """Tokens inside of repeats: this stream's own, or the ``shared`` ones (``hash``) of the whole host."""
@@ -301,16 +319,15 @@ class Stream:
         inside = self._inside()
         return _cover(inside[np.isin(self._hashes(inside), shared["hash"].to_numpy())], len(self.codes), self.least)
 
-    def short(self, shared: pd.DataFrame | None) -> dict[str, int]:
-        """Pages of each short block."""
+    def short(self, shared: pd.DataFrame | None) -> tuple[dict[str, int], int]:
+        """Distinct pages of each short block, and of the host."""
         if shared is None:
-            return {b: len(p) for b, p in self.whole.items()}
+            return {b: len(p) for b, p in self.whole.items()}, len(self.pages)
         pages = dict(zip(shared["hash"].tolist(), shared["pages"].tolist()))
-        return {b: pages.get(_hash(b), 1) for b in self.whole}
+        return {b: pages.get(_hash(b), 1) for b in self.whole}, pages.get(ALL_PAGES, 1)
 
 
-def article(pages: list[list[tuple[int, str]]], shared: pd.DataFrame | None = None, host_pages: int | None = None,
-            share: float = COVERED) -> list[str]:
+def article(pages: list[list[tuple[int, str]]], shared: pd.DataFrame | None = None, share: float = COVERED) -> list[str]:
     """The text of each page: its KEPT blocks, and what repeats leave of the undecided ones.
 
     A block that repeats cover to ``share`` or more loses these, other blocks
@@ -320,8 +337,7 @@ def article(pages: list[list[tuple[int, str]]], shared: pd.DataFrame | None = No
     if not any(v >= OPEN for p in pages for v, _ in p):
         return ["\n".join(t for v, t in p if v == KEPT) for p in pages]
     stream = Stream(pages)
-    covered, short = stream.covered(shared), stream.short(shared)
-    most = len(stream.pages) if shared is None else host_pages
+    covered, (short, most) = stream.covered(shared), stream.short(shared)
     out = []
     for found, spans in zip(pages, stream.spans):
         left: list[tuple[int, str]] = []
@@ -385,9 +401,8 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         return out
 
     def told(group: pd.DataFrame, shared: pd.DataFrame | None) -> pd.DataFrame:
-        n = None if shared is None else int(group["n"].iloc[0])
         return pd.DataFrame({"page_id": group["page_id"], "url": group["url"],
-                             "text": article([_unpack(b) for b in group["blob"]], shared, n)})
+                             "text": article([_unpack(b) for b in group["blob"]], shared)})
 
     def decide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return told(group, None)
@@ -409,12 +424,14 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         out = dealt.select("host", "part", "page_id", "url", "blob").groupBy("host", "part").applyInPandas(decide, schema)
     else:
         dealt = join_groups(dealt, several, ["host"], F.struct("page_id", "url"))
-        many = dealt.filter("several").select("host", "part", "page_id", "url", "n", "blob")
+        many = dealt.filter("several").select("host", "part", "page_id", "url", "blob")
         offers = materialise(many.select("host", "part", "blob").groupBy("host", "part").applyInPandas(
-            offer, "host string, part long, hash long, low long, high long, pages long"), "html-offers")
-        shared = offers.groupBy("host", "hash").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages")).filter("low < high")
-        needed = offers.select("host", "part", "hash").join(shared.select("host", "hash", "pages"), ["host", "hash"])
+            offer, "host string, part long, hash long, low long, high long, short boolean"), "html-offers")
+        # Copies of a page meet in several groups, so a short block's pages are made distinct before they are counted.
+        shared = offers.groupBy("host", "hash", F.when(F.col("short"), F.col("low")).alias("page")).agg(
+            F.min("low").alias("low"), F.max("high").alias("high")).groupBy("host", "hash").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.count("page").alias("pages")).filter("low < high")
+        needed = offers.select("host", "part", "hash").distinct().join(shared.select("host", "hash", "pages"), ["host", "hash"])
         out = dealt.filter("several IS NULL").select("host", "part", "page_id", "url", "blob").groupBy("host", "part") \
             .applyInPandas(decide, schema).unionAll(
                 many.groupBy("host", "part").cogroup(needed.groupBy("host", "part")).applyInPandas(decide_many, schema))
