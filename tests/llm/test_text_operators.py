@@ -262,6 +262,15 @@ def test_pii_matches_plain_patterns(spark):
             assert row[f"n_{kind}"] == sum(s.startswith(kind) for s in want)
 
 
+@pytest.mark.parametrize("text, at", [
+    ("IBAN DE89370400440532013000 BIC COBADEFF", (5, 27)), ("GB82 WEST 1234 5698 7654 32 PLEASE PAY", (0, 27)),
+    ("x NO9386011117947, NO", (2, 17)), ("DE8937040044053201300", None), ("DE893704004405320130000", None),
+    ("ZZ89370400440532013000", None), ("DE88370400440532013000 A", None), ("MT84MALT011000012345MTLCAST001S", (0, 31))])
+def test_iban_ends_at_its_country_length(spark, text, at):
+    got = P.find_pii(spark.createDataFrame([(text,)], "text string")).first()["pii"]
+    assert [(s["start"], s["stop"]) for s in got if s["kind"] == "iban"] == ([at] if at else [])
+
+
 def test_iban_checksum_context_score_and_columns(spark):
     docs = spark.createDataFrame([(1, "my iban DE89 3704 0044 0532 0130 00 ok", "own"), (2, "GB82WEST12345698765432", "own"),
                                   (3, "GB82WEST12345698765433", "own"), (4, "call +1 555 123 4567", "own"),

@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 from wattline.llm.common import let
 
+#: Characters of an international bank account number, and the countries whose numbers have so many.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_FORMS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: Kinds in report order and the pattern that proposes each.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -25,8 +33,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # Added to the base kinds: an international bank account number, in one run or in groups of four.
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # Added to the base kinds: an international bank account number of its country's length, with single spaces or none.
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN_FORMS})(?![A-Za-z0-9])",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: A cheap necessary condition per kind; texts without it skip the kind's search.
@@ -77,8 +85,7 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        bare = F.replace(match, F.lit(" "), F.lit(""))
-        return F.length(bare).between(15, 34) & _mod97(bare)
+        return _mod97(F.replace(match, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
@@ -120,7 +127,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     offsets are code points and ``stop`` is exclusive.  Within a kind, matches
     are leftmost and do not overlap; a match that fails its validator (number
     of digits, parts up to 255, Luhn, mod 97) is dropped and not tried again
-    in part.  Kinds may overlap each other.  ``score`` is the kind's base
+    in part.  An account number has its country's length; codes of no
+    country in ``IBAN_LENGTHS`` give none.  Kinds may overlap each other.  ``score`` is the kind's base
     score, raised when a context word stands near.  A NULL or empty text has
     no spans; rows, repeated rows and other columns pass through as they are
     (a column named ``pii`` is replaced).
