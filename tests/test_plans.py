@@ -11,7 +11,7 @@ from wattline.plans.checks import plan_text, rows_read, summary
 from wattline.plans.queries import QUERIES
 from wattline.session import scratch_path
 
-WRITERS = {"landed_dump", "streamed_latest", "metric_chunks", "windows_tried", "published_loads", "summary_by_loads", "batch_union", "streamed_ingest", "json_round_trip", "table_append_read",
+WRITERS = {"normalized_stored_stats", "sorted_selection", "landed_dump", "streamed_latest", "metric_chunks", "windows_tried", "published_loads", "summary_by_loads", "batch_union", "streamed_ingest", "json_round_trip", "table_append_read",
            "csv_round_trip", "partitioned_overwrite", "read_back_check",
            "curate_from_landing", "curated_january", "month_range_pruned", "pie_from_summary", "summary_choices",
            "utc_january_pruned", "row_id_across_loads", "landed_list", "csv_with_gaps", "group_totals_with_nan"}

@@ -50,6 +50,15 @@ def stats_struct(df: DataFrame, cols: Sequence[str]) -> Column:
     return df.select(F.struct(*_min_max_aggs(df, cols)).alias("s")).scalar()
 
 
+def merged_stats_struct(stats: DataFrame, cols: Sequence[str]) -> Column:
+    """``stats_struct`` from stored rows ``(metric, min_value, max_value)``, one per partition and metric."""
+    aggs = []
+    for i, c in enumerate(cols):
+        own = F.col("metric") == c
+        aggs += [F.min(F.when(own, F.col("min_value"))).alias(f"min{i}"), F.max(F.when(own, F.col("max_value"))).alias(f"max{i}")]
+    return stats.select(F.struct(*aggs).alias("s")).scalar()
+
+
 def column_min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG-09: ``(metric, min_value, max_value)`` per metric from a single scan."""
     one = df.agg(*_min_max_aggs(df, cols))
@@ -59,12 +68,14 @@ def column_min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def scale_min_max(df: DataFrame, cols: Sequence[str], stats_from: DataFrame | None = None,
-                  mode: str = "keep_nulls") -> DataFrame:
+                  mode: str = "keep_nulls", stored: DataFrame | None = None) -> DataFrame:
     """FN-07 / FN-08: scale each metric to 0..1 with its min and max.
 
     ``stats_from`` sets the scope of the min and max (S7): the app scales
     with the stats of the rows it shows, the notebook with all rows; by
-    default the stats come from ``df`` itself.
+    default the stats come from ``df`` itself.  ``stored`` gives rows of stored
+    statistics instead (``wattline.sinks.stats.stored_stats``, filtered to the
+    partitions of the scope); then ``df`` is read once.
 
     A constant column (min == max) gives, per mode (S8):
       * ``keep_nulls`` (app): ``x - min``, so 0 and NULL stays NULL;
@@ -75,7 +86,7 @@ def scale_min_max(df: DataFrame, cols: Sequence[str], stats_from: DataFrame | No
         raise ValueError(f"unknown mode {mode}")
     src = df if stats_from is None else stats_from
     st = "__stats"
-    x = df.withColumn(st, stats_struct(src, cols))
+    x = df.withColumn(st, stats_struct(src, cols) if stored is None else merged_stats_struct(stored, cols))
     out = {}
     for i, c in enumerate(cols):
         v = as_missing(x, c)

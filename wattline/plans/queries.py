@@ -29,6 +29,7 @@ from wattline.operators.profile import profile
 from wattline.plans import views as V
 from wattline.session import scratch_path, utc_zone
 from wattline.sinks import loads as LD
+from wattline.sinks import stats as ST
 from wattline.sinks import windows as WN
 from wattline.sinks import writers as S
 from wattline.sinks.curate import curated_month, load_and_curate, with_text_month
@@ -607,17 +608,6 @@ def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, name)
 
 
-_CURATED: dict[tuple[str, str], str] = {}
-
-
-def _curated(spark: SparkSession, d: str) -> str:
-    """The curated folder of a table folder: built once per application, read by every key that needs it."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _CURATED:
-        _CURATED[at] = _curate(spark, d)
-    return _CURATED[at]
-
-
 def _curate(spark: SparkSession, d: str) -> str:
     """Land N as response files, run the ingest chain, return the curated folder."""
     land, base = scratch_path(spark, "landing"), scratch_path(spark, "curate")
@@ -631,6 +621,15 @@ def _curate(spark: SparkSession, d: str) -> str:
     return f"{base}/curated"
 
 
+@register("sorted_selection", _with("PT") + f"""SELECT {_ROW_COLS} FROM PT WHERE pricearea = '{ONE_AREA}' AND productiongroup IN ('view', 'click')""")
+def sorted_selection(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-03 + FLT-04 on a table whose files are sorted by area and group, so row groups and pages are skipped."""
+    path, pt = scratch_path(spark, "sorted"), V.production_text(spark, d)
+    S.overwrite_partitioned(with_text_month(pt), path, ["year", "month"], sort_by=["pricearea", "productiongroup"])
+    stored = spark.read.schema(pt.schema).parquet(path).select(pt.columns)
+    return _rows_double(FL.in_groups(FL.in_area(stored, ONE_AREA), SOME_GROUPS))
+
+
 _CURATED_SQL = _with("R") + """SELECT "priceArea" AS pricearea, "productionGroup" AS productiongroup,
   "startTime" AS starttime, "quantityKwh" AS quantitykwh,
   CAST(substring("startTime", 1, 4) AS INTEGER) AS "year", CAST(substring("startTime", 6, 2) AS INTEGER) AS "month"
@@ -640,14 +639,14 @@ FROM R"""
 @register("curate_from_landing", _CURATED_SQL)
 def curate_from_landing(spark: SparkSession, d: str) -> DataFrame:
     """SURVEY 3.1: landed JSON -> flatten -> table append -> curated partitioned write, read back."""
-    return spark.read.parquet(_curated(spark, d))
+    return spark.read.parquet(_curate(spark, d))
 
 
 @register("curated_january", _CURATED_SQL + """ WHERE substring("startTime", 1, 4) = '2024'
   AND substring("startTime", 6, 2) = '01'""")
 def curated_january(spark: SparkSession, d: str) -> DataFrame:
     """FLT-06 served by partition pruning on the curated collection."""
-    return curated_month(spark, _curated(spark, d), YEAR, MONTH)
+    return curated_month(spark, _curate(spark, d), YEAR, MONTH)
 
 
 # ------------------------------------------------------------ sink path
@@ -849,6 +848,17 @@ def normalized_keep_nulls(spark: SparkSession, d: str) -> DataFrame:
     return NZ.scale_min_max(w, NZ.metric_columns(w), mode="keep_nulls")
 
 
+@register("normalized_stored_stats", ORACLE["normalized_keep_nulls"])
+def normalized_stored_stats(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-09 + FN-07: app scaling of a stored table with the statistics that its write left; the table is read once."""
+    path, stats = scratch_path(spark, "scaled"), scratch_path(spark, "scaled-stats")
+    w = V.weather_with_gaps(spark, d)
+    cols = NZ.metric_columns(w)
+    ST.write_with_stats(w.withColumn("year", F.year("time")), path, stats, ["year"], cols)
+    stored = spark.read.schema(w.schema).parquet(path).select(w.columns)
+    return NZ.scale_min_max(stored, cols, mode="keep_nulls", stored=ST.stored_stats(spark, stats, cols))
+
+
 @register("single_metric", _with("W") + 'SELECT "time", l_extendedprice FROM W')
 def single_metric(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-07: one metric against time."""

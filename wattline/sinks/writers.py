@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +70,8 @@ def append_table(df: DataFrame, qualified: str) -> None:
         .write.mode("append").insertInto(qualified)
 
 
-def overwrite_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> str:
+def overwrite_partitioned(df: DataFrame, path: str, partition_by: list[str], sort_by: Sequence[str] = (),
+                          bloom: Sequence[str] = (), row_group_bytes: int | None = None) -> str:
     """SNK-03: overwrite a Parquet table laid out by ``partition_by``.
 
     A ``REBALANCE`` hint clusters rows by the partition columns, so a task
@@ -76,20 +79,32 @@ def overwrite_partitioned(df: DataFrame, path: str, partition_by: list[str]) ->
     holds a large share of the rows over several tasks (a plain
     ``repartition(cols)`` would send a hot month to one task) and merges
     small ones.  All old partitions go, whatever the session's overwrite mode.
+
+    ``sort_by`` sorts the rows of each file by these columns, so that filters
+    on them (FLT-03, FLT-04) skip row groups and pages by their bounds.
+    ``bloom`` adds Bloom filters for columns of many values, which bounds
+    cannot tell apart.  ``row_group_bytes`` sets the size of a row group.
     """
-    (df.hint("rebalance", *partition_by)
-       .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path))
+    out = df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by])
+    if sort_by:
+        out = out.sortWithinPartitions(*[f"`{c}`" for c in [*partition_by, *sort_by]])
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by)
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return path
 
 
-def overwrite_partitioned_counted(df: DataFrame, path: str, partition_by: list[str]) -> int:
+def overwrite_partitioned_counted(df: DataFrame, path: str, partition_by: list[str], sort_by: Sequence[str] = ()) -> int:
     """SNK-03 that also returns the number of rows written.
 
     The count is an observed metric of the write job itself (no second pass
     over the source); retried tasks are counted once.
     """
     obs = Observation("written")
-    overwrite_partitioned(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, partition_by)
+    overwrite_partitioned(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, partition_by, sort_by)
     try:
         return int(obs.get["rows"])
     except (AssertionError, Py4JError):
