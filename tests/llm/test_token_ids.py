@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,24 @@ def test_words_beyond_the_memory_are_encoded_again(whole, encoder, monkeypatch):
         assert encoder.encode([t.encode()])[0].tolist() == whole(t)
 
 
+def test_words_met_again_stay_when_the_memory_fills(whole, encoder, monkeypatch):
+    """Only words met once are dropped, so the frequent ones are encoded once."""
+    monkeypatch.setattr(T, "WORDS", 12)
+    e, asked = T.Encoder(encoder.tokenizer.to_str()), []
+    merges = e.merges
+    e.merges = type("Merges", (), {"tokenize": lambda self, p: asked.append(p) or merges.tokenize(p)})()
+    for k in range(40):
+        text = f"alpha été alpha, été. w{chr(97 + k % 26)}{k}"
+        assert e.encode([text.encode()])[0].tolist() == whole(text)
+    assert e.folded and asked.count("alpha") == 1 and len(set(asked)) > 26
+
+
+def test_slices_of_arrays_with_null(whole, encoder):
+    texts = pa.array(["first", None, "", " Ab, b <|endoftext|>", "é.x 12 ", None])
+    ids, count = encoder.encode(texts.slice(1, 4))
+    assert ids.tolist() == whole(" Ab, b <|endoftext|>") + whole("é.x 12 ") and count.tolist()[:2] == [0, 0] and len(count) == 4
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300) | st.integers(65530, 65540), max_size=30))
 def test_byte_coding_round_trip(values):

@@ -27,12 +27,15 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from codecs import charmap_decode
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,15 +50,14 @@ FRAME_IDS = 1 << 20
 FILE_FRAMES = 16
 #: Ids of one part (one writing task), about.
 PART_IDS = 1 << 24
-#: Bytes of text encoded at a time, and words whose ids a task remembers.
-SLICE = 2 << 20
+#: Bytes of text encoded at a time, and words whose ids a worker remembers.
+SLICE = 8 << 20
 WORDS = 600_000
 MAGIC = b"WTF1"
 HEADER = "<4sIIIQQQ"
 
-#: Lengths of the four values that a control byte stands for, and the bits that a value of that length has.
+#: Lengths of the four values that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
-BITS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 #: Pieces of a word, A-Z lower-cased: a digit, a run of letters (ASCII or Latin-1), a run of other ASCII characters; not
 #: cut before a non-ASCII byte, which may join what is before it, nor after an apostrophe, which may begin a contraction.
 PIECE = re.compile(rb"[0-9](?![\x80-\xFF])|(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])++(?![\x80-\xFF])"
@@ -66,6 +68,7 @@ RUN = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
 #: Byte-level vocabularies write a byte as the Latin-1 character if that is visible, else as the next one from U+0100.
 _SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+STANDS_FOR = "".join(chr(BYTE_LETTERS.get(b, b)) for b in range(256))
 #: Normalizer and pre-tokenizer of such a tokenizer, fixed values of the library's file format.
 FOLDED = [
     {"type": "Sequence", "normalizers": [
@@ -79,14 +82,17 @@ FOLDED = [
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control and data bytes of unsigned 32-bit ``values``."""
     values = values.astype(np.uint32)
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    size = np.ones(len(values), dtype=np.uint8)
+    for k in range(1, 4):
+        size += values >> np.uint32(8 * k) > 0
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[:len(values)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(size) - size
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    at = np.cumsum(size, dtype=np.int64) - size
     data = np.empty(int(size.sum()), dtype=np.uint8)
-    for k in range(4):
-        long = size > k
+    data[at] = values & np.uint32(0xFF)
+    for k in range(1, int(size.max(initial=1))):
+        long = np.flatnonzero(size > k)
         data[at[long] + k] = (values[long] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return control, data
 
@@ -95,18 +101,18 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of ``pack``."""
     size = LENGTHS[control].ravel()[:n]
     at = np.cumsum(size, dtype=np.int64) - size
-    more = np.concatenate((data, np.zeros(3, dtype=np.uint8))).astype(np.uint32)
-    out = more[at]
-    for k in range(1, 4):
-        out |= more[at + k] << np.uint32(8 * k)
-    return out & BITS[size]
+    out = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        long = np.flatnonzero(size > k)
+        out[long] |= data[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 class Places(dict):
     """Number of each word met so far; new words are numbered on the way and listed in ``fresh``."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, words: Iterable[bytes] = ()):
+        super().__init__(zip(words, count()))
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -115,15 +121,22 @@ class Places(dict):
         return place
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all runs of ``size`` items from ``first`` on, end to end, and where each run begins and the last ends."""
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
+    return np.repeat(first - edges[:-1], size) + np.arange(edges[-1]), edges
+
+
 class Encoder:
-    """Ids of texts, each distinct piece encoded once and remembered.
+    """Ids of texts, each distinct word encoded once and remembered.
 
     A tokenizer that folds case, drops white space and splits where letters,
     digits and other characters meet (``FOLDED``) treats pieces alone: texts
     are split at ASCII white space, and words before ASCII characters where
-    these meet (``PIECE``); a run of letters needs only the tokenizer's merges,
-    and where a special token may be, words stay whole and in their case.  Any
-    other tokenizer gets whole texts.
+    these meet (``PIECE``); a piece is a word of its own, and the ids of a
+    word are those of its pieces.  A run of letters needs only the tokenizer's
+    merges, and where a special token may be, words stay whole and in their
+    case.  Any other tokenizer gets whole texts.
     """
 
     def __init__(self, model: str):
@@ -134,61 +147,97 @@ class Encoder:
         steps = json.loads(model)
         self.folded = [steps["normalizer"], steps["pre_tokenizer"]] == FOLDED
         self.merges = self.tokenizer.model
-        self.pieces: dict[bytes, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.place = Places()
         self.first = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
+        self.seen = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        split = [(w,) if w.isalpha() or b"<|" in w else tuple(PIECE.findall(w.lower())) for w in words]
-        if len(self.pieces) > WORDS:
-            self.pieces.clear()
-        rest, known = [], self.pieces
-        for p in set(chain.from_iterable(split)).difference(known):
-            if p.isalpha() and p.islower():
-                known[p] = tuple([t.id for t in self.merges.tokenize(p.decode("ascii"))])
-            elif RUN.fullmatch(p):
-                # The merges know bytes by the characters that stand for them.
-                letters = p.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-                known[p] = tuple([t.id for t in self.merges.tokenize(letters)])
+    def _forget(self) -> None:
+        """Drop the words met once since the last time, or all if the others alone fill half of the memory."""
+        stay = np.flatnonzero(self.seen > 1)
+        if 2 * len(stay) > WORDS:
+            stay = stay[:0]
+        words = list(self.place)
+        self.place = Places([words[k] for k in stay.tolist()])
+        at, edges = _spans(self.first[stay], self.size[stay])
+        self.first, self.size, self.ids = edges[:-1], self.size[stay], self.ids[at]
+        self.seen = np.zeros(len(stay), dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Ids of the fresh words and of their pieces, which become words too."""
+        place, words, base = self.place, self.place.fresh, len(self.first)
+        plain, marked, other, joined, parts, sizes = [], [], [], [], [], []
+        for k, w in enumerate(words):  # the list grows as it is walked
+            if w.isalpha():
+                (plain if w.islower() else other).append(k)
+            elif RUN.fullmatch(w):
+                marked.append(k)
+            elif b"<|" in w:
+                other.append(k)
             else:
-                rest.append(p)
-        known.update(zip(rest, map(tuple, self._whole(rest))))
-        flat, stops = [], []
-        for s in split:
-            for p in s:
-                flat += known[p]
+                pieces = PIECE.findall(w.lower())
+                if pieces == [w]:
+                    other.append(k)
+                else:
+                    joined.append(k)
+                    sizes.append(len(pieces))
+                    parts += [place[p] for p in pieces]
+        # The merges know bytes by the characters that stand for them.
+        folded = b"\n".join([words[k] for k in marked]).decode("utf-8").lower().encode("utf-8")
+        letters = charmap_decode(folded, "strict", STANDS_FOR)[0].split(STANDS_FOR[10])
+        flat, stops, tokenize = array("I"), array("q", [0]), self.merges.tokenize
+        for p in chain([words[k].decode("ascii") for k in plain], letters if marked else ()):
+            flat.extend([t.id for t in tokenize(p)])
+            stops.append(len(flat))
+        for ids in self._whole([words[k] for k in other]):
+            flat.extend(ids)
             stops.append(len(flat))
-        stop = np.array([0, *stops], dtype=np.int64)
-        self.first = np.concatenate((self.first, len(self.ids) + stop[:-1]))
-        self.size = np.concatenate((self.size, np.diff(stop)))
-        self.ids = np.concatenate((self.ids, np.array(flat, dtype=np.uint32)))
+        alone, stop = plain + marked + other, np.array(stops, dtype=np.int64) + len(self.ids)
+        first, size = np.zeros((2, len(words)), dtype=np.int64)
+        first[alone], size[alone] = stop[:-1], np.diff(stop)
+        first, size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
+        ids = np.concatenate((self.ids, np.array(flat, dtype=np.uint32)))
+        at = np.array(parts, dtype=np.int64)
+        spans, within = _spans(first[at], size[at])
+        edge = within[np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))]
+        joined = np.array(joined, dtype=np.int64) + base
+        first[joined], size[joined] = len(ids) + edge[:-1], np.diff(edge)
+        self.first, self.size, self.ids = first, size, np.concatenate((ids, ids[spans]))
+        self.seen = np.concatenate((self.seen, np.zeros(len(words), dtype=np.int64)))
+        self.seen += np.bincount(at, minlength=len(first))
+        words.clear()
 
     def _whole(self, texts: list[bytes]) -> Iterator[list[int]]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return (e.ids for e in found)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts`` end to end, and how many each has."""
+    def encode(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (an array's may be NULL, for empty) end to end, and how many each has."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        texts = texts.cast(pa.binary()).fill_null(b"")
         if not self.folded:
-            ids = list(self._whole(texts))
+            ids = list(self._whole(texts.to_pylist()))
             return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
         if len(self.place) > WORDS:
             self._forget()
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        edges = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(s) for s in split], dtype=np.int64)))
-        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(edges[-1]))
+        texts = texts.view(pa.string())
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        edges = split.offsets.to_numpy()
+        # Arrow finds the distinct words, so that only these are looked up one by one.
+        words = split.flatten().dictionary_encode()
+        which, (_, offsets, data) = words.indices.to_numpy(), words.dictionary.buffers()
+        stops = np.frombuffer(offsets, dtype=np.int32)[:len(words.dictionary) + 1].tolist() if len(which) else []
+        raw = data.to_pybytes() if data else b""
+        named = [raw[a:b] for a, b in pairwise(stops)]
+        own = np.fromiter(map(self.place.__getitem__, named), dtype=np.int64, count=len(named))
         if self.place.fresh:
-            self._learn(self.place.fresh)
-            self.place.fresh.clear()
-        size = self.size[place]
-        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-        ids = self.ids[np.repeat(self.first[place] - before[:-1], size) + np.arange(before[-1])]
-        return ids, np.diff(before[edges])
+            self._learn()
+        self.seen[own] += np.bincount(which, minlength=len(own))
+        at, before = _spans(self.first[own][which], self.size[own][which])
+        return self.ids[at], np.diff(before[edges])
 
 
 @lru_cache(maxsize=1)
@@ -223,15 +272,15 @@ def tokenised(docs: DataFrame, model: str, end: int = END, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in _slices([len(t) for t in texts], SLICE):
-                ids, count = encoder.encode(texts[lo:hi])
-                ids = np.insert(ids, np.cumsum(count), np.uint32(end))
-                stop = np.concatenate((np.zeros(1, np.int64), np.cumsum(count + 1)))
-                raw, w = ids.astype(kind).tobytes(), int(kind[-1])
+            texts = batch.column(1)
+            for lo, hi in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
+                ids, count = encoder.encode(texts.slice(lo, hi - lo))
+                ids = np.insert(ids.astype(kind), np.cumsum(count), end)
+                stop = np.concatenate((np.zeros(1, np.int64), np.cumsum(count + 1))) * ids.itemsize
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(count + 1),
-                    pa.array([raw[w * a:w * b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())], pa.binary())], ["doc_id", "n", "ids"])
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(stop), pa.py_buffer(ids)])
+                    .cast(pa.binary())], ["doc_id", "n", "ids"])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .mapInArrow(run, "doc_id long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
@@ -241,11 +290,10 @@ def frequencies(rows: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            held = np.zeros(0, dtype=np.int64)
-            for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind), minlength=len(held))
-                one[:len(held)] += held
-                held = one
+            # The ids of all rows lie end to end.
+            stop = np.frombuffer(batch.column(0).buffers()[1], dtype=np.int32)[batch.column(0).offset:][:batch.num_rows + 1]
+            data = batch.column(0).buffers()[2]
+            held = np.bincount(np.frombuffer(data, dtype=np.uint8)[stop[0]:stop[-1]].view(kind) if data and len(stop) else [])
             held = np.pad(held, (0, max(0, len(total) - len(held))))
             held[:len(total)] += total
             total = held
