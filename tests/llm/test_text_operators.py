@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,28 @@ def test_keep_one_decides_by_id_and_text(spark):
     assert sorted(got, key=str) == sorted([(1, near), (5, alone), (None, lost), (None, ""), (None, ""), (6, "")], key=str)
 
 
+def test_buckets_and_repeats_are_counted_in_little_memory():
+    """A few integers per shingle at a time, whatever the lists' lengths."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 12, 150).astype(np.uint64)) for _ in range(2000)]
+    sets += [np.unique(rng.integers(1 << 12, 1 << 31, 150).astype(np.uint64)) for _ in range(500)] * 2
+    sig, sizes = np.arange(len(sets), dtype=np.int64) * 7 - 900, np.array([len(s) for s in sets])
+    group = pd.DataFrame([(0, np.concatenate(sets).astype(np.uint32).tobytes(), sig.tobytes(), sizes.astype(np.uint32).tobytes(),
+                           sizes.astype(np.uint16).tobytes())], columns=["bucket", "codes", "sigs", "sizes", "repeat"])
+    tracemalloc.start()
+    try:
+        edges = J._candidates(group)
+        bucket = tracemalloc.get_traced_memory()[1] / sizes.sum()
+    finally:
+        tracemalloc.stop()
+    assert bucket < 60
+    copies = {(sig[k], sig[k + 500]) for k in range(2000, 2500)}
+    assert copies <= set(edges[["a", "b"]].itertuples(index=False, name=None)) and len(edges[edges["need"] == 0]) == 1999
+    codes, counts = np.unique(np.concatenate(sets), return_counts=True)
+    got, n = J._repeats(sets)
+    assert (got == codes[counts > 1]).all() and (n == counts[counts > 1]).all() and not sets
+
+
 def test_search_finds_all_links_of_random_sets():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, (12, 60), dtype=np.uint64)
