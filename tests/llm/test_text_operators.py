@@ -16,6 +16,7 @@ from wattline.llm import jaccard_join as J
 from wattline.llm import langid as L
 from wattline.llm import pii as P
 from wattline.llm import quality as Q
+from wattline.llm.common import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(-1, None), (-2, ""), (-3, " \n"), (-4, "a b c"), (-5, "A  b\tc"), (-5, "A  b\tc"), (None, "a b c"), (-6, "!!!"),
@@ -165,6 +166,48 @@ def test_buckets_and_repeats_are_counted_in_little_memory():
     assert (got == codes[counts > 1]).all() and (n == counts[counts > 1]).all() and not sets
 
 
+def test_large_components_are_bounded_again_before_the_search(spark, monkeypatch):
+    """Passages in many texts chain them to one component; its sets meet in parts, not by all pairs of its blocks."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    monkeypatch.setattr(J, "long_lists", lambda repeats: none)  # as with more frequent shingles than the table holds
+    monkeypatch.setattr(J, "TILE_SHINGLES", 1000)
+    seen = {}
+
+    def kept(df, name, **options):
+        seen.setdefault(name, []).append(got := materialise(df, name, **options))
+        return got
+    monkeypatch.setattr(J, "materialise", kept)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, f"{' '.join(f'w{k % 120}x{j}' for j in range(60))} {passage} end{k}") for k in range(240)]
+    want = components(plain_sets(rows))
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 120
+    first, *_, last = (t.groupBy("label").count().agg(F.max("count")).first()[0] for t in seen["jaccard-reps"])
+    assert first == 240 and last == 2
+    assert seen["jaccard-placed"][0].agg(F.sum(F.size("tiles"))).first()[0] == 240
+
+
+def test_halves_of_shingles_never_lessen_an_overlap():
+    a, b = (np.array([k << 32 | low for k, low in x], dtype=np.uint64) for x in (
+        [(1, 5), (2, 5), (3, 5), (1, 9)], [(2, 5), (3, 5), (4, 7), (1, 9)]))
+    x, y = (J._told_apart(s.astype(np.uint32)) for s in (a, b))
+    assert len(set(x.tolist())) == len(a) and len(set(y.tolist())) == len(b)
+    assert len(np.intersect1d(x, y)) >= len(np.intersect1d(a, b)) == 3
+
+
+def test_a_family_of_near_copies_gives_few_edges_a_bucket():
+    """Twelve copies are connected by eleven edges, not counted as 66 pairs."""
+    codes = np.arange(40, dtype=np.uint32)
+    group = pd.DataFrame([(0, codes.tobytes(), np.int64(k).tobytes(), np.uint32(900).tobytes(), np.uint16(40).tobytes(),
+                           np.uint32(7 << 16 | k).tobytes()) for k in range(12)],
+                         columns=["bucket", "codes", "sigs", "sizes", "repeat", "marks"])
+    edges = J._candidates(group)
+    assert len(edges) == 11 and set(edges["a"]) | set(edges["b"]) == set(range(12))
+    s = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 400, dtype=np.uint64))
+    near, far = J.alike(s) ^ J.alike(np.delete(s, 9)), J.alike(s) ^ J.alike(s[::3])
+    assert (near >> 16 == 0 or near & 65535 == 0) and far >> 16 and far & 65535
+
+
 def test_search_finds_all_links_of_random_sets():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, (12, 60), dtype=np.uint64)
